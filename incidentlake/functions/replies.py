@@ -12,6 +12,18 @@ from . import vocab
 _NO_STRINGS = "array<string>"
 
 
+def strict_json(c: Column) -> Column:
+    """The text as one JSON value; null when it is none or when anything follows the value.
+
+    The parser stops after the first value, so the text is read as the first of
+    two list items: leftovers then break the list or change its length.
+    """
+    items = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), c, F.lit(', "end"]'))), "$", "array<variant>"
+    )
+    return F.when(F.size(items) == 2, F.get(items, F.lit(0)))
+
+
 def reply_json(raw: Column) -> Column:
     """The reply as a JSON value: as it is, without a code fence, or between the outermost braces.
 
@@ -19,7 +31,7 @@ def reply_json(raw: Column) -> Column:
     """
     unfenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    return F.coalesce(*[F.try_parse_json(F.nullif(F.trim(c), F.lit(""))) for c in (raw, unfenced, braces)])
+    return F.coalesce(*[strict_json(c) for c in (raw, unfenced, braces)])
 
 
 def field(reply: Column, name: str, kind: str = "string") -> Column:
@@ -46,7 +58,7 @@ def normal_phase(c: Column) -> Column:
 
 def clean_list(items: Column, cap: int) -> Column:
     """Drop missing and empty items, trim the rest, keep the first ``cap``; no list gives none."""
-    kept = F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), F.trim)
+    kept = F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), lambda x: F.trim(x))
     return F.coalesce(F.slice(kept, 1, cap), F.array().cast(_NO_STRINGS))
 
 
@@ -55,18 +67,19 @@ def clean_text(c: Column) -> Column:
 
 
 def _split_trimmed(c: Column, separator: str) -> Column:
-    parts = F.transform(F.split(c, separator), F.trim)
+    parts = F.transform(F.split(c, separator), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
 def factor_list(c: Column) -> Column:
     """A stored factor field as a list.
 
-    JSON list, JSON scalar (one element), lines, comma-separated, or one value.
+    JSON list, JSON scalar (one element), lines, comma-separated, or one value;
+    missing, empty and JSON null give no element.
     """
-    parsed = F.try_parse_json(c)
+    parsed = strict_json(c)
     return (
-        F.when(c.isNull() | (c == ""), F.array().cast(_NO_STRINGS))
+        F.when(c.isNull() | F.is_variant_null(parsed) | (c == ""), F.array().cast(_NO_STRINGS))
         .when(F.try_variant_get(parsed, "$", "array<variant>").isNotNull(),
               F.try_variant_get(parsed, "$", _NO_STRINGS))
         .when(parsed.isNotNull(), F.array(F.try_variant_get(parsed, "$", "string")))
@@ -79,5 +92,5 @@ def factor_list(c: Column) -> Column:
 def json_strings(c: Column) -> Column:
     """A JSON list of strings; anything else gives an empty list."""
     return F.coalesce(
-        F.try_variant_get(F.try_parse_json(c), "$", _NO_STRINGS), F.array().cast(_NO_STRINGS)
+        F.try_variant_get(strict_json(c), "$", _NO_STRINGS), F.array().cast(_NO_STRINGS)
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.replies import strict_json
 from ..schema import SEVERITY_INDEX
 
 
@@ -78,7 +79,7 @@ def confusion_from_json(df: DataFrame, column: str, classes: Sequence[str] = SEV
 
     A missing or broken value gives no rows.
     """
-    parsed = F.try_parse_json(F.col(column))
+    parsed = strict_json(F.col(column))
     bare = F.try_variant_get(parsed, "$", "array<array<bigint>>")
     matrix = F.coalesce(F.try_variant_get(parsed, "$.matrix", "array<array<bigint>>"), bare)
     names = F.coalesce(

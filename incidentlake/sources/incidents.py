@@ -32,7 +32,8 @@ def read_incidents_csv(
     Without ``schema`` the header names the columns, everything stays text and
     cleaning does the typing, so no inference pass over the data is needed.
     Files whose quoted fields hold line breaks need ``multi_line``; turn it off
-    for one-line records so that large files can be split.
+    for one-line records so that large files can be split. Empty fields are
+    missing values.
     """
     reader = (
         spark.read.option("header", True).option("mode", "PERMISSIVE")
