@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 from ..schema import UNKNOWN
 from . import vocab
 
+_PLAIN = re.compile(r"[a-z0-9 -]+")
+
 
 def as_double(c: Column) -> Column:
     """Number or null; text that is no number becomes null."""
@@ -75,12 +79,22 @@ def operator_category(c: Column, preset: str = "full") -> Column:
     )
 
 
-def matches(c: Column, pattern: str) -> Column:
+def matches(lowered: Column, pattern: str, needs: Sequence[str] = ()) -> Column:
     """Search a pattern in lower-cased text; null counts as no match.
 
-    The flags make ``.`` stop at ``\\n`` only and ``\\d``, ``\\b`` cover Unicode.
+    Alternatives without any pattern syntax are plain substring tests, which are
+    far cheaper than a regex on long texts. In the rest the flags make ``.`` stop
+    at ``\\n`` only and let ``\\d`` and ``\\b`` cover Unicode; the regex is tried only
+    where one of ``needs`` occurs, the words without which it cannot match.
     """
-    return F.coalesce(F.lower(c).rlike("(?dU)" + pattern), F.lit(False))
+    parts = pattern.split("|") if "(" not in pattern else [pattern]
+    plain = [p for p in parts if _PLAIN.fullmatch(p)]
+    rest = [p for p in parts if not _PLAIN.fullmatch(p)]
+    tests = [lowered.contains(p) for p in plain]
+    if rest:
+        regex = lowered.rlike("(?dU)" + "|".join(rest))
+        tests.append(reduce(or_, [lowered.contains(w) for w in needs]) & regex if needs else regex)
+    return F.coalesce(reduce(or_, tests), F.lit(False))
 
 
 def first_value(c: Column) -> Column:

@@ -72,6 +72,17 @@ SUMMARY_PATTERNS = {
         r"aircraft destroyed|written off|total loss|destroyed on impact",
 }
 
+# --- words without which the regex part of a phrase cannot match ---------------
+PHRASE_NEEDS = {
+    "kw_no_survivors": ("surviv",),
+    "kw_all_killed": ("killed", "killing", "died", "perished"),
+    "kw_fire": ("fire",),
+    "kw_terrain": ("struck",),
+    "kw_structural": ("separat", "flight break"),
+    "kw_no_fatalities": ("no fatalities", "no death", "no one ", "no casualties", "without fatality", "no loss of life"),
+    "kw_injuries_only": ("hospitali", "fatal"),
+}
+
 # --- weights of the phrases in the death signal, floor 0 ----------------------
 DEATH_SIGNAL_WEIGHTS = {
     "kw_no_survivors": 3, "kw_all_killed": 3, "kw_structural": 2,

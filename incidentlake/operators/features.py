@@ -10,8 +10,17 @@ from ..functions import vocab
 from ..schema import UNKNOWN
 
 
+def lowered(df: DataFrame) -> DataFrame:
+    """Lower-case the searched texts once, before many patterns read them."""
+    have = set(df.columns)
+    return df.select("*", *[
+        (F.lower(F.col(c).cast("string")) if c in have else F.lit(None).cast("string")).alias(f"_{c}_lower")
+        for c in ("summary", "aircraft_type")
+    ])
+
+
 def feature_columns(df: DataFrame) -> dict[str, Column]:
-    """Feature name -> expression. Columns the input lacks behave like nulls."""
+    """Feature name -> expression over ``lowered(df)``. Columns the input lacks behave like nulls."""
     have = set(df.columns)
 
     def source(name: str, kind: str) -> Column:
@@ -24,7 +33,6 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
     if "operator_category" in have:
         category = F.coalesce(F.col("operator_category"), category)
     summary = F.coalesce(source("summary", "string"), F.lit(""))
-    aircraft = source("aircraft_type", "string")
     cause = F.coalesce(source("extracted_cause_category", "string"), F.lit(UNKNOWN))
     phase = F.coalesce(source("extracted_phase_of_flight", "string"), F.lit(UNKNOWN))
     people = F.coalesce(aboard, F.lit(0.0))
@@ -47,13 +55,13 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
         "is_solo": C.flag(people == 1.0),
     }
     for name, pattern in vocab.AIRCRAFT_PATTERNS.items():
-        out[name] = C.flag(C.matches(aircraft, pattern))
+        out[name] = C.flag(C.matches(F.col("_aircraft_type_lower"), pattern))
     for value in vocab.CAUSE_FEATURES:
         out["cause_" + value.lower().replace(" ", "_")] = C.flag(C.first_value(cause) == value)
     for value in vocab.PHASE_FEATURES:
         out["phase_" + value.lower()] = C.flag(C.first_value(phase) == value)
     for name, pattern in vocab.SUMMARY_PATTERNS.items():
-        out[name] = C.flag(C.matches(summary, pattern))
+        out[name] = C.flag(C.matches(F.col("_summary_lower"), pattern, vocab.PHRASE_NEEDS.get(name, ())))
     out["has_cause_extracted"] = C.flag(cause != UNKNOWN)
     out["has_phase_extracted"] = C.flag(phase != UNKNOWN)
     return out
@@ -65,6 +73,7 @@ def build_features(df: DataFrame, *keep: str) -> DataFrame:
     The phrase flags are evaluated once and then reused by the death signal, so
     every pattern reads the text a single time.
     """
+    df = lowered(df)
     flags = feature_columns(df)
     signal = sum(
         (F.col(f"f_{name}") * weight for name, weight in vocab.DEATH_SIGNAL_WEIGHTS.items()), F.lit(0.0)

@@ -157,12 +157,12 @@ def apply_cluster_replies(clusters: DataFrame, replies: DataFrame) -> DataFrame:
 
 def extract_by_keywords(df: DataFrame) -> DataFrame:
     """Cause and phase read from report phrases, without any remote model."""
-    summary = F.col("summary")
+    rows, summary = df.select("id", F.lower("summary").alias("text")), F.col("text")
     cause = F.coalesce(*[
-        F.when(C.matches(summary, vocab.SUMMARY_PATTERNS[p]), F.lit(value))
+        F.when(C.matches(summary, vocab.SUMMARY_PATTERNS[p], vocab.PHRASE_NEEDS.get(p, ())), F.lit(value))
         for p, value in vocab.CAUSE_BY_PHRASE.items()
     ], F.lit(UNKNOWN))
     phase = F.coalesce(*[
         F.when(C.matches(summary, pattern), F.lit(value)) for value, pattern in vocab.PHASE_PATTERNS.items()
     ], F.lit(UNKNOWN))
-    return df.select("id", cause.alias("cause_category"), phase.alias("phase_of_flight"))
+    return rows.select("id", cause.alias("cause_category"), phase.alias("phase_of_flight"))

@@ -19,9 +19,8 @@ def reduce_dimensions(
     The fit is one distributed pass over a d x d matrix; the driver sees d x d
     numbers, never rows. Component signs are fixed by their largest loading.
     """
-    vectors = df.where(F.col(vector).isNotNull()).select(
-        F.col(key), array_to_vector(unit_length(F.col(vector))).alias("v")
-    )
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key), array_to_vector(vector).alias("raw"))
+    vectors = unit_length(rows, "raw", "v").select(key, "v")
     model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
     loadings = model.pc.toArray()
     largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,29 +47,36 @@ class TfidfModel:
     max_features: int
     stop_words: tuple[str, ...] = vocab.STOP_WORDS
 
-    def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """Normalised weights as rows (key, idx, term, weight); texts without known terms have none.
+    @cached_property
+    def terms(self) -> list[tuple[str, float]]:
+        """Terms and idf by index; the vocabulary has a fixed maximum size."""
+        return [(r["term"], r["idf"]) for r in self.vocabulary.orderBy("idx").select("term", "idf").collect()]
+
+    def vectors(self, df: DataFrame, text: str, output: str = "text_vector") -> DataFrame:
+        """Add the unit-length weight vector of each text (length ``max_features``).
 
-        The vocabulary has a fixed maximum size, so it is broadcast and unknown
-        terms are dropped before anything is shuffled.
+        Works row by row inside the JVM: no exchange, whatever the number of texts.
         """
-        known = _terms(df, key, text, self.stop_words).join(
-            F.broadcast(self.vocabulary.select("term", "idx", "idf")), "term"
+        idf = [v for _, v in self.terms] + [0.0] * (self.max_features - len(self.terms))
+        # Places beyond the fitted terms hold a word no text can contain.
+        names = [t for t, _ in self.terms] + [f"\0{i}" for i in range(len(self.terms), self.max_features)]
+        counted = CountVectorizerModel.from_vocabulary(names, "_terms", "_counts").transform(
+            df.withColumn("_words", tokens(F.col(text), self.stop_words))
+            .withColumn("_terms", unigrams_and_bigrams(F.col("_words")))
         )
-        counts = known.groupBy(key, "term", "idx", "idf").agg(F.count("*").alias("tf"))
-        raw = counts.select(key, "term", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-        per_text = raw.groupBy(key).agg(
-            F.collect_list(F.struct("term", "idx", "w")).alias("terms"),
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        )
-        return per_text.select(key, "norm", F.explode("terms").alias("t")).select(
-            key, F.col("t.idx").alias("idx"), F.col("t.term").alias("term"), (F.col("t.w") / F.col("norm")).alias("weight")
+        scaled = F.zip_with(
+            vector_to_array("_counts"), F.array(*[F.lit(v) for v in idf]),
+            lambda tf, w: F.when(tf > 0, (1 + F.log(tf)) * w).otherwise(0.0),
         )
+        raw = counted.withColumn("_raw", array_to_vector(scaled))
+        return unit_length(raw, "_raw", output).drop("_words", "_terms", "_counts", "_raw")
 
-    def vectors(self, df: DataFrame, key: str, text: str, output: str = "text_weights") -> DataFrame:
-        """Weights as an index -> weight map per text (at most ``max_features`` entries)."""
-        return self.weights(df, key, text).groupBy(key).agg(
-            F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias(output)
+    def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """Non-zero weights as rows (key, idx, term, weight); texts without known terms have none."""
+        names = F.array(*[F.lit(t) for t, _ in self.terms])
+        rows = self.vectors(df.select(key, text), text).select(key, vector_to_array("text_vector").alias("w"))
+        return rows.select(key, F.posexplode("w").alias("idx", "weight")).where(F.col("weight") != 0).select(
+            key, "idx", F.get(names, F.col("idx")).alias("term"), "weight"
         )
 
     def save(self, path: str) -> None:
@@ -133,16 +141,16 @@ def embed_text(
             for batch in batches:
                 yield pd.DataFrame({key: batch[key], "embedding": [list(v) for v in model(batch["text"].tolist())]})
 
-        raw = source.mapInPandas(encode, f"{key} {kind}, embedding array<double>")
+        encoded = source.mapInPandas(encode, f"{key} {kind}, embedding array<double>")
+        raw = encoded.select(key, array_to_vector("embedding").alias("v"))
     else:
-        hashed = HashingTF(numFeatures=dims, inputCol="words", outputCol="v").transform(
+        raw = HashingTF(numFeatures=dims, inputCol="words", outputCol="v").transform(
             source.select(key, tokens(F.col("text"), vocab.STOP_WORDS).alias("words"))
         )
-        raw = hashed.select(key, vector_to_array("v").alias("embedding"))
-    return raw.select(key, unit_length(F.col("embedding")).cast("array<float>").alias("embedding"))
+    unit = unit_length(raw, "v", "unit")
+    return unit.select(key, vector_to_array("unit", "float32").alias("embedding"))
 
 
-def unit_length(v: Column) -> Column:
-    """Divide by the Euclidean length; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+def unit_length(df: DataFrame, vector: str, output: str) -> DataFrame:
+    """Divide vectors by their Euclidean length; a zero vector stays zero."""
+    return Normalizer(p=2.0, inputCol=vector, outputCol=output).transform(df)

@@ -27,7 +27,7 @@ from ..operators.text import embed_text, fit_tfidf
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
 from ..session import cut_lineage, shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
-from ..sources.order_incidents import COLUMNS, incidents, table
+from ..sources.order_incidents import COLUMNS, incidents, table, texts
 from ..sources.sinks import backfill, replace_run, replace_table, write_coordinates
 from .dashboard import dashboard_header, dashboard_summary
 from .jobs import assign_clusters
@@ -480,20 +480,20 @@ def imputed_numbers(df):
 
 @query
 def tfidf_vocabulary(spark, sf_dir):
-    model = fit_tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = fit_tfidf(texts(spark, sf_dir), "doc_id", "text")
     return model.vocabulary.withColumn("idf", F.round("idf", 6)).drop("idx")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir)
     model = fit_tfidf(documents, "doc_id", "text")
     return model.weights(documents, "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query
 def text_vectors(spark, sf_dir):
-    return embed_text(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return embed_text(texts(spark, sf_dir), "doc_id", "text")
 
 
 @query
@@ -512,7 +512,7 @@ MODEL_SOURCES = (*FEATURE_SOURCES, "severity_label")
 
 
 def trained(spark: SparkSession, sf_dir: str):
-    rows = cut_lineage(incidents(spark, sf_dir, *MODEL_SOURCES))
+    rows = incidents(spark, sf_dir, *MODEL_SOURCES)
     return rows, train_severity(rows)
 
 
@@ -621,7 +621,7 @@ def density_labels(df):
 
 @query
 def document_clusters(spark, sf_dir):
-    vectors = cut_lineage(embed_text(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    vectors = cut_lineage(embed_text(texts(spark, sf_dir), "doc_id", "text"))
     return assign_clusters(vectors, "doc_id", k=50, dims=3, eps=0.1)
 
 

@@ -31,6 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores when they come in fewer files than that.
+
+    A table of many files keeps its splits and is not shuffled.
+    """
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def _width(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _pick(key, values) -> F.Column:
     """Value by remainder; remainders beyond the list give null."""
     expr = F.when(key == 0, F.lit(values[0]))
@@ -52,7 +65,9 @@ def incidents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         n_docs = documents.agg(F.count("*")).scalar()
         # Spread the orders over the join key first: the same exchange serves the
         # join, and the text work downstream is parallel whatever the file layout.
-        base = base.withColumn("doc_key", key % n_docs).repartition("doc_key")
+        # The width is stated, since the narrow rows here say little about the
+        # size of the texts that join them.
+        base = base.withColumn("doc_key", key % n_docs).repartition(_width(spark), "doc_key")
         base = base.join(documents.select(F.col("doc_id").alias("doc_key"), "text"), "doc_key", "left")
     if wanted & _CLUSTER:
         vectors = table(spark, sf_dir, "embeddings")
