@@ -190,14 +190,18 @@ def extraction_coverage(df: DataFrame) -> DataFrame:
 
 
 def extraction_distribution(df: DataFrame) -> DataFrame:
-    """Cause and phase counts in one long table, from one scan."""
+    """Cause and phase counts in one long table, from one scan.
+
+    Rows are counted per (cause, phase) before the pairs are unfolded.
+    """
+    counts = df.groupBy("extracted_cause_category", "extracted_phase_of_flight").agg(F.count("*").alias("k"))
     pairs = F.explode(F.array(
         F.struct(F.lit("cause").alias("field"), F.col("extracted_cause_category").alias("value")),
         F.struct(F.lit("phase").alias("field"), F.col("extracted_phase_of_flight").alias("value")),
     ))
     return (
-        df.select(pairs.alias("p")).select("p.field", "p.value").where(F.col("value").isNotNull())
-        .groupBy("field", "value").agg(F.count("*").alias("n"))
+        counts.select("k", pairs.alias("p")).select("p.field", "p.value", "k").where(F.col("value").isNotNull())
+        .groupBy("field", "value").agg(F.sum("k").alias("n"))
     )
 
 

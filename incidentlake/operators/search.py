@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import UNKNOWN
+from ..session import cut_lineage
 
 LIST_COLUMNS = (
     "id", "date", "location", "operator", "aircraft_type", "fatalities",
@@ -21,8 +22,11 @@ SORT_KEYS = {
     "severity": "severity_label", "fatalities": "fatalities", "aboard": "aboard",
 }
 MAX_PAGE_SIZE = 100
-# Up to this reach the top-k heaps may carry whole rows; beyond it only keys travel.
-WIDE_REACH = 10_000
+# Every task of a top-k hands its k rows to one merging task. Up to the first reach
+# they may be whole rows, up to the second keys; deeper pages are located by counting.
+WIDE_REACH = 50
+KEY_REACH = 100_000
+TASKS_PER_CORE = 4
 
 
 def check_range(name: str, value: int, low: int, high: int | None = None) -> int:
@@ -82,8 +86,8 @@ def search_incidents(
 ) -> DataFrame:
     """One page of matching incidents as list rows.
 
-    Early pages are one scan with a small top-k heap per task. A deep page first
-    finds its ids on the two sort columns alone and then fetches only those rows.
+    The first pages are one scan with a small heap per task. Further pages find
+    their ids on the two sort columns alone and then fetch only those rows.
     """
     check_range("page", page, 1)
     check_range("page_size", page_size, 1, MAX_PAGE_SIZE)
@@ -91,10 +95,43 @@ def search_incidents(
     hits = select_incidents(df, severity, decade, term, escape)
     skip = (page - 1) * page_size
     if skip + page_size <= WIDE_REACH:
-        return hits.orderBy(*order).offset(skip).limit(page_size).select(*LIST_COLUMNS)
-    column = SORT_KEYS.get(sort_key, "date")
-    keys = hits.select("id", column).orderBy(*order).offset(skip).limit(page_size).select("id")
-    return df.join(keys, "id", "left_semi").orderBy(*order).select(*LIST_COLUMNS)
+        return first_rows(hits, order, page_size, skip).select(*LIST_COLUMNS)
+    keys = hits.select("id", SORT_KEYS.get(sort_key, "date"))
+    find = first_rows if skip + page_size <= KEY_REACH else deep_rows
+    ids = find(keys, order, page_size, skip).select("id")
+    # At most MAX_PAGE_SIZE ids.
+    return df.join(F.broadcast(ids), "id", "left_semi").orderBy(*order).select(*LIST_COLUMNS)
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int, skip: int = 0) -> DataFrame:
+    """Rows ``skip`` to ``skip + n`` in order, through one heap per task.
+
+    A scan of very many splits is first read by a few tasks per core (no
+    shuffle), which bounds the number of heaps the last task has to merge.
+    """
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(tasks).orderBy(*order).offset(skip).limit(n)
+
+
+def deep_rows(df: DataFrame, order: list[Column], n: int, skip: int) -> DataFrame:
+    """The same rows far from the start, without sending all earlier rows through one task.
+
+    The keys are range-partitioned and stored, the partitions counted, and only
+    the one or two partitions that hold the page are ranked.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = cut_lineage(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    holding = starts.where((F.col("_start") < skip + n) & (F.col("_start") + F.col("_n") > skip))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # One row per range partition at most.
+    return (
+        placed.join(F.broadcast(holding), "_part").withColumn("_place", place)
+        .where((F.col("_place") > skip) & (F.col("_place") <= skip + n)).select(*df.columns)
+    )
 
 
 def page_info(df: DataFrame, page_size: int = 12) -> DataFrame:
@@ -130,9 +167,11 @@ def table_rows(df: DataFrame) -> DataFrame:
 def projection_points(df: DataFrame, limit: int = 2000) -> DataFrame:
     """Located points for a scatter plot, lowest ids first."""
     check_range("limit", limit, 100, 5000)
+    located = df.where(F.col("proj_x").isNotNull() & F.col("proj_y").isNotNull()).select(
+        "id", "proj_x", "proj_y", "cluster_id", "severity_label", "fatalities", "year", "operator"
+    )
     return (
-        df.where(F.col("proj_x").isNotNull() & F.col("proj_y").isNotNull())
-        .orderBy("id").limit(limit)
+        first_rows(located, [F.col("id").asc()], limit)
         .select(
             "id", F.round("proj_x", 4).alias("x"), F.round("proj_y", 4).alias("y"),
             F.coalesce("cluster_id", F.lit(-1)).alias("cluster"),
@@ -167,7 +206,9 @@ def pending_extraction(df: DataFrame, limit: int | None = None) -> DataFrame:
     queue = df.where(F.col("summary").isNotNull() & F.col("extracted_cause_category").isNull())
     if limit is None:
         return queue
-    return queue.orderBy(F.col("fatalities").desc(), F.col("id").asc()).limit(check_range("limit", limit, 0))
+    order = [F.col("fatalities").desc(), F.col("id").asc()]
+    ids = first_rows(queue.select("id", "fatalities"), order, check_range("limit", limit, 0)).select("id")
+    return df.join(ids, "id", "left_semi")
 
 
 def even_years(yearly: DataFrame, since: int = 1930) -> DataFrame:

@@ -31,6 +31,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] = CORRELATED, complete
     pairs = list(combinations(cols, 2))
 
     def both(x: str, y: str):
+        if complete:
+            return F.col(x), F.col(y)
         present = F.col(x).isNotNull() & F.col(y).isNotNull()
         return F.when(present, F.col(x)), F.when(present, F.col(y))
 
@@ -62,12 +64,16 @@ def correlation_insights(matrix: DataFrame, cols: Sequence[str] = CORRELATED) ->
     )
 
 
-def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Counts per value pair in long form; rows with a null key are left out."""
+def contingency(df: DataFrame, row: str, column: str, weight: str | None = None) -> DataFrame:
+    """Counts per value pair in long form; rows with a null key are left out.
+
+    ``weight`` names a count column of rows that are already aggregated.
+    """
+    n = F.count("*") if weight is None else F.sum(weight)
     return (
         df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
         .groupBy(F.col(row).cast("string").alias("row_key"), F.col(column).cast("string").alias("col_key"))
-        .agg(F.count("*").alias("n"))
+        .agg(n.alias("n"))
     )
 
 
@@ -91,7 +97,9 @@ def chi2_p_value(chi2: pd.Series, dof: pd.Series) -> pd.Series:
     ])
 
 
-def chi_square(df: DataFrame, row: str, column: str, name: str | None = None) -> DataFrame:
+def chi_square(
+    df: DataFrame, row: str, column: str, name: str | None = None, weight: str | None = None
+) -> DataFrame:
     """Test of independence for two columns as one row.
 
     Only cells that occur are stored. A missing cell adds exactly its expected
@@ -99,7 +107,7 @@ def chi_square(df: DataFrame, row: str, column: str, name: str | None = None) ->
     statistic needs no full grid. With one degree of freedom the continuity
     correction is applied, which moves every cell by the same amount.
     """
-    cells = contingency(df, row, column)
+    cells = contingency(df, row, column, weight)
     over_row, over_col = Window.partitionBy("row_key"), Window.partitionBy("col_key")
     marked = cells.select(
         "n", "row_key", "col_key",
@@ -140,26 +148,33 @@ def chi_square(df: DataFrame, row: str, column: str, name: str | None = None) ->
     )
 
 
-def top_operator_rows(df: DataFrame, n: int = 10) -> DataFrame:
+def top_operator_rows(df: DataFrame, n: int = 10, weight: str | None = None) -> DataFrame:
     """Rows of the ``n`` most frequent operators (at most ``n`` keys are matched)."""
+    count = F.count("*") if weight is None else F.sum(weight)
     top = (
-        df.where(F.col("operator").isNotNull()).groupBy("operator").count()
+        df.where(F.col("operator").isNotNull()).groupBy("operator").agg(count.alias("count"))
         .orderBy(F.col("count").desc(), "operator").limit(n).select("operator")
     )
     return df.join(top, "operator", "left_semi")
 
 
 def chi_square_suite(df: DataFrame) -> DataFrame:
-    """Severity against operator category, decade and the ten most frequent operators."""
-    rows = df.where(F.col("severity_label").isNotNull()).select("severity_label", "operator", "year").select(
-        "severity_label", "operator",
-        C.operator_category(F.col("operator"), "short").alias("operator_category"),
-        C.decade_label(F.col("year")).alias("decade"),
+    """Severity against operator category, decade and the ten most frequent operators.
+
+    The table is scanned once and counted per (severity, operator, decade); all
+    tests work on those counts.
+    """
+    decade = C.decade_label(F.col("year")).alias("decade")
+    counts = (
+        df.where(F.col("severity_label").isNotNull()).groupBy("severity_label", "operator", decade)
+        .agg(F.count("*").alias("k"))
+        .withColumn("operator_category", C.operator_category(F.col("operator"), "short"))
     )
+    top = top_operator_rows(counts, weight="k")
     return (
-        chi_square(rows, "severity_label", "operator_category", "Severity vs Operator Category")
-        .unionByName(chi_square(rows, "severity_label", "decade", "Severity vs Decade"))
-        .unionByName(chi_square(top_operator_rows(rows), "severity_label", "operator", "Severity vs Top 10 Operators"))
+        chi_square(counts, "severity_label", "operator_category", "Severity vs Operator Category", "k")
+        .unionByName(chi_square(counts, "severity_label", "decade", "Severity vs Decade", "k"))
+        .unionByName(chi_square(top, "severity_label", "operator", "Severity vs Top 10 Operators", "k"))
     )
 
 

@@ -13,12 +13,11 @@ def dashboard_header(df: DataFrame, clusters: DataFrame, metrics: DataFrame) ->
     """Overview figures with the number of clusters and the latest model scores; missing sides give 0."""
     n_clusters = clusters.where(F.col("cluster_label") != NOISE).agg(F.count("*")).scalar()
 
-    def latest(c: str):
-        # Largest run id wins; one value comes back whatever the number of runs.
-        return F.coalesce(metrics.agg(F.max_by(c, "run_id")).scalar(), F.lit(0.0)).alias(c)
-
+    # Largest run id wins; one value comes back whatever the number of runs.
+    scores = metrics.agg(F.max_by(F.struct("accuracy", "f1_weighted"), "run_id").alias("s")).scalar()
     return overview(df).select(
-        "*", F.coalesce(n_clusters, F.lit(0)).alias("total_clusters"), latest("accuracy"), latest("f1_weighted")
+        "*", F.coalesce(n_clusters, F.lit(0)).alias("total_clusters"),
+        *[F.coalesce(scores[c], F.lit(0.0)).alias(c) for c in ("accuracy", "f1_weighted")],
     )
 
 
