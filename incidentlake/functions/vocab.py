@@ -142,6 +142,17 @@ PHASE_PATTERNS = {
     "Ground": r"\btaxi|\bparked\b",
 }
 
+# --- words without which the phase pattern cannot match -------------------------
+PHASE_NEEDS = {
+    "Takeoff": ("off",),
+    "Landing": ("landing", "touchdown"),
+    "Approach": ("approach",),
+    "Climb": ("climb",),
+    "Descent": ("descen",),
+    "Cruise": ("cruis", "en route"),
+    "Ground": ("taxi", "parked"),
+}
+
 # --- cause by report phrase, first match wins, for the offline extractor ------
 CAUSE_BY_PHRASE = {
     "kw_structural": "Structural",

@@ -163,6 +163,7 @@ def extract_by_keywords(df: DataFrame) -> DataFrame:
         for p, value in vocab.CAUSE_BY_PHRASE.items()
     ], F.lit(UNKNOWN))
     phase = F.coalesce(*[
-        F.when(C.matches(summary, pattern), F.lit(value)) for value, pattern in vocab.PHASE_PATTERNS.items()
+        F.when(C.matches(summary, pattern, vocab.PHASE_NEEDS[value]), F.lit(value))
+        for value, pattern in vocab.PHASE_PATTERNS.items()
     ], F.lit(UNKNOWN))
     return rows.select("id", cause.alias("cause_category"), phase.alias("phase_of_flight"))

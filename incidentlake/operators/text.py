@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 
+VOCABULARY = "term string, idx int, document_count bigint, frequency bigint, idf double"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -23,20 +25,37 @@ def tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 
+def pair(a: Column, b: Column) -> Column:
+    return F.concat(a, F.lit(" "), b)
+
+
+def neighbours(words: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Combine every word with the next one."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), combine)
+
+
 def unigrams_and_bigrams(words: Column) -> Column:
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+    return F.concat(words, neighbours(words, pair))
 
 
-def _terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) -> DataFrame:
-    return (
-        df.select(F.col(key), tokens(F.col(text), stop_words).alias("words"))
-        .select(key, F.explode(unigrams_and_bigrams(F.col("words"))).alias("term"))
+def _top_terms(df: DataFrame, terms: Column, n: int, min_df: int) -> list[tuple[str, int, int]]:
+    """The ``n`` most frequent terms that occur in ``min_df`` texts, as (term, texts, uses).
+
+    Every text gives its terms once each and its distinct terms once more, so a
+    single aggregate, combined per task, yields both figures: no exchange of
+    texts and no grouping per text.
+    """
+    rows = df.select(terms.alias("t"))
+    marked = F.concat(
+        F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("use"), F.lit(0).alias("text"))),
+        F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("use"), F.lit(1).alias("text"))),
     )
+    counts = rows.select(F.explode(marked).alias("m")).groupBy(F.col("m.term").alias("term")).agg(
+        F.sum("m.text").alias("texts"), F.sum("m.use").alias("uses")
+    )
+    best = counts.where(F.col("texts") >= min_df).orderBy(F.col("uses").desc(), F.col("term").asc()).limit(n)
+    return [tuple(r) for r in best.collect()]
 
 
 @dataclass
@@ -89,31 +108,33 @@ class TfidfModel:
 
 
 def fit_tfidf(
-    train: DataFrame, key: str, text: str, max_features: int = 600, min_df: int = 2,
+    train: DataFrame, text: str, max_features: int = 600, min_df: int = 2,
     stop_words: Sequence[str] = vocab.STOP_WORDS,
 ) -> TfidfModel:
     """Most frequent words and word pairs of the training texts with their inverse document frequency.
 
-    Spreading the texts by key first keeps all terms of a text together: counting
-    per text then needs no exchange of its own, and only (term, counts) partial
-    sums travel afterwards.
+    A pair is never more frequent than its words. So the most frequent words are
+    found first, and only they and the pairs they form are counted in full. The
+    outcome is exact when the last selected term is more frequent than the words
+    left out; otherwise (few texts, flat frequencies) all pairs are counted. At
+    most a few times ``max_features`` words reach the driver.
     """
-    per_text = (
-        _terms(train.select(key, text).repartition(key), key, text, stop_words)
-        .groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
-    terms = per_text.groupBy("term").agg(F.count("*").alias("document_count"), F.sum("tf").alias("frequency"))
-    n_texts = train.agg(F.count("*")).scalar()
-    kept = (
-        terms.where(F.col("document_count") >= min_df)
-        .orderBy(F.col("frequency").desc(), F.col("term").asc()).limit(max_features)
+    words = train.select(tokens(F.col(text), stop_words).alias("words"))
+    size = 2 * max_features
+    head = (
+        words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("uses"))
+        .orderBy(F.col("uses").desc(), F.col("w").asc()).limit(size).collect()
     )
-    idf = F.log((1 + n_texts) / (1 + F.col("document_count"))) + 1
-    # At most max_features rows are left: numbering them in one task is bounded.
-    listed = kept.agg(F.array_sort(F.collect_list(F.struct("term", "document_count", "frequency"))).alias("t"))
-    vocabulary = listed.select(F.posexplode("t").alias("idx", "t")).select(
-        "t.term", "idx", "t.document_count", "t.frequency"
-    ).withColumn("idf", idf)
+    frequent = [r["w"] for r in head]
+    known = F.filter("words", lambda w: w.isin(*frequent))
+    pairs = neighbours(F.col("words"), lambda a, b: F.when(a.isin(*frequent) & b.isin(*frequent), pair(a, b)))
+    top = _top_terms(words, F.concat(known, F.filter(pairs, lambda p: p.isNotNull())), max_features, min_df)
+    exact = len(head) < size or (len(top) == max_features and top[-1][2] > head[-1]["uses"])
+    if not exact:
+        top = _top_terms(words, unigrams_and_bigrams(F.col("words")), max_features, min_df)
+    n_texts = train.count()
+    rows = [(t, i, n, uses, math.log((1 + n_texts) / (1 + n)) + 1) for i, (t, n, uses) in enumerate(sorted(top))]
+    vocabulary = train.sparkSession.createDataFrame(rows, VOCABULARY)
     return TfidfModel(vocabulary, max_features, tuple(stop_words))
 
 

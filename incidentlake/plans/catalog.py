@@ -480,14 +480,14 @@ def imputed_numbers(df):
 
 @query
 def tfidf_vocabulary(spark, sf_dir):
-    model = fit_tfidf(texts(spark, sf_dir), "doc_id", "text")
+    model = fit_tfidf(texts(spark, sf_dir), "text")
     return model.vocabulary.withColumn("idf", F.round("idf", 6)).drop("idx")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
     documents = texts(spark, sf_dir)
-    model = fit_tfidf(documents, "doc_id", "text")
+    model = fit_tfidf(documents, "text")
     return model.weights(documents, "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 

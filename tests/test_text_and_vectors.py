@@ -38,7 +38,7 @@ def brute_tfidf(texts, max_features=600, min_df=2):
 def test_tfidf(spark, limit):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
     terms, idf, want = brute_tfidf(TEXTS, limit)
-    model = fit_tfidf(df, "id", "text", limit)
+    model = fit_tfidf(df, "text", limit)
     listed = model.vocabulary.collect()
     assert {r["term"]: r["idf"] for r in listed} == pytest.approx(idf) and set(terms) == set(idf)
     got = {(r["id"], r["term"]): r["weight"] for r in model.weights(df, "id", "text").collect()}
@@ -49,7 +49,7 @@ def test_tfidf(spark, limit):
 
 def test_tfidf_save_and_load(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    model = fit_tfidf(df, "id", "text")
+    model = fit_tfidf(df, "text")
     model.save(str(tmp_path / "v"))
     again = type(model).load(spark, str(tmp_path / "v"))
     assert again.terms == model.terms
