@@ -2,6 +2,7 @@
 
 from .operators.aggregates import (
     cluster_coverage,
+    decade_chart,
     decade_trends,
     distribution_shares,
     extraction_coverage,
@@ -15,6 +16,7 @@ from .operators.aggregates import (
     top_groups,
     top_groups_share,
     value_distribution,
+    yearly_chart,
     yearly_trends,
 )
 from .operators.clusters import (

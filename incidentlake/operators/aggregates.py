@@ -110,6 +110,19 @@ def decade_trends(df: DataFrame, unit: str = "ratio") -> DataFrame:
     return rows.orderBy("decade_start").select(label, *[c for c in rows.columns if c != "decade_start"])
 
 
+def yearly_chart(yearly: DataFrame) -> DataFrame:
+    """Chart rows of the yearly trend."""
+    return yearly.select(
+        "year", F.col("incident_count").alias("incidents"), F.col("total_fatalities").alias("fatalities"),
+        F.col("avg_fatality_rate").alias("fatality_rate"),
+    )
+
+
+def decade_chart(decades: DataFrame) -> DataFrame:
+    """Chart rows of the decade trend, with the fatality rate of the decade."""
+    return decades.select("decade", "incidents", "fatalities", F.col("fatality_rate").alias("avg_fatality_rate"))
+
+
 def top_groups(df: DataFrame, key: str, n: int = 20) -> DataFrame:
     """The ``n`` most frequent non-blank values of ``key`` with their fatality figures."""
     check_range("n", n, 5, 50)

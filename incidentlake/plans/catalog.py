@@ -153,10 +153,7 @@ def extraction_queue(df):
 
 @on(*FACTS)
 def even_years(df):
-    return S.even_years(A.yearly_trends(df)).select(
-        "year", F.col("incident_count").alias("incidents"), F.col("total_fatalities").alias("fatalities"),
-        F.col("avg_fatality_rate").alias("fatality_rate"),
-    )
+    return A.yearly_chart(S.even_years(A.yearly_trends(df)))
 
 
 # --- cleaning ---------------------------------------------------------------------
@@ -253,6 +250,16 @@ def decade_trends_percent(df):
     return A.decade_trends(df, "percent")
 
 
+@on(*FACTS)
+def yearly_chart(df):
+    return A.yearly_chart(A.yearly_trends(df))
+
+
+@on(*FACTS)
+def decade_chart(df):
+    return A.decade_chart(A.decade_trends(df))
+
+
 @on("operator", "aboard", "fatalities")
 def top_operators(df):
     return A.top_groups(df, "operator", 20)
@@ -446,6 +453,22 @@ def metrics_summary(df):
     return E.metrics_summary(stored_metrics(df), 2)
 
 
+@on("id", "severity_label", "summary")
+def metrics_report(df):
+    """The per-class report of one stored run as rows."""
+    cells = phrase_confusion(df)
+    report = E.rounded_report(cells).agg(
+        F.array_sort(F.collect_list(F.struct("label", "precision", "recall", "f1", "support")))
+    ).scalar()
+    run = E.metrics_full(stored_metrics(df).withColumn("classification_report", report), 1)
+    return run.select("run_id", "accuracy", F.explode("classification_report").alias("r")).select("run_id", "accuracy", "r.*")
+
+
+@on("id", "severity_label", "summary")
+def prediction_counts(df):
+    return A.label_counts(phrase_predictions(df).where(F.col("severity_label") == "Unknown"), "predicted")
+
+
 # --- features, split, text ----------------------------------------------------------------
 
 FEATURE_SOURCES = (
@@ -595,9 +618,9 @@ def cluster_reply(label: Column) -> Column:
 
 
 def summarised_clusters(df: DataFrame) -> DataFrame:
-    """Cluster table with summaries for the clusters up to 5."""
+    """Cluster table with summaries for the deadlier clusters."""
     clusters = K.with_summary_columns(K.cluster_stats(df))
-    answered = clusters.where(F.col("cluster_label").between(0, 5))
+    answered = clusters.where(F.col("avg_fatalities") > 47)
     replies = answered.select("cluster_label", cluster_reply(F.col("cluster_label")).alias("reply"))
     return P.apply_cluster_replies(clusters, replies)
 
@@ -608,6 +631,14 @@ def cluster_cards(df):
     return flat_lists(cards, "top_operators", "top_aircraft_types", "key_contributing_factors")
 
 
+@on(*CLUSTERED)
+def cluster_rate_texts(df):
+    rate = F.col("avg_fatality_rate")
+    return K.cluster_stats(df).select(
+        "cluster_label", C.percent_text(rate).alias("one_digit"), C.percent_text(rate, 0).alias("whole")
+    )
+
+
 @on(*CLUSTERED)
 def cluster_summaries(df):
     rows = K.cluster_summaries(summarised_clusters(df)).drop("summarized_at")
@@ -625,6 +656,13 @@ def document_clusters(spark, sf_dir):
     return assign_clusters(vectors, "doc_id", k=50, dims=3, eps=0.1)
 
 
+@on("id", "proj_x", "proj_y", *[c for c in CLUSTERED if c not in ("id", "cluster_id")])
+def density_profiles(df):
+    """Density clusters written back to the incidents and profiled."""
+    filled = backfill(df, density_clusters(df, eps=0.2), "id", ["cluster_id"])
+    return flat_lists(K.cluster_stats(filled), "top_operators", "top_aircraft_types")
+
+
 @on("id", "severity_label", "summary", "operator")
 def backfill_predictions(df):
     unknown = phrase_predictions(df).where(F.col("severity_label") == "Unknown")
@@ -647,10 +685,7 @@ def extraction_prompts(df):
 
 @on(*CLUSTERED, "summary")
 def cluster_prompts(df):
-    # Two clusters lose their texts, to show the default summary.
-    text = F.when(~F.col("cluster_id").isin(2, 6), F.col("summary")).alias("summary")
-    rows = df.select(*CLUSTERED, text)
-    return P.cluster_prompts(K.cluster_stats(rows), rows)
+    return P.cluster_prompts(K.cluster_stats(df), df)
 
 
 def incident_reply(df: DataFrame) -> DataFrame:
@@ -684,7 +719,7 @@ def parsed_replies(df):
 
 @on(*REPLIED)
 def applied_replies(df):
-    some = incident_reply(df).where(F.col("id") % 2 == 0)
+    some = incident_reply(df.where(F.col("extracted_cause_category").isNotNull()))
     rows = P.apply_replies(df, some).withColumn("stamped", F.col("extracted_at").isNotNull()).drop("extracted_at")
     return flat_lists(rows, "extracted_contributing_factors")
 
@@ -747,4 +782,24 @@ def dashboard_totals(df):
 
 @on(*OVERVIEW)
 def dashboard_sections(df):
-    return dashboard_summary(df)
+    """The JSON sections of the dashboard, read back as rows."""
+    row = dashboard_summary(df)
+
+    def rows(section: str, kind: str, name: str, count: str, value: str) -> DataFrame:
+        items = F.from_json(section, f"array<struct<{kind}>>")
+        return row.select(F.explode(items).alias("i")).select(
+            F.lit(section).alias("section"), F.col(f"i.{name}").cast("string").alias("name"),
+            F.col(f"i.{count}").alias("n"), F.col(f"i.{value}").alias("value"),
+        )
+
+    head = F.from_json("overview", "total_incidents bigint, overall_fatality_rate_pct double")
+    overall = row.select(
+        F.lit("overview").alias("section"), F.lit("all").alias("name"), head["total_incidents"].alias("n"),
+        head["overall_fatality_rate_pct"].alias("value"),
+    )
+    return (
+        overall
+        .unionByName(rows("yearly", "year: int, incident_count: bigint, avg_fatality_rate: double", "year", "incident_count", "avg_fatality_rate"))
+        .unionByName(rows("severity", "severity: string, count: bigint, percentage: double", "severity", "count", "percentage"))
+        .unionByName(rows("decade", "decade: string, incidents: bigint, fatality_rate: double", "decade", "incidents", "fatality_rate"))
+    )

@@ -299,7 +299,7 @@ def names_text(column: str) -> str:
 CLUSTER_PROMPT = f"""
 texts AS (
   SELECT cluster_id, summary, row_number() OVER (PARTITION BY cluster_id ORDER BY fatalities DESC NULLS LAST, id) AS rk
-  FROM incidents WHERE summary IS NOT NULL AND cluster_id NOT IN (-1, 2, 6)),
+  FROM incidents WHERE summary IS NOT NULL AND cluster_id <> -1),
 best AS (
   SELECT cluster_id, string_agg('[' || rk || '] ' || substr(trim(summary, ' '), 1, {vocab.SAMPLE_CHARS})
     || CASE WHEN length(summary) > {vocab.SAMPLE_CHARS} THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY rk) AS summaries
@@ -427,6 +427,17 @@ def build() -> dict[str, str]:
     add("decade_trends_percent", f"""SELECT {decade}, count(*) AS incident_count, CAST({SUM_FAT} AS BIGINT) AS total_fatalities,
       {SUM_ABOARD} AS total_aboard, coalesce(round({RATE} * 100, 2), 0) AS avg_fatality_rate_pct
       FROM incidents WHERE year IS NOT NULL GROUP BY 1""")
+    add("yearly_chart", "SELECT year, incident_count AS incidents, total_fatalities AS fatalities, avg_fatality_rate AS fatality_rate FROM yearly",
+        f"yearly AS ({yearly})")
+    decades = f"""SELECT {decade}, count(*) AS incidents, round({SUM_FAT}, 1) AS fatalities,
+      coalesce(round({RATE}, 4), 0) AS avg_fatality_rate FROM incidents WHERE year IS NOT NULL GROUP BY 1"""
+    add("decade_chart", decades)
+    add("dashboard_sections", f"""SELECT 'overview' AS section, 'all' AS name, total_incidents AS n, overall_fatality_rate_pct AS value
+        FROM ({OVERVIEW_FILTERED})
+      UNION ALL SELECT 'yearly', CAST(year AS VARCHAR), incident_count, avg_fatality_rate FROM ({yearly})
+      UNION ALL SELECT 'severity', severity_label, count(*),
+        round(count(*) / CAST((SELECT count(*) FROM incidents) AS DOUBLE) * 100, 2) FROM incidents GROUP BY severity_label
+      UNION ALL SELECT 'decade', decade, incidents, avg_fatality_rate FROM ({decades})""")
     add("top_operators", top("operator", ", coalesce(round(avg(fatalities), 2), 0) AS avg_fatalities_per_incident"))
     add("top_aircraft", top("aircraft_type"))
     add("top_operators_share", top_share("operator"))
@@ -485,6 +496,11 @@ def build() -> dict[str, str]:
     add("metrics_summary", """SELECT run_id, 'PhraseRules' AS model_type, '' AS model_path, accuracy, f1_weighted, precision_weighted,
       recall_weighted, 0 AS n_estimators, CAST(0 AS BIGINT) AS training_samples, test_samples FROM runs WHERE run_id = 2""", RUNS)
 
+    add("metrics_report", """SELECT CAST(1 AS BIGINT) AS run_id, m.accuracy, r.label, round(r.prec, 4) AS precision,
+      round(r.rec, 4) AS recall, round(r.f1, 4) AS f1, r.support FROM cm_r r, cm_m m""", CM)
+    add("prediction_counts", f"""SELECT {predicted(RULES)} AS predicted, count(*) AS n FROM incidents
+      WHERE severity_label = 'Unknown' GROUP BY 1""")
+
     add("features", feature_sql())
     add("label_indices", f"SELECT id, CAST(list_position([{lst(SEVERITY_INDEX)}], severity_label) - 1 AS DOUBLE) AS label FROM incidents")
     add("split_rows", "SELECT id, severity_label, split FROM split", SPLIT)
@@ -509,13 +525,17 @@ def build() -> dict[str, str]:
     factors = "'a; b; c; d; e; f'"
     add("cluster_cards", f"""SELECT cluster_label, 'Cluster ' || cluster_label AS name, incident_count, coalesce(avg_fatality_rate, 0) AS avg_fatality_rate,
       coalesce(avg_fatalities, 0) AS avg_fatalities, dominant_severity, top_operators, top_aircraft_types, year_range_start, year_range_end,
-      CASE WHEN cluster_label <= 5 THEN 'Pattern ' || cluster_label ELSE {q(vocab.NO_SUMMARY_YET)} END AS root_cause_summary,
-      CASE WHEN cluster_label <= 5 THEN {factors} ELSE '' END AS key_contributing_factors,
-      CASE WHEN cluster_label <= 5 THEN 'Train crews' ELSE {q(vocab.NO_RECOMMENDATIONS_YET)} END AS recommendations
+      CASE WHEN avg_fatalities > 47 THEN 'Pattern ' || cluster_label ELSE {q(vocab.NO_SUMMARY_YET)} END AS root_cause_summary,
+      CASE WHEN avg_fatalities > 47 THEN {factors} ELSE '' END AS key_contributing_factors,
+      CASE WHEN avg_fatalities > 47 THEN 'Train crews' ELSE {q(vocab.NO_RECOMMENDATIONS_YET)} END AS recommendations
       FROM stats WHERE cluster_label <> -1""", STATS)
     add("cluster_summaries", f"""SELECT cluster_label, incident_count, {YEAR_RANGE} AS year_range, dominant_severity, avg_fatality_rate,
       top_operators, top_aircraft_types, 'Pattern ' || cluster_label AS root_cause_summary, {factors} AS key_contributing_factors,
-      'Train crews' AS recommendations FROM stats WHERE cluster_label BETWEEN 0 AND 5""", STATS)
+      'Train crews' AS recommendations FROM stats WHERE avg_fatalities > 47 AND cluster_label <> -1""", STATS)
+    add("cluster_rate_texts", """SELECT cluster_label, printf('%.1f%%', avg_fatality_rate * 100) AS one_digit,
+      printf('%.0f%%', avg_fatality_rate * 100) AS whole FROM stats""", STATS)
+    add("density_profiles", "SELECT * FROM stats", DENSITY, """placed AS (
+      SELECT i.* EXCLUDE (cluster_id), l.cluster_id FROM incidents i JOIN labels l ON l.id = i.id)""", STATS.replace("FROM incidents", "FROM placed"))
     add("density_labels", "SELECT id, cluster_id FROM labels", DENSITY)
     add("backfill_predictions", f"""SELECT id, severity_label, operator,
       CASE WHEN severity_label = 'Unknown' THEN {predicted(RULES)} END AS predicted_severity,
@@ -531,9 +551,10 @@ def build() -> dict[str, str]:
       FROM stats LEFT JOIN best ON best.cluster_id = stats.cluster_label WHERE cluster_label <> -1""", STATS, CLUSTER_PROMPT)
     add("parsed_replies", f"""SELECT id, {REPLY_CAUSE} AS cause_category, {REPLY_PHASE} AS phase_of_flight, {REPLY_FACTORS} AS contributing_factors,
       false AS is_mechanical_failure, id % 5 < 3 AS is_weather_related, false AS is_human_error FROM incidents""")
-    add("applied_replies", f"""SELECT id, CASE WHEN id % 2 = 0 THEN {REPLY_CAUSE} ELSE extracted_cause_category END AS extracted_cause_category,
-      CASE WHEN id % 2 = 0 THEN {REPLY_PHASE} ELSE extracted_phase_of_flight END AS extracted_phase_of_flight,
-      CASE WHEN id % 2 = 0 THEN {REPLY_FACTORS} ELSE '' END AS extracted_contributing_factors, id % 2 = 0 AS stamped FROM incidents""")
+    answered = "extracted_cause_category IS NOT NULL"
+    add("applied_replies", f"""SELECT id, CASE WHEN {answered} THEN {REPLY_CAUSE} END AS extracted_cause_category,
+      CASE WHEN {answered} THEN {REPLY_PHASE} ELSE extracted_phase_of_flight END AS extracted_phase_of_flight,
+      CASE WHEN {answered} THEN {REPLY_FACTORS} ELSE '' END AS extracted_contributing_factors, {answered} AS stamped FROM incidents""")
     causes = " ".join(f"WHEN {summary_flag(k)} THEN {q(v)}" for k, v in vocab.CAUSE_BY_PHRASE.items())
     phases = " ".join(f"WHEN {found('summary', p)} THEN {q(v)}" for v, p in vocab.PHASE_PATTERNS.items())
     add("keyword_extraction", f"""SELECT id, CASE {causes} ELSE 'Unknown' END AS cause_category,
