@@ -56,6 +56,12 @@ def test_medians_are_exact(spark, n):
     assert got == {"a": statistics.median(a.tolist()), "b": statistics.median([r[1] for r in rows if r[1] is not None])}
 
 
+def test_medians_of_skewed_values(spark):
+    values = [0.0] * 700 + [10.0 ** (i % 30) * (1 + i / 1000) for i in range(1501)] + [-1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert fit_medians(df, ["v"]) == {"v": statistics.median(values)}
+
+
 def test_features_of_a_bare_table(spark):
     row = build_features(spark.createDataFrame([(1,)], "id long"), "id").first().asDict()
     assert set(row) == {"id", *vocab.MODEL_FEATURES}
