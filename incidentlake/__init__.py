@@ -52,7 +52,7 @@ from .operators.prompts import (
     parse_cluster_replies,
     parse_replies,
 )
-from .operators.ranking import most_frequent, top_rows_per_group, top_values
+from .operators.ranking import most_frequent, top_rows_per_group, top_values, top_values_of
 from .operators.reduction import project_2d, reduce_dimensions
 from .operators.search import (
     even_years,
@@ -65,7 +65,7 @@ from .operators.search import (
     select_incidents,
     table_rows,
 )
-from .operators.severity_model import SeverityModel, label_index, label_name, score_unknown, train_severity
+from .operators.severity_model import SeverityModel, fill_unknown, label_index, label_name, score_unknown, train_severity
 from .operators.split import stratified_split
 from .operators.stats import (
     chi_square,

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.replies import factor_list
 from ..schema import NOISE
-from .ranking import most_frequent, top_rows_per_group, top_values
+from .ranking import top_rows_per_group, top_values_of
 from .search import cluster_name
 
 
 def cluster_stats(df: DataFrame, label: str = "cluster_id", run_id: int | None = None) -> DataFrame:
     """One row per cluster label, noise included.
 
-    Four aggregates on the same key joined on the label; each has at most one
-    row per cluster, so the joins are small whatever the size of the input.
+    Two scans: one for the figures, one that counts the values of the three text
+    columns together. Both combine per task before the shuffle, and their results
+    have one row per cluster.
     """
     base = df.groupBy(label).agg(
         F.count("*").alias("incident_count"),
@@ -24,18 +25,15 @@ def cluster_stats(df: DataFrame, label: str = "cluster_id", run_id: int | None =
         F.round(F.avg("fatalities"), 2).alias("avg_fatalities"),
         F.min("year").alias("year_range_start"), F.max("year").alias("year_range_end"),
     )
-    parts = (
-        most_frequent(df, label, "severity_label", "dominant_severity"),
-        top_values(df, label, "operator", 5, "top_operators"),
-        top_values(df, label, "aircraft_type", 5, "top_aircraft_types"),
-    )
-    # Each part has at most one row per cluster; AQE checks the size before broadcasting.
-    for part in parts:
-        base = base.join(part, label, "left")
+    names = top_values_of(df, label, {
+        "dominant_severity": ("severity_label", 1), "top_operators": ("operator", 5),
+        "top_aircraft_types": ("aircraft_type", 5),
+    })
+    joined = base.join(names, label, "left")
     none = F.array().cast("array<string>")
-    stats = base.select(
+    stats = joined.select(
         F.col(label).alias("cluster_label"), "incident_count", "avg_fatality_rate", "avg_fatalities",
-        "dominant_severity", F.coalesce("top_operators", none).alias("top_operators"),
+        F.get("dominant_severity", F.lit(0)).alias("dominant_severity"), F.coalesce("top_operators", none).alias("top_operators"),
         F.coalesce("top_aircraft_types", none).alias("top_aircraft_types"),
         "year_range_start", "year_range_end",
     )

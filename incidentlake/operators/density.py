@@ -84,13 +84,15 @@ def density_clusters(
     df: DataFrame, coords: Sequence[str] = ("proj_x", "proj_y"), eps: float = 0.5,
     min_samples: int = 5, min_cluster_size: int = 15, key: str = "id", label: str = "cluster_id",
 ) -> DataFrame:
-    """Cluster label per key: 0, 1, ... by size (ties: lowest key), -1 for noise.
+    """Add the cluster label: 0, 1, ... by size (ties: lowest key), -1 for noise.
 
-    ``eps`` is the side of a grid cell. Rows without coordinates are noise.
+    ``eps`` is the side of a grid cell. Rows without coordinates are noise. The
+    rows themselves are only scanned: once to count the cells and once to take
+    the label of their cell.
     """
     if not 1 <= len(coords) <= MAX_DIMENSIONS:
         raise ValueError(f"between 1 and {MAX_DIMENSIONS} coordinates, got {len(coords)}")
-    located = df.select(F.col(key), _cell(coords, eps).alias("cell"))
+    located = df.drop(label).withColumn("cell", _cell(coords, eps))
     cells = cut_lineage(
         located.where(F.col("cell").isNotNull()).groupBy("cell")
         .agg(F.count("*").alias("n"), F.min(key).alias("low_key"))
@@ -119,8 +121,9 @@ def density_clusters(
     )
     # One row per cluster that is left: at most rows / min_cluster_size of them.
     cell_label = member.join(_number(sizes), "root").select("cell", "label")
-    return _label_rows(located, cell_label, cells.count(), key).select(
-        key, F.coalesce("label", F.lit(NOISE)).cast("int").alias(label)
+    rows = _label_rows(located, cell_label, cells.count(), key)
+    return rows.withColumn(label, F.coalesce("label", F.lit(NOISE)).cast("int")).drop(
+        *{"cell", "label", "salt"} - {label}
     )
 
 

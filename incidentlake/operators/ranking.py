@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def top_values(df: DataFrame, group: str, value: str, n: int = 5, name: str | None = None) -> DataFrame:
-    """The ``n`` most frequent values per group as an ordered array (ties: alphabetical).
+    """The ``n`` most frequent values per group as an ordered array (ties: alphabetical)."""
+    return top_values_of(df, group, {name or f"top_{value}": (value, n)})
+
+
+def top_values_of(df: DataFrame, group: str, wanted: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Several top lists per group from one scan: output name -> (column, length).
 
     Values are counted first, so the ranking window sees one row per (group,
-    value); its rank filter also runs before the shuffle of that small table.
+    column, value); its rank filter also runs before the shuffle of that small
+    table.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("n").desc(), F.col(value).asc()))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= n)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(value).alias("value"))))
-    return best.groupBy(group).agg(F.transform(ordered, lambda x: x["value"]).alias(name or f"top_{value}"))
+    entries = F.array(*[
+        F.struct(F.lit(name).alias("list"), F.col(c).cast("string").alias("value")) for name, (c, _) in wanted.items()
+    ])
+    rows = df.select(group, F.explode(entries).alias("e")).where(F.col("e.value").isNotNull())
+    counts = rows.groupBy(group, F.col("e.list").alias("list"), F.col("e.value").alias("value")).agg(
+        F.count("*").alias("n")
+    )
+    rank = F.row_number().over(Window.partitionBy(group, "list").orderBy(F.col("n").desc(), F.col("value").asc()))
+    longest = max(n for _, n in wanted.values())
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= longest)
+
+    def ordered(name: str, n: int):
+        mine = (F.col("list") == name) & (F.col("rank") <= n)
+        found = F.array_sort(F.collect_list(F.when(mine, F.struct("rank", "value"))))
+        return F.transform(found, lambda x: x["value"]).alias(name)
+
+    return best.groupBy(group).agg(*[ordered(name, n) for name, (_, n) in wanted.items()])
 
 
 def most_frequent(df: DataFrame, group: str, value: str, name: str | None = None) -> DataFrame:

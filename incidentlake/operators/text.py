@@ -12,6 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vocab
 
@@ -144,32 +145,33 @@ def incident_text() -> Column:
 
 
 def embed_text(
-    df: DataFrame, key: str, text: Column | str, dims: int = 384,
+    df: DataFrame, text: Column | str, dims: int = 384, output: str = "embedding",
     encoder: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]] | None = None,
 ) -> DataFrame:
-    """Unit-length text vectors as (key, embedding array<float>).
+    """Add the unit-length vector (array<float>) of each text.
 
     The default hashes words into ``dims`` buckets inside the JVM. ``encoder``
-    builds any other model once per task and encodes Arrow batches with it.
+    builds any other model once per task and encodes Arrow batches with it; only
+    the text column is shipped to Python.
     """
-    column = F.col(text) if isinstance(text, str) else text
-    source = df.select(F.col(key), F.coalesce(column, F.lit("")).alias("text"))
+    column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     if encoder is not None:
-        kind = source.schema[key].dataType.simpleString()
+        raw = df.withColumn("_v", array_to_vector(_encode(encoder)(column)))
+    else:
+        words = df.withColumn("_words", tokens(column, vocab.STOP_WORDS))
+        raw = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_v").transform(words).drop("_words")
+    unit = unit_length(raw, "_v", "_unit")
+    return unit.withColumn(output, vector_to_array("_unit", "float32")).drop("_v", "_unit")
 
-        def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = encoder()
-            for batch in batches:
-                yield pd.DataFrame({key: batch[key], "embedding": [list(v) for v in model(batch["text"].tolist())]})
 
-        encoded = source.mapInPandas(encode, f"{key} {kind}, embedding array<double>")
-        raw = encoded.select(key, array_to_vector("embedding").alias("v"))
-    else:
-        raw = HashingTF(numFeatures=dims, inputCol="words", outputCol="v").transform(
-            source.select(key, tokens(F.col("text"), vocab.STOP_WORDS).alias("words"))
-        )
-    unit = unit_length(raw, "v", "unit")
-    return unit.select(key, vector_to_array("unit", "float32").alias("embedding"))
+def _encode(encoder: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]) -> Callable[[Column], Column]:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encoder()
+        for batch in batches:
+            yield pd.Series([[float(x) for x in v] for v in model(batch.tolist())])
+
+    return encode
 
 
 def unit_length(df: DataFrame, vector: str, output: str) -> DataFrame:

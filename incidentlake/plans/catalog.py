@@ -25,7 +25,7 @@ from ..operators.severity_model import label_index, score_unknown, train_severit
 from ..operators.split import stratified_split
 from ..operators.text import embed_text, fit_tfidf
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
-from ..session import cut_lineage, shared_dir
+from ..session import shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
 from ..sources.order_incidents import COLUMNS, incidents, table, texts
 from ..sources.sinks import backfill, replace_run, replace_table, write_coordinates
@@ -516,17 +516,17 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def text_vectors(spark, sf_dir):
-    return embed_text(texts(spark, sf_dir), "doc_id", "text")
+    return embed_text(texts(spark, sf_dir), "text").select("doc_id", "embedding")
 
 
 @query
 def reduced_vectors(spark, sf_dir):
-    return reduce_dimensions(table(spark, sf_dir, "embeddings"), "vec_id", k=50)
+    return reduce_dimensions(table(spark, sf_dir, "embeddings"), k=50).select("vec_id", "reduced")
 
 
 @query
 def projected_vectors(spark, sf_dir):
-    return project_2d(table(spark, sf_dir, "embeddings"), "vec_id")
+    return project_2d(table(spark, sf_dir, "embeddings")).select("vec_id", "proj_x", "proj_y")
 
 
 # --- classifier ------------------------------------------------------------------------------
@@ -647,13 +647,13 @@ def cluster_summaries(df):
 
 @on("id", "proj_x", "proj_y")
 def density_labels(df):
-    return density_clusters(df, eps=0.2)
+    return density_clusters(df, eps=0.2).select("id", "cluster_id")
 
 
 @query
 def document_clusters(spark, sf_dir):
-    vectors = cut_lineage(embed_text(texts(spark, sf_dir), "doc_id", "text"))
-    return assign_clusters(vectors, "doc_id", k=50, dims=3, eps=0.1)
+    vectors = embed_text(texts(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
+    return assign_clusters(vectors, key="doc_id", k=50, dims=3, eps=0.1).drop("embedding")
 
 
 @on("id", "proj_x", "proj_y", *[c for c in CLUSTERED if c not in ("id", "cluster_id")])

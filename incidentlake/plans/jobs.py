@@ -14,41 +14,49 @@ from pyspark.sql import functions as F
 from ..operators.clusters import cluster_stats, with_summary_columns
 from ..operators.density import density_clusters
 from ..operators.prompts import cluster_prompts, extraction_prompts
-from ..operators.reduction import leading, project_2d, reduce_dimensions
-from ..operators.severity_model import SeverityModel, Training, score_unknown, train_severity
+from ..operators.reduction import at, reduce_dimensions
+from ..operators.severity_model import SeverityModel, Training, fill_unknown, train_severity
 from ..operators.text import embed_text, incident_text
-from ..session import cut_lineage
-from ..sources.sinks import backfill, replace_run, replace_table, write_coordinates
+from ..sources.sinks import replace_run, replace_table, write_coordinates
+
+
+ASSIGNED = ("cluster_id", "proj_x", "proj_y")
 
 
 def assign_clusters(
-    vectors: DataFrame, key: str = "id", k: int = 50, dims: int = 3, eps: float = 0.1,
+    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50, dims: int = 3, eps: float = 0.1,
     min_samples: int = 5, min_cluster_size: int = 15,
 ) -> DataFrame:
-    """Cluster label and plot coordinates per vector.
+    """Add cluster label and plot coordinates to rows that carry a vector.
 
     The vectors are reduced to ``k`` components; the grid of the density step
-    uses the first ``dims`` of them. The plot coordinates come from the original
-    vectors, not from the reduced ones.
+    uses the first ``dims`` of them, the plot the first two, which are the same
+    as those of a separate two-dimensional fit.
     """
-    reduced, names = leading(reduce_dimensions(vectors, key, k=max(k, dims)), "reduced", dims)
-    labels = density_clusters(reduced, names, eps, min_samples, min_cluster_size, key)
-    return labels.join(project_2d(vectors, key), key)
+    names = [f"_c{i}" for i in range(dims)]
+    reduced = reduce_dimensions(df.drop(*ASSIGNED), vector, max(k, dims, 2), "_reduced")
+    placed = reduced.withColumns({c: at("_reduced", i) for i, c in enumerate(names)})
+    placed = placed.withColumns({"proj_x": at("_reduced", 0), "proj_y": at("_reduced", 1)}).drop("_reduced")
+    return density_clusters(placed, names, eps, min_samples, min_cluster_size, key).drop(*names)
 
 
 def build_clusters(
     df: DataFrame, out: str, run_id: int, text: Column | None = None, **options: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Embed, reduce, cluster; store the back-filled incidents and the cluster table of the run."""
-    vectors = cut_lineage(embed_text(df, "id", text if text is not None else incident_text()))
-    assigned = cut_lineage(assign_clusters(vectors, "id", **options))
-    filled = backfill(df, assigned, "id", ["cluster_id", "proj_x", "proj_y"])
-    replace_table(filled, f"{out}/incidents_clustered_{run_id}")
-    write_coordinates(assigned, f"{out}/coordinates", run_id)
-    stored = df.sparkSession.read.parquet(f"{out}/incidents_clustered_{run_id}")
-    clusters = with_summary_columns(cluster_stats(stored, run_id=run_id))
-    replace_table(clusters, f"{out}/clusters_{run_id}")
-    return stored, df.sparkSession.read.parquet(f"{out}/clusters_{run_id}")
+    """Embed, reduce, cluster; store the back-filled incidents and the cluster table of the run.
+
+    Embedding, reduction and labelling are row-wise once fitted, so the incidents
+    are rewritten in a scan without being shuffled.
+    """
+    spark, path = df.sparkSession, f"{out}/incidents_clustered_{run_id}"
+    vectors = embed_text(df, text if text is not None else incident_text())
+    assigned = assign_clusters(vectors, **options).drop("embedding")
+    kept = [c for c in df.columns if c not in ASSIGNED]
+    replace_table(assigned.select(*kept, *ASSIGNED), path)
+    stored = spark.read.parquet(path)
+    write_coordinates(stored, f"{out}/coordinates", run_id)
+    replace_table(with_summary_columns(cluster_stats(stored, run_id=run_id)), f"{out}/clusters_{run_id}")
+    return stored, spark.read.parquet(f"{out}/clusters_{run_id}")
 
 
 def metrics_row(training: Training, run_id: int, model_path: str | None, test_size: float = 0.20) -> DataFrame:
@@ -80,8 +88,7 @@ def train_and_score(df: DataFrame, out: str, run_id: int, **options: object) ->
     training.model.save(spark, path)
     replace_run(metrics_row(training, run_id, path), f"{out}/model_metrics", run_id)
     stored = SeverityModel.load(spark, path)
-    filled = backfill(df, score_unknown(stored, df), "id", ["predicted_severity", "prediction_confidence"])
-    replace_table(filled, f"{out}/incidents_scored_{run_id}")
+    replace_table(fill_unknown(stored, df), f"{out}/incidents_scored_{run_id}")
     return training, spark.read.parquet(f"{out}/incidents_scored_{run_id}")
 
 

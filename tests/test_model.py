@@ -10,6 +10,7 @@ from incidentlake import (
     build_clusters,
     dashboard_header,
     dashboard_summary,
+    fill_unknown,
     fit_medians,
     prepare_prompts,
     score_unknown,
@@ -112,6 +113,14 @@ def test_scores_only_the_unknown(reports, training):
     assert score_unknown(training.model, reports.where("severity_label <> 'Unknown'")).count() == 0
 
 
+def test_filling_in_place_equals_the_join(reports, training):
+    filled = fill_unknown(training.model, reports)
+    cols = ["predicted_severity", "prediction_confidence"]
+    joined = backfill(reports.drop(*cols), score_unknown(training.model, reports), "id", cols)
+    assert filled.select(*joined.columns).exceptAll(joined).count() == 0 and filled.count() == joined.count()
+    assert "Exchange" not in filled._jdf.queryExecution().executedPlan().toString().replace("InMemory", "")
+
+
 def test_model_survives_storage(spark, reports, training, tmp_path):
     training.model.save(spark, str(tmp_path))
     again = SeverityModel.load(spark, str(tmp_path))

@@ -57,7 +57,7 @@ def test_tfidf_save_and_load(spark, tmp_path):
 
 def test_embedding(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    got = {r["id"]: np.array(r["embedding"]) for r in embed_text(df, "id", "text", 64).collect()}
+    got = {r["id"]: np.array(r["embedding"]) for r in embed_text(df, "text", 64).collect()}
     assert len(got) == len(TEXTS) and all(len(v) == 64 for v in got.values())
     assert np.linalg.norm(got[0]) == pytest.approx(1.0, abs=1e-6) and np.linalg.norm(got[5]) == 0.0
     assert got[0] @ got[1] > got[0] @ got[2]
@@ -69,7 +69,7 @@ def test_embedding_with_an_encoder(spark):
     def build():
         return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
-    got = {r["id"]: r["embedding"] for r in embed_text(df, "id", "text", encoder=build).collect()}
+    got = {r["id"]: r["embedding"] for r in embed_text(df, "text", encoder=build).collect()}
     assert got[3] == pytest.approx([2 / math.sqrt(5), 1 / math.sqrt(5)], abs=1e-6)
 
 
@@ -77,10 +77,10 @@ def test_components_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)) * np.array([5, 3, 2, 1, 1, 0.5, 0.5, 0.2])
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, embedding array<double>")
-    got = np.array([r["reduced"] for r in reduce_dimensions(df, "id", k=3).orderBy("id").collect()])
+    got = np.array([r["reduced"] for r in reduce_dimensions(df, k=3).orderBy("id").collect()])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     vt = np.linalg.svd(unit - unit.mean(0), full_matrices=False)[2][:3]
     vt *= np.sign(vt[np.arange(3), np.abs(vt).argmax(1)])[:, None]
     assert np.allclose(got, unit @ vt.T, atol=1e-8)
-    flat = np.array([[r["proj_x"], r["proj_y"]] for r in project_2d(df, "id").orderBy("id").collect()])
+    flat = np.array([[r["proj_x"], r["proj_y"]] for r in project_2d(df).orderBy("id").collect()])
     assert np.allclose(flat, got[:, :2], atol=1e-8)
