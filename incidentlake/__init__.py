@@ -81,6 +81,6 @@ from .plans.dashboard import dashboard_header, dashboard_summary
 from .plans.jobs import assign_clusters, build_clusters, prepare_prompts, train_and_score
 from .session import build_session
 from .sources.incidents import clean_incidents, read_incidents, read_incidents_csv, trainable
-from .sources.sinks import backfill, replace_run, replace_table, write_coordinates
+from .sources.sinks import backfill, replace_run, replace_table, write_coordinates, write_incidents
 
 __all__ = [name for name in dir() if not name.startswith("_")]

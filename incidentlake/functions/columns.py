@@ -8,16 +8,27 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import UNKNOWN
+from ..schema import INCIDENT_SCHEMA, UNKNOWN
 from . import vocab
 
 _PLAIN = re.compile(r"[a-z0-9 -]+")
 
 
+def with_fields(df: DataFrame, *names: str) -> DataFrame:
+    """Add absent incident fields as typed nulls, so that a narrower table gives defaults instead of errors."""
+    missing = [f for f in INCIDENT_SCHEMA.fields if f.name in names and f.name not in df.columns]
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]) if missing else df
+
+
+def first_present(df: DataFrame, *names: str) -> str:
+    """The first of the names that is a column; the first name when none is."""
+    return next((n for n in names if n in df.columns), names[0])
+
+
 def as_double(c: Column) -> Column:
     """Number or null; text that is no number becomes null."""
     return c.try_cast("double")

@@ -14,6 +14,10 @@ from ..schema import NOISE, UNKNOWN
 from .search import check_range
 
 
+OVERVIEW_FIELDS = ("fatalities", "aboard", "year", "operator", "aircraft_type", "location", "severity_label")
+NAME_COLUMNS = {"operator": ("operator", "airline"), "aircraft_type": ("aircraft_type", "aircraft")}
+
+
 def _rate(scale: float, digits: int) -> Column:
     ratio = C.ratio_of_sums(F.col("fatalities"), F.col("aboard"))
     return F.round(ratio * scale if scale != 1 else ratio, digits)
@@ -21,6 +25,7 @@ def _rate(scale: float, digits: int) -> Column:
 
 def overview(df: DataFrame) -> DataFrame:
     """Headline figures over rows with known fatalities and people aboard; rates in percent."""
+    df = C.with_fields(df, *OVERVIEW_FIELDS)
     rows = df.where(F.col("fatalities").isNotNull() & (F.col("aboard") > 0))
     survivors = F.sum(F.col("aboard") - F.col("fatalities"))
     return rows.agg(
@@ -39,6 +44,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 def overview_all(df: DataFrame) -> DataFrame:
     """Headline figures over all rows; rates as ratios, plus the severity counts as a map."""
+    df = C.with_fields(df, *OVERVIEW_FIELDS)
     severities = (
         df.where(F.col("severity_label").isNotNull()).groupBy("severity_label").count()
         .agg(F.map_from_entries(F.collect_list(F.struct("severity_label", "count"))).alias("m")).scalar()
@@ -65,7 +71,7 @@ def yearly_trends(df: DataFrame, unit: str = "ratio", window: int = 5) -> DataFr
     incidents are skipped, not counted as zero); ``percent`` gives the rate in
     percent with 0 for years without people aboard.
     """
-    per_year = df.where(F.col("year").isNotNull()).groupBy("year")
+    per_year = C.with_fields(df, "year", "fatalities", "aboard").where(F.col("year").isNotNull()).groupBy("year")
     fatalities = C.total(F.col("fatalities")).cast("bigint")
     if unit == "percent":
         return per_year.agg(
@@ -89,7 +95,7 @@ def yearly_trends(df: DataFrame, unit: str = "ratio", window: int = 5) -> DataFr
 
 def decade_trends(df: DataFrame, unit: str = "ratio") -> DataFrame:
     """Counts and fatality rate per decade, labelled like ``1980s``."""
-    per_decade = df.where(F.col("year").isNotNull()).groupBy(C.decade_of(F.col("year")).alias("decade_start"))
+    per_decade = C.with_fields(df, "year", "fatalities", "aboard").where(F.col("year").isNotNull()).groupBy(C.decade_of(F.col("year")).alias("decade_start"))
     if unit == "percent":
         rows = per_decade.agg(
             F.count("*").alias("incident_count"),
@@ -141,6 +147,8 @@ def top_groups(df: DataFrame, key: str, n: int = 20) -> DataFrame:
 def top_groups_share(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The ``n`` most frequent values with their share of all rows (null keys count in the total)."""
     check_range("n", n, 1)
+    source = C.first_present(df, *NAME_COLUMNS.get(key, (key,)))
+    df = C.with_fields(df.withColumnRenamed(source, key), key, "fatalities")
     groups = df.groupBy(key).agg(F.count("*").alias("incident_count"), C.total(F.col("fatalities")).alias("f"))
     total = groups.agg(F.sum("incident_count")).scalar()
     return (
@@ -167,7 +175,7 @@ def quick_stats(df: DataFrame) -> DataFrame:
 
 def severity_distribution(df: DataFrame, null_as: str | None = UNKNOWN, digits: int = 2) -> DataFrame:
     """Count and percentage per severity; ``null_as=None`` drops unlabelled rows."""
-    label = F.col("severity_label")
+    df, label = C.with_fields(df, "severity_label"), F.col("severity_label")
     rows = df.where(label.isNotNull()) if null_as is None else df
     severity = label if null_as is None else F.coalesce(label, F.lit(null_as))
     counts = rows.groupBy(severity.alias("severity")).agg(F.count("*").alias("n"))

@@ -40,13 +40,18 @@ def by_severity(df: DataFrame, severity: str | None) -> DataFrame:
 
 
 def by_decade(df: DataFrame, decade: str | None) -> DataFrame:
-    """Years of a decade such as ``1980s``; text that is no decade filters nothing."""
+    """Years of a decade such as ``1980s``; text that is no decade filters nothing.
+
+    A table stored by decade is pruned to the partitions the years lie in.
+    """
     if not decade or decade == "All":
         return df
     try:
         start = int(decade.replace("s", ""))
     except ValueError:
         return df
+    if "decade" in df.columns:
+        df = df.where(F.col("decade").between(start - start % 10, start + 9))
     return df.where(F.col("year").between(start, start + 9))
 
 

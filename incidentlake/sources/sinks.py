@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import decade_of
+
 
 def backfill(df: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Take ``cols`` from ``updates`` where a key has a row there; other rows stay as they are.
@@ -37,6 +39,16 @@ def replace_run(df: DataFrame, path: str, run_id: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def write_incidents(df: DataFrame, path: str) -> None:
+    """Store incidents by decade, so that searches by decade read only their files.
+
+    The rebalancing step splits a decade that holds most rows over many files and
+    keeps small decades from being scattered.
+    """
+    rows = df.withColumn("decade", decade_of(F.col("year")))
+    rows.hint("rebalance", "decade").write.mode("overwrite").partitionBy("decade").parquet(path)
+
+
 def write_coordinates(df: DataFrame, path: str, run_id: int, key: str = "id") -> None:
     """Store the plot coordinates of one run."""
     replace_run(df.select(key, "proj_x", "proj_y"), path, run_id)

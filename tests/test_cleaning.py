@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from incidentlake import clean_incidents, read_incidents, read_incidents_csv, trainable
+from incidentlake import clean_incidents, read_incidents, read_incidents_csv, select_incidents, trainable, write_incidents
 from incidentlake.functions import columns as C
 from incidentlake.schema import INCIDENT_SCHEMA
 
@@ -78,6 +78,20 @@ def test_stored_incidents_are_pruned(spark, tmp_path):
     assert "ReadSchema: struct<id:bigint,year:int,severity_label:string>" in plan
 
 
+def test_stored_by_decade(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, 1980 + i % 10 if i < 900 else (1950 if i < 990 else None), "Fatal") for i in range(1000)]
+    write_incidents(spark.createDataFrame(rows, "id long, year int, severity_label string"), path)
+    stored = spark.read.parquet(path)
+    found = select_incidents(stored, decade="1950s")
+    assert found.count() == 90 and stored.where("year is null").count() == 10 and stored.count() == 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(decade" in plan and "rebalance" not in plan.lower()
+    assert select_incidents(stored, decade="1985s").count() == stored.where("year between 1985 and 1994").count()
+    full = read_incidents(spark, path)
+    assert full.where("year = 1950").count() == 90
+
+
 def test_phrase_guards_do_not_change_matches(spark):
     from incidentlake.functions import vocab
     texts = [

@@ -6,7 +6,18 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import functions as F
 
-from incidentlake import chi_square, chi_square_suite, correlation_insights, correlation_matrix, top_groups, yearly_trends
+from incidentlake import (
+    chi_square,
+    chi_square_suite,
+    correlation_insights,
+    correlation_matrix,
+    decade_trends,
+    overview_all,
+    severity_distribution,
+    top_groups,
+    top_groups_share,
+    yearly_trends,
+)
 from incidentlake.operators.stats import _chi2_tail
 
 
@@ -97,3 +108,13 @@ def test_ties_are_broken_by_name(spark):
         top_groups(df, "operator", 4)
     zero = df.withColumn("aboard", F.lit(0.0))
     assert {r["fatality_rate"] for r in top_groups(zero, "operator", 5).collect()} == {0.0}
+
+
+def test_narrow_tables_give_defaults(spark):
+    df = spark.createDataFrame([("A",), ("A",), ("B",)], "airline string")
+    row = overview_all(df).first()
+    assert (row["total_incidents"], row["total_fatalities"], row["overall_fatality_rate_ratio"], row["year_min"]) == (3, 0, 0.0, None)
+    assert row["severity_distribution"] == {} and row["unique_operators"] == 0
+    assert yearly_trends(df).count() == 0 and decade_trends(df).count() == 0
+    assert severity_distribution(df, None).count() == 0
+    assert [tuple(r) for r in top_groups_share(df, "operator").collect()] == [("A", 2, 66.7, 0), ("B", 1, 33.3, 0)]
