@@ -1,5 +1,9 @@
 """Incident analytics as composable Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .operators.aggregates import (
     cluster_coverage,
     decade_chart,
@@ -83,4 +87,7 @@ from .session import build_session
 from .sources.incidents import clean_incidents, read_incidents, read_incidents_csv, trainable
 from .sources.sinks import backfill, replace_run, replace_table, write_coordinates, write_incidents
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+# Ship the few Python helpers with the tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = [name for name in dir() if not name.startswith("_") and name not in ("sys", "cloudpickle")]

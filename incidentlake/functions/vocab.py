@@ -165,7 +165,7 @@ CAUSE_BY_PHRASE = {
 # --- texts shown when a cluster has no summary yet ----------------------------
 NO_SUMMARY_YET = "LLM summary not yet generated."
 NO_RECOMMENDATIONS_YET = "No recommendations yet."
-NO_TEXT_SUMMARY = ("Cluster ", " contains incidents without sufficient summary text for LLM analysis.")
+NO_TEXT_SUMMARY = "Cluster {label} contains incidents without sufficient summary text for LLM analysis."
 NO_TEXT_RECOMMENDATION = "Collect more incident documentation for this cluster."
 
 # --- prompt texts; {name} marks a filled place --------------------------------

@@ -73,11 +73,9 @@ def cluster_prompts(clusters: DataFrame, df: DataFrame) -> DataFrame:
     )
     real = clusters.where(F.col("cluster_label") != NOISE)
     no_text = F.col("summaries").isNull()
-    lead, tail = vocab.NO_TEXT_SUMMARY
     return real.join(texts, "cluster_label", "left").select(
         "cluster_label", F.when(~no_text, prompt).alias("prompt"),
-        F.when(no_text, F.concat(F.lit(lead), F.col("cluster_label").cast("string"), F.lit(tail)))
-        .alias("default_summary"),
+        F.when(no_text, fill(vocab.NO_TEXT_SUMMARY, label=F.col("cluster_label"))).alias("default_summary"),
         F.when(no_text, F.lit(vocab.NO_TEXT_RECOMMENDATION)).alias("default_recommendations"),
     )
 

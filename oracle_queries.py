@@ -551,9 +551,8 @@ def build() -> dict[str, str]:
 
     add("extraction_prompts", f"""SELECT id, {fill(vocab.EXTRACTION_PROMPT, summary=f"substr(trim(summary, ' '), 1, {vocab.EXTRACTION_CHARS})")} AS prompt
       FROM incidents WHERE summary IS NOT NULL AND extracted_cause_category IS NULL AND trim(summary, ' ') <> ''""")
-    lead, tail = vocab.NO_TEXT_SUMMARY
     add("cluster_prompts", f"""SELECT cluster_label, CASE WHEN summaries IS NOT NULL THEN {FILLED} END AS prompt,
-      CASE WHEN summaries IS NULL THEN {q(lead)} || cluster_label || {q(tail)} END AS default_summary,
+      CASE WHEN summaries IS NULL THEN {fill(vocab.NO_TEXT_SUMMARY, label="cluster_label")} END AS default_summary,
       CASE WHEN summaries IS NULL THEN {q(vocab.NO_TEXT_RECOMMENDATION)} END AS default_recommendations
       FROM stats LEFT JOIN best ON best.cluster_id = stats.cluster_label WHERE cluster_label <> -1""", STATS, CLUSTER_PROMPT)
     add("parsed_replies", f"""SELECT id, {REPLY_CAUSE} AS cause_category, {REPLY_PHASE} AS phase_of_flight, {REPLY_FACTORS} AS contributing_factors,
