@@ -32,7 +32,7 @@ from .operators.clusters import (
     real_clusters,
     summarised,
 )
-from .operators.density import density_clusters
+from .operators.density import default_eps, density_clusters
 from .operators.evaluation import (
     class_report,
     classification_metrics,
@@ -83,7 +83,7 @@ from .operators.stats import (
 from .operators.text import TfidfModel, embed_text, fit_tfidf
 from .plans.dashboard import dashboard_header, dashboard_summary
 from .plans.jobs import assign_clusters, build_clusters, prepare_prompts, train_and_score
-from .session import build_session
+from .session import build_session, sizing
 from .sources.incidents import clean_incidents, read_incidents, read_incidents_csv, trainable
 from .sources.sinks import backfill, replace_run, replace_table, write_coordinates, write_incidents
 

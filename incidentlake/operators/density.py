@@ -12,6 +12,7 @@ than ``min_cluster_size`` rows, are noise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
 
@@ -80,18 +81,34 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def default_eps(df: DataFrame, coords: Sequence[str], min_samples: int = 5) -> float:
+    """Cell side at which evenly spread rows would put ``2 * min_samples`` rows into a cell.
+
+    Taken from the standard deviations, rounded to two digits so that the order
+    of summation cannot move the grid.
+    """
+    row = df.agg(F.count(coords[0]).alias("n"), *[F.stddev_pop(c).alias(c) for c in coords]).first()
+    spread = [4 * row[c] for c in coords if row[c]]
+    if not spread:
+        return 1.0
+    side = (math.prod(spread) / max(row["n"] / (2 * min_samples), 1.0)) ** (1 / len(spread))
+    return float(f"{side:.1e}")
+
+
 def density_clusters(
-    df: DataFrame, coords: Sequence[str] = ("proj_x", "proj_y"), eps: float = 0.5,
+    df: DataFrame, coords: Sequence[str] = ("proj_x", "proj_y"), eps: float | None = None,
     min_samples: int = 5, min_cluster_size: int = 15, key: str = "id", label: str = "cluster_id",
 ) -> DataFrame:
     """Add the cluster label: 0, 1, ... by size (ties: lowest key), -1 for noise.
 
-    ``eps`` is the side of a grid cell. Rows without coordinates are noise. The
+    ``eps`` is the side of a grid cell; without it one is taken from the spread of
+    the coordinates. Rows without coordinates are noise. The
     rows themselves are only scanned: once to count the cells and once to take
     the label of their cell.
     """
     if not 1 <= len(coords) <= MAX_DIMENSIONS:
         raise ValueError(f"between 1 and {MAX_DIMENSIONS} coordinates, got {len(coords)}")
+    eps = eps or default_eps(df, coords, min_samples)
     located = df.drop(label).withColumn("cell", _cell(coords, eps))
     cells = cut_lineage(
         located.where(F.col("cell").isNotNull()).groupBy("cell")

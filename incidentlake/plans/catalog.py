@@ -672,7 +672,7 @@ def density_labels(df):
 @query
 def document_clusters(spark, sf_dir):
     vectors = embed_text(texts(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
-    return assign_clusters(vectors, key="doc_id", k=50, dims=3, eps=0.1).drop("embedding")
+    return assign_clusters(vectors, key="doc_id").drop("embedding")
 
 
 @on("id", "proj_x", "proj_y", *[c for c in CLUSTERED if c not in ("id", "cluster_id")])

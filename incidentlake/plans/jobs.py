@@ -24,7 +24,7 @@ ASSIGNED = ("cluster_id", "proj_x", "proj_y")
 
 
 def assign_clusters(
-    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50, dims: int = 3, eps: float = 0.1,
+    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50, dims: int = 3, eps: float | None = None,
     min_samples: int = 5, min_cluster_size: int = 15,
 ) -> DataFrame:
     """Add cluster label and plot coordinates to rows that carry a vector.

@@ -17,6 +17,26 @@ SETTINGS = {
 }
 
 
+def sizing(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a table of this size, to pass to ``build_session``.
+
+    Shuffles start with about 200 MB per partition, at least three partitions per
+    core and not more than the shuffle bookkeeping bears: most shuffles here move
+    combined counts, far less than the input, and whole rows spill. Adaptive
+    execution merges what turns out small and splits skewed partitions. Scans read
+    larger splits as the table grows, so that the number of tasks stays manageable.
+    """
+    mb = 1024 * 1024
+    partitions = max(3 * cores, min(-(-input_bytes // (200 * mb)), 40_000))
+    split = min(1024, max(128, -(-input_bytes // (mb * 50 * max(cores, 1)))))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": f"{split}m",
+    }
+
+
 def build_session(app: str = "incidentlake", master: str | None = None, **extra: str) -> SparkSession:
     """Session with adaptive execution on; a cluster passes its own master and sizes."""
     builder = SparkSession.builder.appName(app)

@@ -75,6 +75,18 @@ def test_planted_groups_and_noise(spark):
     assert len(set(got.values())) == 4
 
 
+def test_no_side_given(spark):
+    rng = np.random.default_rng(1)
+    points = blobs(rng, [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)], 200, 0.5)
+    points.update({1000 + i: (40.0 + 9 * i, -40.0) for i in range(5)})
+    got = run(spark, points, None)
+    assert {got[1000 + i] for i in range(5)} == {-1}
+    assert [len({got[i] for i in range(g * 200, g * 200 + 200)} - {-1}) for g in range(3)] == [1, 1, 1]
+    assert len({v for v in got.values() if v >= 0}) == 3
+    same = {i: (3.0, 3.0) for i in range(40)}
+    assert set(run(spark, same, None).values()) == {0}
+
+
 def test_one_spot_holds_most_rows(spark, monkeypatch):
     points = {i: (1.0, 1.0) for i in range(4000)}
     points.update({4000 + i: (50.0 + (i % 3) * 0.01, 50.0) for i in range(30)})

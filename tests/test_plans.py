@@ -8,6 +8,7 @@ from incidentlake import (
     cluster_samples,
     search_incidents,
     severity_distribution,
+    sizing,
     stratified_split,
     top_groups,
     yearly_trends,
@@ -60,3 +61,9 @@ def test_features_and_text_vectors_need_no_exchange(spark, stored):
     words = spark.createDataFrame([("engine", 0, 2, 3, 1.5)], "term string, idx int, document_count long, frequency long, idf double")
     ready = assemble(stored, {"year": 1970.0, "aboard": 9.0, "decade": 1970.0}, TfidfModel(words, 10))
     assert "Exchange" not in plan(ready.select("id", F.col("features")))
+
+
+def test_sizing_grows_with_the_table():
+    small, large = sizing(10 * 1024**3, 64), sizing(100 * 1024**4, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "192" and small["spark.sql.files.maxPartitionBytes"] == "128m"
+    assert large["spark.sql.shuffle.partitions"] == "40000" and large["spark.sql.files.maxPartitionBytes"] == "525m"
