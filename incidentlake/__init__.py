@@ -53,6 +53,7 @@ from .operators.prompts import (
     cluster_prompts,
     extract_by_keywords,
     extraction_prompts,
+    fill_by_keywords,
     parse_cluster_replies,
     parse_replies,
 )
@@ -82,7 +83,7 @@ from .operators.stats import (
 )
 from .operators.text import TfidfModel, embed_text, fit_tfidf
 from .plans.dashboard import dashboard_header, dashboard_summary
-from .plans.jobs import assign_clusters, build_clusters, prepare_prompts, train_and_score
+from .plans.jobs import assign_clusters, build_clusters, extract_offline, prepare_prompts, train_and_score
 from .session import build_session, sizing
 from .sources.incidents import clean_incidents, read_incidents, read_incidents_csv, trainable
 from .sources.sinks import backfill, replace_run, replace_table, write_coordinates, write_incidents

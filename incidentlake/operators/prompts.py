@@ -153,15 +153,31 @@ def apply_cluster_replies(clusters: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def extract_by_keywords(df: DataFrame) -> DataFrame:
-    """Cause and phase read from report phrases, without any remote model."""
-    rows, summary = df.select("id", F.lower("summary").alias("text")), F.col("text")
+def _by_keywords(lowered: Column) -> tuple[Column, Column]:
     cause = F.coalesce(*[
-        F.when(C.matches(summary, vocab.SUMMARY_PATTERNS[p], vocab.PHRASE_NEEDS.get(p, ())), F.lit(value))
+        F.when(C.matches(lowered, vocab.SUMMARY_PATTERNS[p], vocab.PHRASE_NEEDS.get(p, ())), F.lit(value))
         for p, value in vocab.CAUSE_BY_PHRASE.items()
     ], F.lit(UNKNOWN))
     phase = F.coalesce(*[
-        F.when(C.matches(summary, pattern, vocab.PHASE_NEEDS[value]), F.lit(value))
+        F.when(C.matches(lowered, pattern, vocab.PHASE_NEEDS[value]), F.lit(value))
         for value, pattern in vocab.PHASE_PATTERNS.items()
     ], F.lit(UNKNOWN))
+    return cause, phase
+
+
+def extract_by_keywords(df: DataFrame) -> DataFrame:
+    """Cause and phase read from report phrases, without any remote model."""
+    cause, phase = _by_keywords(F.col("text"))
+    rows = df.select("id", F.lower("summary").alias("text"))
     return rows.select("id", cause.alias("cause_category"), phase.alias("phase_of_flight"))
+
+
+def fill_by_keywords(df: DataFrame) -> DataFrame:
+    """Fill the extracted fields of the pending reports from their phrases, row by row."""
+    pending = F.col("summary").isNotNull() & F.col("extracted_cause_category").isNull()
+    cause, phase = _by_keywords(F.col("_text"))
+    rows = df.withColumns({"_text": F.lower("summary"), "_pending": pending})
+    return rows.withColumns({
+        "extracted_cause_category": F.when(F.col("_pending"), cause).otherwise(F.col("extracted_cause_category")),
+        "extracted_phase_of_flight": F.when(F.col("_pending"), phase).otherwise(F.col("extracted_phase_of_flight")),
+    }).drop("_text", "_pending")

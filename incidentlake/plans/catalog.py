@@ -748,6 +748,11 @@ def keyword_extraction(df):
     return P.extract_by_keywords(df)
 
 
+@on("id", "summary", "extracted_cause_category", "extracted_phase_of_flight")
+def keyword_backfill(df):
+    return P.fill_by_keywords(df).drop("summary")
+
+
 @on("id", "location", "operator")
 def factor_fields(df):
     """Stored factor fields in every older form, read as lists."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_stats, with_summary_columns
 from ..operators.density import density_clusters
-from ..operators.prompts import cluster_prompts, extraction_prompts
+from ..operators.prompts import cluster_prompts, extraction_prompts, fill_by_keywords
 from ..operators.reduction import at, reduce_dimensions
 from ..operators.severity_model import SeverityModel, Training, fill_unknown, train_severity
 from ..operators.text import embed_text, incident_text
@@ -92,6 +92,13 @@ def train_and_score(df: DataFrame, out: str, run_id: int, **options: object) ->
     return training, spark.read.parquet(f"{out}/incidents_scored_{run_id}")
 
 
+def extract_offline(df: DataFrame, out: str, run_id: int) -> DataFrame:
+    """Extract cause and phase of the pending reports from their phrases; no remote model needed."""
+    path = f"{out}/incidents_extracted_{run_id}"
+    replace_table(fill_by_keywords(df), path)
+    return df.sparkSession.read.parquet(path)
+
+
 def prepare_prompts(df: DataFrame, clusters: DataFrame, out: str, run_id: int, limit: int | None = 200) -> Sequence[str]:
     """Store the extraction and the cluster prompts of a run; replies come back through the apply steps."""
     targets = [f"{out}/extraction_prompts", f"{out}/cluster_prompts"]

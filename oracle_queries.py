@@ -565,6 +565,11 @@ def build() -> dict[str, str]:
     phases = " ".join(f"WHEN {found('summary', p)} THEN {q(v)}" for v, p in vocab.PHASE_PATTERNS.items())
     add("keyword_extraction", f"""SELECT id, CASE {causes} ELSE 'Unknown' END AS cause_category,
       CASE {phases} ELSE 'Unknown' END AS phase_of_flight FROM incidents""")
+    waiting = "summary IS NOT NULL AND extracted_cause_category IS NULL"
+    add("keyword_backfill", f"""SELECT id, CASE WHEN {waiting} THEN CASE {causes} ELSE 'Unknown' END ELSE extracted_cause_category END
+        AS extracted_cause_category,
+      CASE WHEN {waiting} THEN CASE {phases} ELSE 'Unknown' END ELSE extracted_phase_of_flight END AS extracted_phase_of_flight
+      FROM incidents""")
     add("factor_fields", """SELECT id, CASE id % 6 WHEN 0 THEN 'ice; ' || location WHEN 1 THEN location WHEN 2 THEN location || '; fatigue'
         WHEN 3 THEN location || '; wind; night' WHEN 4 THEN location ELSE '' END AS factors,
       CAST(CASE id % 6 WHEN 0 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 0 ELSE 1 END AS INTEGER) AS n FROM incidents""")

@@ -34,7 +34,7 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def normal(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else repr(v + 0.0)
+        return None if math.isnan(v) else repr(v)
     return v
 
 

@@ -10,6 +10,7 @@ from incidentlake import (
     build_clusters,
     dashboard_header,
     dashboard_summary,
+    extract_offline,
     fill_unknown,
     fit_medians,
     prepare_prompts,
@@ -167,6 +168,9 @@ def test_cluster_job_and_prompts(spark, reports, tmp_path):
     prompts, cluster_prompts = prepare_prompts(stored, clusters, out, 5, limit=40)
     assert spark.read.parquet(prompts).count() == 40
     assert spark.read.parquet(cluster_prompts).count() == len(found)
+    extracted = extract_offline(stored, out, 5)
+    assert extracted.where("extracted_cause_category is null").count() == 0
+    assert extracted.where("extracted_cause_category = 'Structural'").count() > 100
     header = dashboard_header(stored, clusters, spark.createDataFrame([], "run_id long, accuracy double, f1_weighted double")).first()
     assert header["total_clusters"] == len(found) and header["accuracy"] == 0.0
     sections = dashboard_summary(stored).first()
