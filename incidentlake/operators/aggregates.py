@@ -95,7 +95,8 @@ def yearly_trends(df: DataFrame, unit: str = "ratio", window: int = 5) -> DataFr
 
 def decade_trends(df: DataFrame, unit: str = "ratio") -> DataFrame:
     """Counts and fatality rate per decade, labelled like ``1980s``."""
-    per_decade = C.with_fields(df, "year", "fatalities", "aboard").where(F.col("year").isNotNull()).groupBy(C.decade_of(F.col("year")).alias("decade_start"))
+    dated = C.with_fields(df, "year", "fatalities", "aboard").where(F.col("year").isNotNull())
+    per_decade = dated.groupBy(C.decade_of(F.col("year")).alias("decade_start"))
     if unit == "percent":
         rows = per_decade.agg(
             F.count("*").alias("incident_count"),

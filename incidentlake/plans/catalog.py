@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from ..operators.features import build_features
 from ..operators.impute import fit_medians, median_impute
 from ..operators.ranking import most_frequent, top_values
 from ..operators.reduction import project_2d, reduce_dimensions
-from ..operators.severity_model import label_index, score_unknown, train_severity
+from ..operators.severity_model import fill_unknown, label_index, score_unknown, train_severity
 from ..operators.split import stratified_split
 from ..operators.text import embed_text, fit_tfidf
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
@@ -553,7 +554,9 @@ def projected_vectors(spark, sf_dir):
 MODEL_SOURCES = (*FEATURE_SOURCES, "severity_label")
 
 
+@lru_cache(maxsize=1)
 def trained(spark: SparkSession, sf_dir: str):
+    """The rows and the training run, shared by the queries that look at one model."""
     rows = incidents(spark, sf_dir, *MODEL_SOURCES)
     return rows, train_severity(rows)
 
@@ -569,6 +572,21 @@ def severity_scores(spark, sf_dir):
     return score_unknown(training.model, rows)
 
 
+@query
+def severity_test_rows(spark, sf_dir):
+    """The rows the model was tested on: exactly the test part of the split."""
+    return trained(spark, sf_dir)[1].predictions.select("id", "actual")
+
+
+@query
+def severity_back_fill(spark, sf_dir):
+    """Which rows the in-place back-fill completes, and whether the values are in range."""
+    rows, training = trained(spark, sf_dir)
+    filled = fill_unknown(training.model, rows)
+    fine = F.col("predicted_severity").isin(*SEVERITY_CLASSES) & F.col("prediction_confidence").between(0.25, 1)
+    return filled.select("id", "severity_label", F.coalesce(fine, F.lit(False)).alias("filled"))
+
+
 @query
 def severity_importances(spark, sf_dir):
     return trained(spark, sf_dir)[1].model.importances(spark)

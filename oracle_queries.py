@@ -504,6 +504,8 @@ def build() -> dict[str, str]:
     add("features", feature_sql())
     add("label_indices", f"SELECT id, CAST(list_position([{lst(SEVERITY_INDEX)}], severity_label) - 1 AS DOUBLE) AS label FROM incidents")
     add("split_rows", "SELECT id, severity_label, split FROM split", SPLIT)
+    add("severity_test_rows", "SELECT id, severity_label AS actual FROM split WHERE split = 'test'", SPLIT)
+    add("severity_back_fill", "SELECT id, severity_label, severity_label = 'Unknown' AS filled FROM incidents")
     add("imputed_numbers", """SELECT id, split, coalesce(CAST(year AS DOUBLE), (SELECT median(year) FROM split WHERE split = 'train')) AS year,
       coalesce(aboard, (SELECT median(aboard) FROM split WHERE split = 'train')) AS aboard FROM split""", SPLIT)
     sql["tfidf_vocabulary"] = ("SELECT term, document_count, frequency, round(idf, 6) AS idf FROM vocabulary", "!" + TFIDF)
