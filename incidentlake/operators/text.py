@@ -86,8 +86,9 @@ class TfidfModel:
             df.withColumn("_words", tokens(F.col(text), self.stop_words))
             .withColumn("_terms", unigrams_and_bigrams(F.col("_words")))
         )
+        weights = F.split(F.lit(",".join(map(repr, idf))), ",").cast("array<double>")  # folded to one literal
         scaled = F.zip_with(
-            vector_to_array("_counts"), F.array(*[F.lit(v) for v in idf]),
+            vector_to_array("_counts"), weights,
             lambda tf, w: F.when(tf > 0, (1 + F.log(tf)) * w).otherwise(0.0),
         )
         raw = counted.withColumn("_raw", array_to_vector(scaled))
@@ -95,7 +96,7 @@ class TfidfModel:
 
     def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """Non-zero weights as rows (key, idx, term, weight); texts without known terms have none."""
-        names = F.array(*[F.lit(t) for t, _ in self.terms])
+        names = F.split(F.lit("\n".join(t for t, _ in self.terms)), "\n")
         rows = self.vectors(df.select(key, text), text).select(key, vector_to_array("text_vector").alias("w"))
         return rows.select(key, F.posexplode_outer("w").alias("idx", "weight")).where(F.col("weight") != 0).select(
             key, "idx", F.get(names, F.col("idx")).alias("term"), "weight"
@@ -129,9 +130,10 @@ def fit_tfidf(
         .where(F.col("uses") > 0).orderBy(F.col("uses").desc(), F.col("w").asc()).limit(size).collect()
     )
     frequent = [r["w"] for r in head]
-    known = F.filter("words", lambda w: w.isin(*frequent))
-    pairs = neighbours(F.col("words"), lambda a, b: F.when(a.isin(*frequent) & b.isin(*frequent), pair(a, b)))
-    top = _top_terms(words, F.concat(known, F.filter(pairs, lambda p: p.isNotNull())), max_features, min_df)
+    # Other words become null in their place, and so does every pair they are part of.
+    marked = words.select(F.transform("words", lambda w: F.when(w.isin(*frequent), w)).alias("words"))
+    terms = F.filter(unigrams_and_bigrams(F.col("words")), lambda t: t.isNotNull())
+    top = _top_terms(marked, terms, max_features, min_df)
     exact = len(head) < size or (len(top) == max_features and top[-1][2] > head[-1]["uses"])
     if not exact:
         top = _top_terms(words, unigrams_and_bigrams(F.col("words")), max_features, min_df)
