@@ -23,8 +23,8 @@ from ..schema import NOISE
 from ..session import cut_lineage
 
 MAX_DIMENSIONS = 4
-BROADCAST_CELLS = 500_000  # cell and label, about 30 MB
-SALTS = 32
+BROADCAST_ROWS = 500_000  # a key and two numbers each, well below 100 MB
+CROWDED = 10_000
 
 
 def _cell(coords: Sequence[str], eps: float) -> Column:
@@ -49,10 +49,10 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
 
     ``edges`` (src, dst) holds both directions. Every round hooks roots onto
     smaller neighbours and halves the paths, so the number of rounds grows with
-    the logarithm of the path lengths. The two tables are checkpointed per round:
-    plans stay short and a lost executor costs one round at most. Hot roots only
-    meet in aggregates (combined before the shuffle) and in joins against one row
-    per root (split by the adaptive skew join).
+    the logarithm of the path lengths. The tables are checkpointed per round:
+    plans stay short and a lost executor costs one round at most. A root that
+    many nodes point to only meets in aggregates, which combine before the
+    shuffle, and in ``bring``.
     """
     edges = cut_lineage(edges)
     parents = cut_lineage(nodes.select("node", F.col("node").alias("root")))
@@ -64,20 +64,20 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         offers = parents.join(best, F.col("node") == F.col("src"), "left").select(
             "node", "root", F.least("root", F.coalesce("low", "root")).alias("low")
         )
-        hooked = (
-            offers.select("node", "low").union(offers.select(F.col("root").alias("node"), "low"))
-            .groupBy("node").agg(F.min("low").alias("next"))
+        hooked = cut_lineage(
+            offers.select("node", "low", F.col("root").alias("before"))
+            .union(offers.select(F.col("root").alias("node"), "low", F.lit(None).cast(nodes.schema["node"].dataType)))
+            .groupBy("node").agg(F.min("low").alias("next"), F.min("before").alias("before"))
         )
-        jump = hooked.select(F.col("node").alias("mid"), F.col("next").alias("root"))
-        stepped = (
-            parents.withColumnRenamed("root", "before")
-            .join(hooked, "node").join(jump, F.col("next") == F.col("mid"))
-            .select("node", "root", (F.col("root") != F.col("before")).alias("moved"))
+        pointed = hooked.groupBy("next").agg(F.count("*").alias("uses"))
+        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("root")).join(pointed, "next")
+        stepped = bring(hooked, jump, "next", "uses").select(
+            "node", "root", (F.col("root") != F.col("before")).alias("moved")
         )
-        stepped = cut_lineage(stepped)
-        parents = stepped.select("node", "root")
-        if stepped.where("moved").limit(1).count() == 0:
-            return parents
+        parents = cut_lineage(stepped)
+        if parents.where("moved").limit(1).count() == 0:
+            return parents.select("node", "root")
+        parents = parents.select("node", "root")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -109,9 +109,9 @@ def density_clusters(
     if not 1 <= len(coords) <= MAX_DIMENSIONS:
         raise ValueError(f"between 1 and {MAX_DIMENSIONS} coordinates, got {len(coords)}")
     eps = eps or default_eps(df, coords, min_samples)
-    located = df.drop(label).withColumn("cell", _cell(coords, eps))
+    located = df.drop(label).withColumn("_cell", _cell(coords, eps))
     cells = cut_lineage(
-        located.where(F.col("cell").isNotNull()).groupBy("cell")
+        located.where(F.col("_cell").isNotNull()).groupBy(F.col("_cell").alias("cell"))
         .agg(F.count("*").alias("n"), F.min(key).alias("low_key"))
     )
     dense = cells.where(F.col("n") >= min_samples)
@@ -133,28 +133,40 @@ def density_clusters(
         roots.select(F.col("node").alias("cell"), "root").unionByName(border), "cell"
     )
     sizes = (
-        member.groupBy("root").agg(F.sum("n").alias("size"), F.min("low_key").alias("low_key"))
+        member.groupBy("root")
+        .agg(F.sum("n").alias("size"), F.min("low_key").alias("low_key"), F.count("*").alias("n_cells"))
         .where(F.col("size") >= min_cluster_size)
     )
-    # One row per cluster that is left: at most rows / min_cluster_size of them.
-    cell_label = member.join(_number(sizes), "root").select("cell", "label")
-    rows = _label_rows(located, cell_label, cells.count(), key)
-    return rows.withColumn(label, F.coalesce("label", F.lit(NOISE)).cast("int")).drop(
-        *{"cell", "label", "salt"} - {label}
+    labelled = bring(member.select("cell", "n", "root"), _number(sizes), "root", "n_cells")
+    cell_label = labelled.where(F.col("label").isNotNull()).select(
+        F.col("cell").alias("_cell"), F.col("n").alias("_n"), F.col("label").alias("_label")
     )
+    rows = bring(located, cell_label, "_cell", "_n")
+    return rows.withColumn(label, F.coalesce("_label", F.lit(NOISE)).cast("int")).drop("_cell", "_n", "_label")
 
 
-def _label_rows(located: DataFrame, cell_label: DataFrame, n_cells: int, key: str) -> DataFrame:
-    """Bring the label of its cell to every row.
+def bring(rows: DataFrame, table: DataFrame, on: str, weight: str) -> DataFrame:
+    """Left join with a table that has each key once and states how many rows carry it.
 
-    Few cells (counted, not guessed) are broadcast. Otherwise both sides are
-    salted, so that the rows of one crowded cell meet in many tasks.
+    A table that was counted and found small is broadcast. Otherwise the crowded
+    keys, each with more than 1 / CROWDED of all rows and so never more than
+    CROWDED of them, are broadcast, and only the remaining rows are shuffled: no
+    task receives the rows of a dominant key. Rows without a key are not shuffled.
     """
-    if n_cells <= BROADCAST_CELLS:
-        return located.join(F.broadcast(cell_label), "cell", "left")
-    salted = located.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    copies = cell_label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["cell", "salt"], "left")
+    table = cut_lineage(table)
+    size = table.agg(F.count("*").alias("n"), F.sum(weight).alias("total")).first()
+    if size["n"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, "left")
+    limit = size["total"] / CROWDED
+    crowded, others = table.where(F.col(weight) > limit), table.where(F.col(weight) <= limit)
+    keyed = rows.where(F.col(on).isNotNull())
+    alone = keyed.join(F.broadcast(crowded.select(on)), on, "left_anti")
+    found = keyed.join(F.broadcast(crowded), on).unionByName(alone.join(others, on, "left"))
+    rest = [c for c in table.columns if c != on]
+    missing = rows.where(F.col(on).isNull()).select(
+        "*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in rest]
+    )
+    return found.unionByName(missing.select(*found.columns))
 
 
 def _number(sizes: DataFrame) -> DataFrame:
@@ -167,4 +179,4 @@ def _number(sizes: DataFrame) -> DataFrame:
     before = Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     start = classes.select("size", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("size").orderBy("low_key"))
-    return sizes.join(start, "size").select("root", (F.col("start") + inside - 1).alias("label"))
+    return sizes.join(start, "size").select("root", "n_cells", (F.col("start") + inside - 1).alias("label"))

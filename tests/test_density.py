@@ -92,10 +92,22 @@ def test_one_spot_holds_most_rows(spark, monkeypatch):
     points.update({4000 + i: (50.0 + (i % 3) * 0.01, 50.0) for i in range(30)})
     want = {k: 0 if k < 4000 else 1 for k in points}
     assert run(spark, points, 0.5) == want
-    monkeypatch.setattr(D, "BROADCAST_CELLS", 0)
+    points[9999] = (None, 2.0)
+    want[9999] = -1
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     assert run(spark, points, 0.5) == want
 
 
+@pytest.mark.parametrize("crowded", [1, 5, 10_000])
+def test_join_without_broadcasting_the_table(spark, monkeypatch, crowded):
+    rng = np.random.default_rng(8)
+    points = blobs(rng, rng.uniform(-6, 6, size=(4, 2)), 150, 0.6)
+    points[10_000] = (None, None)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(D, "CROWDED", crowded)
+    assert run(spark, points, 0.4) == brute_force(points, 0.4, 5, 15)
+
+
 def test_long_chain_is_one_group(spark):
     points = {i: (float(i // 5), float((i // 5) % 2)) for i in range(1500)}
     assert set(run(spark, points, 1.0).values()) == {0}
