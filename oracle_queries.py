@@ -183,7 +183,8 @@ def corr_rows(cols, complete: bool) -> str:
     cells = []
     for a in cols:
         for b in cols:
-            r = "1.0e0" if a == b else f"(SELECT round(corr({a}, {b}), 4) FROM {source})"
+            # Adding 0 turns a rounded -0.0 into the 0.0 it equals.
+            r = "1.0e0" if a == b else f"(SELECT round(corr({a}, {b}), 4) + 0.0e0 FROM {source})"
             cells.append(f"SELECT {q(a)} AS var1, {q(b)} AS var2, {r} AS r")
     return " UNION ALL ".join(cells)
 
