@@ -1,18 +1,24 @@
-"""Named queries of the corpus operators and their SQL."""
+"""Named queries of the corpus operators, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, simhash
+from . import contamination, extraction, language, lines, packing, quality, shards, simhash, urls, vectors
 from .common import crc_of, table
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary that packing counts tokens with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.col("crc") % 4 == 2
-    model = language.train(docs.withColumn("crc", crc_of("doc_id")).where(~held))
+    model = language.train(docs.where(crc_of("doc_id") % 4 != 2))
     return language.predict(docs, model).select(
         F.col("id").alias("doc_id"), (crc_of("id") % 4 == 2).alias("held_out"), "lang_pred", "score", "shares")
 
@@ -26,9 +32,124 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+def op3_dynamic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
+
+
+def op4_line_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_decisions(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "line_no", "kept", F.col("of_id").alias("of_doc"), "of_line", "distance")
+
+
+def md5_number(*parts: Column | str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 6), 16, 10).cast("int")
+
+
+def dated_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a day of fetching derived from their id; the table has none."""
+    number = md5_number(F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2023-01-01").cast("date"), number % 730).alias("day"))
+
+
+def dated_entries(captures: DataFrame) -> DataFrame:
+    """List entries derived from the hosts of the pages: added, partly removed, partly added again."""
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    hosts = captures.select(host.alias("host"), F.split(path, "/")[1].alias("part")).where("host <> ''")
+    names = hosts.select(F.lit("hosts").alias("list"), F.lit("domain").alias("kind"), F.col("host").alias("pattern")).distinct() \
+        .union(hosts.where("host rlike '[.].*[.]'").select(F.lit("domains"), F.lit("domain"), F.regexp_replace("host", r"^[^.]*\.", "")).distinct()) \
+        .union(hosts.where("part <> ''").select(F.lit("paths"), F.lit("prefix"), F.concat("host", F.lit("/"), F.lower("part"))).distinct())
+    n = md5_number("list", F.lit(":"), "pattern")
+    start = F.date_add(F.lit("2023-01-01").cast("date"), n % 400)
+    events = F.array(F.struct(start.alias("day"), F.lit("add").alias("action")),
+                     F.when(n % 2 == 0, F.struct(F.date_add(start, 1 + n % 200).alias("day"), F.lit("remove").alias("action"))),
+                     F.when(n % 4 == 0, F.struct(F.date_add(start, 250 + n % 100).alias("day"), F.lit("add").alias("action"))))
+    return names.where(n % 3 == 0).select("list", "kind", "pattern", F.inline(F.filter(events, lambda e: e.isNotNull())))
+
+
+def op5_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = dated_captures(spark, sf_dir)
+    verdicts = urls.temporal_url_filter(captures, dated_entries(captures))
+    found = verdicts.withColumnsRenamed({"url": "hit_url", "day": "hit_day"})
+    return captures.join(found, F.col("url").eqNullSafe(F.col("hit_url")) & F.col("day").eqNullSafe(F.col("hit_day")), "left") \
+        .select("page_id", "url", "day", "blocked", "lists", "patterns", "since")
+
+
 def op6_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), words=4, bits=4).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_compression_quality, op6_simhash_gray_index)}
-SQL: dict[str, str] = {}
+def op7_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9).withColumnRenamed("id", "vec_id")
+
+
+def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.kd_shards(table(spark, sf_dir, "documents"), 40).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_mixture, op2_compression_quality, op3_dynamic_packing, op4_line_neighbourhoods, op5_temporal_url_filter,
+    op6_simhash_gray_index, op7_pruned_graph, op8_template_removal, op9_minhash_containment, op10_kd_shards)}
+
+URL_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)"
+URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+SQL = {
+    "op4_line_neighbourhoods": """
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+l AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(regexp_replace(lower(l), '\\s+', ' ', 'g')) AS line FROM raw),
+o AS (SELECT *, CAST(doc_id AS HUGEINT) * 4294967296 + line_no AS ord FROM l WHERE line <> ''),
+k AS (SELECT line, min(ord) AS first FROM o GROUP BY line),
+n AS (SELECT line, first, length(line) AS n FROM k WHERE length(line) >= 20),
+h AS (SELECT line, first, n, n AS size FROM n UNION ALL SELECT line, first, n, n - 1 FROM n),
+g AS (SELECT line, first, size, 0 AS side, substr(line, 1, CAST(floor(size / 2) AS INT)) AS part FROM h
+      UNION ALL SELECT line, first, size, 1, right(line, size - CAST(floor(size / 2) AS INT)) FROM h),
+p AS (SELECT DISTINCT a.line, a.first, b.first AS earlier, b.line AS other FROM g a JOIN g b ON a.size = b.size AND a.side = b.side AND a.part = b.part AND b.first < a.first),
+e AS (SELECT line, min(earlier) AS earlier FROM p WHERE levenshtein(line, other) <= 1 GROUP BY line),
+f AS (SELECT o.doc_id, o.line_no, CASE WHEN o.ord > k.first THEN k.first ELSE e.earlier END AS by_ord, o.ord > k.first AS copy
+      FROM o JOIN k USING (line) LEFT JOIN e USING (line))
+SELECT doc_id, line_no, by_ord IS NULL AS kept, CAST(by_ord // 4294967296 AS BIGINT) AS of_doc, CAST(by_ord % 4294967296 AS INT) AS of_line,
+  CASE WHEN by_ord IS NOT NULL THEN CASE WHEN copy THEN 0 ELSE 1 END END AS distance FROM f
+""",
+    "op5_temporal_url_filter": f"""
+WITH c AS (SELECT page_id, url, DATE '2023-01-01' + CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 6))::INT % 730 AS INT) AS day FROM pages),
+s AS (SELECT page_id, url, day, lower({URL_HOST}) AS host, CASE WHEN {URL_PATH} = '' THEN '/' ELSE {URL_PATH} END AS path FROM c),
+names AS (
+  SELECT DISTINCT 'hosts' AS list, 'domain' AS kind, host AS pattern FROM s WHERE host <> ''
+  UNION ALL SELECT DISTINCT 'domains', 'domain', regexp_replace(host, '^[^.]*\\.', '') FROM s WHERE regexp_matches(host, '[.].*[.]')
+  UNION ALL SELECT DISTINCT 'paths', 'prefix', host || '/' || lower(split_part(path, '/', 2)) FROM s WHERE host <> '' AND split_part(path, '/', 2) <> ''),
+numbered AS (SELECT *, ('0x' || substr(md5(list || ':' || pattern), 1, 6))::INT AS n FROM names),
+known AS (SELECT *, DATE '2023-01-01' + CAST(n % 400 AS INT) AS first_day FROM numbered WHERE n % 3 = 0),
+events AS (
+  SELECT list, kind || ':' || pattern AS pattern, first_day AS day, 'add' AS action FROM known
+  UNION ALL SELECT list, kind || ':' || pattern, first_day + CAST(1 + n % 200 AS INT), 'remove' FROM known WHERE n % 2 = 0
+  UNION ALL SELECT list, kind || ':' || pattern, first_day + CAST(250 + n % 100 AS INT), 'add' FROM known WHERE n % 4 = 0),
+parts AS (SELECT page_id, url, day, host, string_split(host, '.') AS labels, [x FOR x IN string_split(path, '/') IF x <> ''] AS segs FROM s WHERE host <> ''),
+pats AS (
+  SELECT page_id, url, day, 'domain:' || array_to_string(labels[i:], '.') AS pattern FROM parts, generate_series(1, 64) AS t(i) WHERE i <= len(labels)
+  UNION ALL SELECT page_id, url, day, 'prefix:' || host || '/' || lower(array_to_string(segs[1:i], '/')) FROM parts, generate_series(0, 64) AS t(i) WHERE i <= len(segs)),
+seen AS (SELECT p.page_id, e.list, e.pattern, max(e.day) AS since, arg_max(e.action, e.day) AS action
+         FROM (SELECT DISTINCT * FROM pats) p JOIN events e ON p.pattern = e.pattern AND e.day <= p.day GROUP BY ALL),
+hits AS (SELECT page_id, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists, array_to_string(list_sort(list(DISTINCT pattern)), ',') AS patterns,
+         min(since) AS since FROM seen WHERE action = 'add' GROUP BY page_id)
+SELECT page_id, url, day, lists IS NOT NULL AS blocked, lists, patterns, since FROM c LEFT JOIN hits USING (page_id)
+""",
+    "op9_minhash_containment": """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM b WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) > 4)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(shared AS INT) AS shared, CAST(item_shingles AS INT) AS item_shingles, shared / CAST(item_shingles AS DOUBLE) AS containment
+FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * item_shingles - 1e-9
+""",
+}

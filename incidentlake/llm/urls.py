@@ -73,5 +73,6 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame, url_col: str =
     verdicts = hits.groupBy("url", "day").agg(
         F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"),
         F.array_join(F.sort_array(F.collect_set("pattern")), ",").alias("patterns"), F.min("valid_from").alias("since"))
-    return seen.join(verdicts, seen["url"].eqNullSafe(verdicts["url"]) & seen["day"].eqNullSafe(verdicts["day"]), "left") \
-        .select(seen["url"], seen["day"], F.col("lists").isNotNull().alias("blocked"), "lists", "patterns", "since")
+    found = verdicts.withColumnsRenamed({"url": "hit_url", "day": "hit_day"})
+    return seen.join(found, (F.col("url") == F.col("hit_url")) & (F.col("day") == F.col("hit_day")), "left") \
+        .select("url", "day", F.col("lists").isNotNull().alias("blocked"), "lists", "patterns", "since")
