@@ -21,11 +21,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a known main language. The model learns from the labels of the stage's own input.
 
     Rejected: null and empty texts, texts without a letter, and texts whose main language
-    has less than ``LEAST_SHARE`` of the mixture. All columns stay as they are.
+    has less than ``LEAST_SHARE`` of the mixture; a document with null id goes only for want
+    of letters. A repeated id goes if one of its rows is rejected. All columns stay as they are.
     """
     model = language.train(docs)
-    known = language.predict(docs, model).where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE))
-    return docs.join(known.select(F.col("id").alias("_rejected_id")).distinct(), F.col("doc_id") == F.col("_rejected_id"), "left_anti")
+    rejected = language.predict(docs, model).where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE))
+    return docs.join(rejected.where("id is not null").select(F.col("id").alias("doc_id")).distinct(), ["doc_id"], "left_anti") \
+        .where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,5 +163,4 @@ def search(rows: DataFrame, sketches: Sketches) -> DataFrame:
 
 def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents that contain no benchmark item; null ids stay."""
-    bad = found.select(F.col("id").alias("_leak_id")).where("_leak_id is not null").distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_leak_id"), "left_anti")
+    return docs.join(found.where("id is not null").select(F.col("id").alias(id_col)).distinct(), [id_col], "left_anti")

@@ -255,6 +255,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of documents whose id is the smallest of its group, once each; null ids stay."""
-    leaders = groups.where("id = component_id").select("id").distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(
-        docs.dropDuplicates([id_col]).join(leaders, F.col(id_col) == F.col("id"), "left_semi"))
+    leaders = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(leaders, [id_col], "left_semi")
+    return docs.where(F.col(id_col).isNull()).unionByName(named)
