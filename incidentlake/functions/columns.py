@@ -29,14 +29,24 @@ def first_present(df: DataFrame, *names: str) -> str:
     return next((n for n in names if n in df.columns), names[0])
 
 
+#: White space as text tools outside SQL strip it.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(WHITE_SPACE))
+
+
 def as_double(c: Column) -> Column:
-    """Number or null; text that is no number becomes null."""
-    return c.try_cast("double")
+    """Finite number or null; text that is no number, and infinities, become null."""
+    number = c.try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def as_date(c: Column) -> Column:
     """ISO date or month/day/year date; anything else becomes null."""
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     us_date = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(text, F.lit("M/d/yyyy")))
     return F.coalesce(text.try_cast("date"), us_date.cast("date"))
 
@@ -110,7 +120,7 @@ def matches(lowered: Column, pattern: str, needs: Sequence[str] = ()) -> Column:
 
 def first_value(c: Column) -> Column:
     """Part before the first ``|``, trimmed; single values stay untouched."""
-    return F.when(c.contains("|"), F.trim(F.substring_index(c, "|", 1))).otherwise(c)
+    return F.when(c.contains("|"), strip(F.substring_index(c, "|", 1))).otherwise(c)
 
 
 def era_bin(year: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
+from .columns import strip
 
 _NO_STRINGS = "array<string>"
 
@@ -40,7 +41,7 @@ def field(reply: Column, name: str, kind: str = "string") -> Column:
 
 def _first_valid(c: Column, valid: Sequence[str], aliases: dict[str, str] | None = None) -> Column:
     """First comma- or bar-separated part that is a known value, else ``Unknown``."""
-    parts = F.transform(F.split(c, r"[,|]"), lambda x: F.initcap(F.trim(x)))
+    parts = F.transform(F.split(c, r"[,|]"), lambda x: F.initcap(strip(x)))
     if aliases:
         names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
         parts = F.transform(parts, lambda x: F.coalesce(names[x], x))
@@ -56,18 +57,18 @@ def normal_phase(c: Column) -> Column:
     return _first_valid(c, vocab.PHASES)
 
 
-def clean_list(items: Column, cap: int) -> Column:
-    """Drop missing and empty items, trim the rest, keep the first ``cap``; no list gives none."""
-    kept = F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), lambda x: F.trim(x))
-    return F.coalesce(F.slice(kept, 1, cap), F.array().cast(_NO_STRINGS))
+def clean_list(items: Column, cap: int | None) -> Column:
+    """Drop missing and empty items, strip the rest, keep the first ``cap`` (all if null); no list gives none."""
+    kept = F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), lambda x: strip(x))
+    return F.coalesce(kept if cap is None else F.slice(kept, 1, cap), F.array().cast(_NO_STRINGS))
 
 
 def clean_text(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit(""))
+    return F.coalesce(strip(c), F.lit(""))
 
 
 def _split_trimmed(c: Column, separator: str) -> Column:
-    parts = F.transform(F.split(c, separator), lambda x: F.trim(x))
+    parts = F.transform(F.split(c, separator), lambda x: strip(x))
     return F.filter(parts, lambda x: x != "")
 
 

@@ -229,7 +229,7 @@ def extraction_distribution(df: DataFrame) -> DataFrame:
 
 def summary_coverage(df: DataFrame) -> DataFrame:
     """Percentage of rows whose summary holds more than blanks."""
-    has_text = F.trim(F.coalesce("summary", F.lit(""))) != ""
+    has_text = C.strip(F.coalesce("summary", F.lit(""))) != ""
     return df.agg(F.round(F.avg(F.when(has_text, 1.0).otherwise(0.0)) * 100, 1).alias("summary_coverage_pct"))
 
 

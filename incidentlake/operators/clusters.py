@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.replies import factor_list
+from ..functions.replies import factor_list, json_strings
 from ..schema import NOISE
 from .ranking import top_rows_per_group, top_values_of
 from .search import cluster_name
@@ -74,6 +74,18 @@ def _factors(clusters: DataFrame) -> Column:
     return F.coalesce(column, F.array().cast("array<string>")) if kind.startswith("array") else factor_list(column)
 
 
+def _strict_list(clusters: DataFrame, name: str) -> Column:
+    """An array column as it is, a text column as the JSON list it holds; anything else is an empty list."""
+    kind = clusters.schema[name].dataType.simpleString()
+    column = F.col(name)
+    return (F.coalesce(column, F.array().cast("array<string>")) if kind.startswith("array") else json_strings(column)).alias(name)
+
+
+def cluster_summary(clusters: DataFrame, label: int) -> DataFrame:
+    """The summary of one cluster; no row if it has none."""
+    return cluster_summaries(clusters.where(F.col("cluster_label") == label))
+
+
 def cluster_cards(clusters: DataFrame) -> DataFrame:
     """Display cards: missing rates as 0, placeholder texts, factors as a list."""
     return real_clusters(clusters).select(
@@ -92,8 +104,8 @@ def cluster_summaries(clusters: DataFrame) -> DataFrame:
     """Summarised clusters, largest first, with their year range as text."""
     return summarised(clusters).select(
         "cluster_label", "incident_count", year_range().alias("year_range"), "dominant_severity",
-        "avg_fatality_rate", "top_operators", "top_aircraft_types", "root_cause_summary",
-        _factors(clusters).alias("key_contributing_factors"), "recommendations",
+        "avg_fatality_rate", _strict_list(clusters, "top_operators"), _strict_list(clusters, "top_aircraft_types"),
+        "root_cause_summary", _strict_list(clusters, "key_contributing_factors"), "recommendations",
         F.date_format("summarized_at", "yyyy-MM-dd'T'HH:mm:ss").alias("summarized_at"),
     )
 

@@ -44,7 +44,7 @@ def _touching(cell: Column, dimensions: int) -> Column:
     ])
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest reachable node per node, as (node, root).
 
     ``edges`` (src, dst) holds both directions. Every round hooks roots onto
@@ -56,7 +56,7 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
     """
     edges = cut_lineage(edges)
     parents = cut_lineage(nodes.select("node", F.col("node").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         best = (
             edges.join(parents, F.col("dst") == F.col("node"))
             .groupBy("src").agg(F.min("root").alias("low"))
@@ -78,7 +78,6 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         if parents.where("moved").limit(1).count() == 0:
             return parents.select("node", "root")
         parents = parents.select("node", "root")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def default_eps(df: DataFrame, coords: Sequence[str], min_samples: int = 5) -> float:

@@ -46,7 +46,7 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
         "cluster_id": F.coalesce(source("cluster_id", "double"), F.lit(-1.0)),
         "decade": (F.floor(year / 10) * 10).cast("double"),
         "month": C.month_of(source("date", "string")).cast("double"),
-        "has_route": C.flag(F.trim(F.coalesce(source("route", "string"), F.lit(""))) != ""),
+        "has_route": C.flag(C.strip(F.coalesce(source("route", "string"), F.lit(""))) != ""),
         "is_military": C.flag(category == "Military"),
         "is_private": C.flag(category == "Private"),
         "has_summary": C.flag(summary != ""),

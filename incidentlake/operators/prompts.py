@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions import replies as R
 from ..functions import vocab
 from ..schema import NOISE, UNKNOWN
+from ..sources.sinks import one_per_key
 from .clusters import cluster_samples
 from .search import pending_extraction
 
@@ -27,33 +28,42 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*pieces)
 
 
-def extraction_prompts(df: DataFrame, limit: int | None = None, chars: int = vocab.EXTRACTION_CHARS) -> DataFrame:
-    """One prompt per pending report; blank summaries need no request and get none."""
-    text = F.trim("summary")
+def _first(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def extraction_prompts(df: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
+    """One prompt per pending report, from its whole text or its first ``chars`` characters.
+
+    Blank summaries need no request and get none; ``apply_replies`` gives them the defaults.
+    """
+    text = C.strip("summary")
     return pending_extraction(df, limit).where(text != "").select(
-        "id", fill(vocab.EXTRACTION_PROMPT, summary=F.substring(text, 1, chars)).alias("prompt")
+        "id", fill(vocab.EXTRACTION_PROMPT, summary=_first(text, chars)).alias("prompt")
     )
 
 
-def _name_list(c: str) -> Column:
-    joined = F.substring(F.concat_ws(", ", c), 1, vocab.NAME_LIST_CHARS)
-    return C.or_text(joined, "Various")
+def _name_list(c: str, chars: int | None) -> Column:
+    return C.or_text(_first(F.concat_ws(", ", c), chars), "Various")
 
 
-def cluster_prompts(clusters: DataFrame, df: DataFrame) -> DataFrame:
+def cluster_prompts(
+    clusters: DataFrame, df: DataFrame, sample_chars: int | None = None, name_chars: int | None = None,
+    samples: int = vocab.SAMPLES_PER_CLUSTER,
+) -> DataFrame:
     """One prompt per real cluster, built from its figures and its deadliest reports.
 
+    Reports and name lists are whole unless ``sample_chars`` or ``name_chars`` shorten them.
     Clusters without any text have a null prompt and carry the fixed default
     texts instead.
     """
-    samples = cluster_samples(df, clusters).where(F.col("summary") != "")
-    body = F.trim("summary")
-    shortened = F.concat(
-        F.substring(body, 1, vocab.SAMPLE_CHARS),
-        F.when(F.length("summary") > vocab.SAMPLE_CHARS, "...").otherwise(""),
+    best = cluster_samples(df, clusters, samples).where(F.col("summary") != "")
+    body = C.strip("summary")
+    shortened = body if sample_chars is None else F.concat(
+        F.substring(body, 1, sample_chars), F.when(F.length("summary") > sample_chars, "...").otherwise(""),
     )
-    # At most SAMPLES_PER_CLUSTER short texts per cluster are gathered here.
-    listed = samples.select("cluster_id", F.struct("rank", shortened.alias("text")).alias("s")).groupBy("cluster_id").agg(
+    # At most ``samples`` texts per cluster are gathered here.
+    listed = best.select("cluster_id", F.struct("rank", shortened.alias("text")).alias("s")).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list("s")).alias("s")
     )
     numbered = F.transform(
@@ -68,7 +78,7 @@ def cluster_prompts(clusters: DataFrame, df: DataFrame) -> DataFrame:
         vocab.CLUSTER_PROMPT, count=F.col("incident_count"), year_start=known("year_range_start"),
         year_end=known("year_range_end"), severity=known("dominant_severity"),
         fatality_rate=C.percent_text(F.coalesce("avg_fatality_rate", F.lit(0.0))),
-        operators=_name_list("top_operators"), aircraft=_name_list("top_aircraft_types"),
+        operators=_name_list("top_operators", name_chars), aircraft=_name_list("top_aircraft_types", name_chars),
         summaries=F.col("summaries"),
     )
     real = clusters.where(F.col("cluster_label") != NOISE)
@@ -80,8 +90,11 @@ def cluster_prompts(clusters: DataFrame, df: DataFrame) -> DataFrame:
     )
 
 
-def parse_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
-    """Normalised extraction fields beside the input columns; unreadable replies give the defaults."""
+def parse_replies(df: DataFrame, reply: str = "reply", factors: int | None = vocab.INCIDENT_FACTORS) -> DataFrame:
+    """Normalised extraction fields beside the input columns; unreadable replies give the defaults.
+
+    The first ``factors`` contributing factors are kept, all if null.
+    """
     parsed = df.withColumn("_reply", R.reply_json(F.col(reply)))
     r = F.col("_reply")
 
@@ -92,20 +105,20 @@ def parse_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
         *df.columns,
         R.normal_cause(R.field(r, "cause_category")).alias("cause_category"),
         R.normal_phase(R.field(r, "phase_of_flight")).alias("phase_of_flight"),
-        R.clean_list(R.field(r, "contributing_factors", "array<string>"), vocab.INCIDENT_FACTORS)
+        R.clean_list(R.field(r, "contributing_factors", "array<string>"), factors)
         .alias("contributing_factors"),
         truth("is_mechanical_failure"), truth("is_weather_related"), truth("is_human_error"),
     )
 
 
-def parse_cluster_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
-    """Cleaned cluster summary fields beside the input columns."""
+def parse_cluster_replies(df: DataFrame, reply: str = "reply", factors: int | None = vocab.CLUSTER_FACTORS) -> DataFrame:
+    """Cleaned cluster summary fields beside the input columns, with the first ``factors`` factors (all if null)."""
     parsed = df.withColumn("_reply", R.reply_json(F.col(reply)))
     r = F.col("_reply")
     return parsed.select(
         *df.columns,
         R.clean_text(R.field(r, "root_cause_summary")).alias("root_cause_summary"),
-        R.clean_list(R.field(r, "key_contributing_factors", "array<string>"), vocab.CLUSTER_FACTORS)
+        R.clean_list(R.field(r, "key_contributing_factors", "array<string>"), factors)
         .alias("key_contributing_factors"),
         R.clean_text(R.field(r, "recommendations")).alias("recommendations"),
     )
@@ -114,9 +127,12 @@ def parse_cluster_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
 def apply_replies(df: DataFrame, replies: DataFrame, key: str = "id") -> DataFrame:
     """Write extracted fields of answered reports into the incidents, stamped with the time.
 
-    ``replies`` is (key, reply). Reports without a reply keep their fields.
+    ``replies`` is (key, reply) and may have the column ``order``. Of several replies
+    for a key the one with the highest ``order`` counts, without that column the last in
+    the alphabet. A pending report with a blank text needs no reply: it gets the default
+    fields. Other reports without a reply keep their fields.
     """
-    parsed = parse_replies(replies.select(key, "reply")).select(
+    parsed = parse_replies(one_per_key(replies, key, ["reply"])).select(
         key, F.lit(True).alias("_answered"), "cause_category", "phase_of_flight", "contributing_factors"
     )
     joined = df.join(parsed, key, "left")
@@ -127,17 +143,24 @@ def apply_replies(df: DataFrame, replies: DataFrame, key: str = "id") -> DataFra
         "extracted_at": F.current_timestamp(),
     }
     kinds = {"extracted_contributing_factors": "array<string>", "extracted_at": "timestamp"}
+    defaults = {
+        "extracted_cause_category": F.lit(UNKNOWN), "extracted_phase_of_flight": F.lit(UNKNOWN),
+        "extracted_contributing_factors": F.array().cast("array<string>"), "extracted_at": F.current_timestamp(),
+    }
+    blank = F.lit(False)
+    if {"summary", "extracted_cause_category"} <= set(df.columns):
+        blank = F.coalesce(F.col("extracted_cause_category").isNull() & (C.strip("summary") == ""), F.lit(False))
 
     def merged(name: str) -> Column:
         old = F.col(name) if name in df.columns else F.lit(None).cast(kinds.get(name, "string"))
-        return F.when(F.col("_answered"), source[name]).otherwise(old).alias(name)
+        return F.when(F.col("_answered"), source[name]).when(blank, defaults[name]).otherwise(old).alias(name)
 
     return joined.select(*[F.col(c) for c in df.columns if c not in source], *[merged(c) for c in source])
 
 
 def apply_cluster_replies(clusters: DataFrame, replies: DataFrame) -> DataFrame:
-    """Write summaries into the clusters; ``replies`` is (cluster_label, reply)."""
-    parsed = parse_cluster_replies(replies.select("cluster_label", "reply")).select(
+    """Write summaries into the clusters; ``replies`` is (cluster_label, reply), one per label as in ``apply_replies``."""
+    parsed = parse_cluster_replies(one_per_key(replies, "cluster_label", ["reply"])).select(
         "cluster_label", F.lit(True).alias("_answered"),
         *[F.col(c).alias(f"_{c}") for c in ("root_cause_summary", "key_contributing_factors", "recommendations")],
     ).withColumn("_summarized_at", F.current_timestamp())

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import vocab
 from ..functions import replies as R
 from ..operators import aggregates as A
 from ..operators import clusters as K
@@ -198,7 +198,7 @@ def csv_import(spark, sf_dir):
     path = scratch(spark)
     raw = raw_text(incidents(spark, sf_dir, *RAW)).withColumnRenamed("aircraft_type", "Aircraft Type")
     raw.write.option("header", True).option("escape", '"').csv(path)
-    return cleaned(read_incidents_csv(spark, path))
+    return cleaned(read_incidents_csv(spark, path, multi_line=True))
 
 
 @on("id", "operator", "extracted_cause_category", "extracted_phase_of_flight")
@@ -554,9 +554,8 @@ def projected_vectors(spark, sf_dir):
 MODEL_SOURCES = (*FEATURE_SOURCES, "severity_label")
 
 
-@lru_cache(maxsize=1)
 def trained(spark: SparkSession, sf_dir: str):
-    """The rows and the training run, shared by the queries that look at one model."""
+    """The rows and a training run over them."""
     rows = incidents(spark, sf_dir, *MODEL_SOURCES)
     return rows, train_severity(rows)
 
@@ -720,11 +719,29 @@ def extraction_prompts(df):
     return P.extraction_prompts(df)
 
 
+@on("id", "summary", "extracted_cause_category", "fatalities")
+def extraction_prompts_short(df):
+    return P.extraction_prompts(df, chars=vocab.EXTRACTION_CHARS)
+
+
+@on("id", "summary", "extracted_cause_category", "fatalities")
+def extraction_prompts_stripped(df):
+    """Reports with tabs, line breaks and other white space at their ends, or of nothing else."""
+    kind = F.col("id") % 5
+    odd = F.when(kind == 0, F.lit("\t \n\u3000")).when(kind == 1, F.concat(F.lit("\n\t"), "summary", F.lit("\u00a0\r\n"))).otherwise(F.col("summary"))
+    return P.extraction_prompts(df.withColumn("summary", odd))
+
+
 @on(*CLUSTERED, "summary")
 def cluster_prompts(df):
     return P.cluster_prompts(K.cluster_stats(df), df)
 
 
+@on(*CLUSTERED, "summary")
+def cluster_prompts_short(df):
+    return P.cluster_prompts(K.cluster_stats(df), df, sample_chars=vocab.SAMPLE_CHARS, name_chars=vocab.NAME_LIST_CHARS)
+
+
 def incident_reply(df: DataFrame) -> DataFrame:
     """A reply per report in the forms such replies come in."""
     def quoted(c: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_stats, with_summary_columns
 from ..operators.density import density_clusters
+from ..functions import vocab
 from ..operators.prompts import cluster_prompts, extraction_prompts, fill_by_keywords
 from ..operators.reduction import at, reduce_dimensions
 from ..operators.severity_model import SeverityModel, Training, fill_unknown, train_severity
@@ -102,6 +103,7 @@ def extract_offline(df: DataFrame, out: str, run_id: int) -> DataFrame:
 def prepare_prompts(df: DataFrame, clusters: DataFrame, out: str, run_id: int, limit: int | None = 200) -> Sequence[str]:
     """Store the extraction and the cluster prompts of a run; replies come back through the apply steps."""
     targets = [f"{out}/extraction_prompts", f"{out}/cluster_prompts"]
-    replace_run(extraction_prompts(df, limit), targets[0], run_id)
-    replace_run(cluster_prompts(clusters, df), targets[1], run_id)
+    replace_run(extraction_prompts(df, limit, chars=vocab.EXTRACTION_CHARS), targets[0], run_id)
+    short = cluster_prompts(clusters, df, sample_chars=vocab.SAMPLE_CHARS, name_chars=vocab.NAME_LIST_CHARS)
+    replace_run(short, targets[1], run_id)
     return targets

@@ -25,18 +25,20 @@ def _field_name(header: str) -> str:
 
 
 def read_incidents_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
     """Raw reports as text columns, named like the incident fields.
 
     Without ``schema`` the header names the columns, everything stays text and
     cleaning does the typing, so no inference pass over the data is needed.
-    Files whose quoted fields hold line breaks need ``multi_line``; turn it off
-    for one-line records so that large files can be split. Empty fields are
+    Files whose quoted fields hold line breaks need ``multi_line``, which makes a
+    file one task; one-line records are split. Files read together must have the same
+    header: another order or other names end the read with an error, so that no value
+    comes under another name. Empty fields are
     missing values.
     """
     reader = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE")
+        spark.read.option("header", True).option("enforceSchema", schema is not None).option("mode", "PERMISSIVE")
         .option("multiLine", multi_line).option("escape", '"').option("quote", '"')
     )
     if schema is not None:

@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from ..functions.columns import decade_of
 
 
+def one_per_key(updates: DataFrame, key: str, cols: Sequence[str], order: str = "order") -> DataFrame:
+    """One row per key: the one with the highest ``order``, without that column the largest by its values.
+
+    Rows are combined per task before they meet, so a key with many updates is no hot task.
+    """
+    row = F.struct(*cols)
+    by = F.struct(order, *cols) if order in updates.columns else row
+    return updates.groupBy(key).agg(F.max_by(row, by).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in cols])
+
+
 def backfill(df: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Take ``cols`` from ``updates`` where a key has a row there; other rows stay as they are.
 
-    ``updates`` must hold a key at most once. The result is a new table version:
+    Of several updates for a key one counts, see ``one_per_key``. The result is a new table version:
     write it to a path of its own, never over the one it was read from.
     """
-    fresh = updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in cols])
+    fresh = one_per_key(updates, key, cols).select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in cols])
     joined = df.join(fresh, key, "left")
     kept = [F.col(c) for c in df.columns if c not in cols]
     types = dict(updates.select(*cols).dtypes)

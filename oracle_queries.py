@@ -237,7 +237,7 @@ def feature_sql() -> str:
         "ground": "ground", "ground_flag": num("ground > 0"), "cluster_id": "CAST(coalesce(cluster_id, -1) AS DOUBLE)",
         "decade": "CAST(year - year % 10 AS DOUBLE)",
         "month": "CAST(coalesce(month(try_cast(date AS DATE)), 6) AS DOUBLE)",
-        "has_route": num("trim(coalesce(route, '')) <> ''"), "is_military": num(f"{cat} = 'Military'"),
+        "has_route": num(f"trim(coalesce(route, ''), {WHITE}) <> ''"), "is_military": num(f"{cat} = 'Military'"),
         "is_private": num(f"{cat} = 'Private'"), "has_summary": num("coalesce(summary, '') <> ''"),
         "aircraft_era": "CASE WHEN year IS NULL THEN 2.0e0 WHEN year < 1940 THEN 0.0e0 WHEN year < 1958 THEN 1.0e0"
                         " WHEN year < 1970 THEN 2.0e0 WHEN year < 1990 THEN 3.0e0 ELSE 4.0e0 END",
@@ -293,25 +293,32 @@ def fill(template: str, **values: str) -> str:
     return " || ".join(values[p[1:-1]] if p[1:-1] in values and p.startswith("{") else q(p) for p in parts if p)
 
 
-def names_text(column: str) -> str:
-    return f"CASE WHEN {column} = '' THEN 'Various' ELSE substr(replace({column}, '; ', ', '), 1, {vocab.NAME_LIST_CHARS}) END"
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(8195) || chr(12288)"
 
 
-CLUSTER_PROMPT = f"""
+def names_text(column: str, chars: int) -> str:
+    return f"CASE WHEN {column} = '' THEN 'Various' ELSE substr(replace({column}, '; ', ', '), 1, {chars}) END"
+
+
+def cluster_texts(chars: int) -> str:
+    return f"""
 texts AS (
   SELECT cluster_id, summary, row_number() OVER (PARTITION BY cluster_id ORDER BY fatalities DESC NULLS LAST, id) AS rk
   FROM incidents WHERE summary IS NOT NULL AND cluster_id <> -1),
 best AS (
-  SELECT cluster_id, string_agg('[' || rk || '] ' || substr(trim(summary, ' '), 1, {vocab.SAMPLE_CHARS})
-    || CASE WHEN length(summary) > {vocab.SAMPLE_CHARS} THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY rk) AS summaries
+  SELECT cluster_id, string_agg('[' || rk || '] ' || substr(trim(summary, {WHITE}), 1, {chars})
+    || CASE WHEN length(summary) > {chars} THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY rk) AS summaries
   FROM texts WHERE rk <= {vocab.SAMPLES_PER_CLUSTER} GROUP BY 1)"""
 
-FILLED = fill(
-    vocab.CLUSTER_PROMPT, count="CAST(incident_count AS VARCHAR)", year_start="CAST(year_range_start AS VARCHAR)",
-    year_end="CAST(year_range_end AS VARCHAR)", severity="dominant_severity",
-    fatality_rate="printf('%.1f%%', coalesce(avg_fatality_rate, 0) * 100)", operators=names_text("top_operators"),
-    aircraft=names_text("top_aircraft_types"), summaries="summaries",
-)
+
+def filled_prompt(chars: int) -> str:
+    return fill(
+        vocab.CLUSTER_PROMPT, count="CAST(incident_count AS VARCHAR)", year_start="CAST(year_range_start AS VARCHAR)",
+        year_end="CAST(year_range_end AS VARCHAR)", severity="dominant_severity",
+        fatality_rate="printf('%.1f%%', coalesce(avg_fatality_rate, 0) * 100)", operators=names_text("top_operators", chars),
+        aircraft=names_text("top_aircraft_types", chars), summaries="summaries",
+    )
+
 
 EXPECTED_CAUSE = """CASE id % 7 WHEN 0 THEN 'Mechanical' WHEN 1 THEN 'Weather' WHEN 2 THEN 'Human Error' WHEN 4 THEN 'Navigation' ELSE 'Unknown' END"""
 EXPECTED_PHASE = """CASE id % 7 WHEN 0 THEN 'Takeoff' WHEN 1 THEN 'Landing' WHEN 2 THEN 'Cruise' WHEN 4 THEN 'Descent' ELSE 'Unknown' END"""
@@ -460,7 +467,7 @@ def build() -> dict[str, str]:
     add("extraction_distribution", """SELECT 'cause' AS field, extracted_cause_category AS value, count(*) AS n FROM incidents
         WHERE extracted_cause_category IS NOT NULL GROUP BY 1, 2
       UNION ALL SELECT 'phase', extracted_phase_of_flight, count(*) FROM incidents WHERE extracted_phase_of_flight IS NOT NULL GROUP BY 1, 2""")
-    add("summary_coverage", """SELECT round(avg(CASE WHEN trim(coalesce(summary, '')) <> '' THEN 1.0e0 ELSE 0.0e0 END) * 100, 1)
+    add("summary_coverage", f"""SELECT round(avg(CASE WHEN trim(coalesce(summary, ''), {WHITE}) <> '' THEN 1.0e0 ELSE 0.0e0 END) * 100, 1)
       AS summary_coverage_pct FROM incidents""")
 
     add("correlation_matrix", corr_rows(SIX, True), NUMS)
@@ -552,12 +559,25 @@ def build() -> dict[str, str]:
       CASE WHEN severity_label = 'Unknown' THEN 0.5e0 END AS prediction_confidence FROM incidents""")
     add("backfill_clusters", "SELECT i.id, i.operator, l.cluster_id FROM incidents i JOIN labels l ON l.id = i.id", DENSITY)
 
-    add("extraction_prompts", f"""SELECT id, {fill(vocab.EXTRACTION_PROMPT, summary=f"substr(trim(summary, ' '), 1, {vocab.EXTRACTION_CHARS})")} AS prompt
-      FROM incidents WHERE summary IS NOT NULL AND extracted_cause_category IS NULL AND trim(summary, ' ') <> ''""")
-    add("cluster_prompts", f"""SELECT cluster_label, CASE WHEN summaries IS NOT NULL THEN {FILLED} END AS prompt,
+    whole = 2_000_000_000
+
+    def prompts(chars: int, source: str = "incidents") -> str:
+        text = fill(vocab.EXTRACTION_PROMPT, summary=f"substr(trim(summary, {WHITE}), 1, {chars})")
+        return f"""SELECT id, {text} AS prompt FROM {source}
+      WHERE summary IS NOT NULL AND extracted_cause_category IS NULL AND trim(summary, {WHITE}) <> ''"""
+
+    def of_clusters(names: int) -> str:
+        return f"""SELECT cluster_label, CASE WHEN summaries IS NOT NULL THEN {filled_prompt(names)} END AS prompt,
       CASE WHEN summaries IS NULL THEN {fill(vocab.NO_TEXT_SUMMARY, label="cluster_label")} END AS default_summary,
       CASE WHEN summaries IS NULL THEN {q(vocab.NO_TEXT_RECOMMENDATION)} END AS default_recommendations
-      FROM stats LEFT JOIN best ON best.cluster_id = stats.cluster_label WHERE cluster_label <> -1""", STATS, CLUSTER_PROMPT)
+      FROM stats LEFT JOIN best ON best.cluster_id = stats.cluster_label WHERE cluster_label <> -1"""
+
+    add("extraction_prompts", prompts(whole))
+    add("extraction_prompts_short", prompts(800))
+    add("extraction_prompts_stripped", prompts(whole, """(SELECT id, extracted_cause_category, CASE id % 5
+      WHEN 0 THEN chr(9) || ' ' || chr(10) || chr(12288) WHEN 1 THEN chr(10) || chr(9) || summary || chr(160) || chr(13) || chr(10) ELSE summary END AS summary FROM incidents)"""))
+    add("cluster_prompts", of_clusters(whole), STATS, cluster_texts(whole))
+    add("cluster_prompts_short", of_clusters(150), STATS, cluster_texts(350))
     add("parsed_replies", f"""SELECT id, {REPLY_CAUSE} AS cause_category, {REPLY_PHASE} AS phase_of_flight, {REPLY_FACTORS} AS contributing_factors,
       false AS is_mechanical_failure, id % 5 < 3 AS is_weather_related, false AS is_human_error FROM incidents""")
     answered = "extracted_cause_category IS NOT NULL"

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from incidentlake import clean_incidents, read_incidents, read_incidents_csv, select_incidents, trainable, write_incidents
@@ -61,7 +62,7 @@ def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
         '1,09/17/1908,"Military - ""U.S."" Army",Wright Flyer III,,2,1,0,"Crashed\non landing."\n'
         "2,1912-07-12,,,NA-3,five,5,,\n"
     )
-    df = clean_incidents(read_incidents_csv(spark, str(tmp_path)))
+    df = clean_incidents(read_incidents_csv(spark, str(tmp_path), multi_line=True))
     one, two = df.orderBy("id").collect()
     assert (one["operator"], one["summary"], one["year"], one["aircraft_type"]) == (
         'Military - "U.S." Army', "Crashed\non landing.", 1908, "Wright Flyer III")
@@ -105,3 +106,10 @@ def test_phrase_guards_do_not_change_matches(spark):
         fast = C.matches(F.col("t"), pattern, vocab.PHRASE_NEEDS.get(name, ()))
         plain = F.col("t").rlike("(?dU)" + pattern)
         assert values(df, fast) == values(df, plain), name
+
+
+def test_another_header_order_is_no_swap(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,aboard,fatalities\n1,10,5\n")
+    (tmp_path / "b.csv").write_text("id,fatalities,aboard\n2,5,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_incidents_csv(spark, str(tmp_path)).collect()

@@ -182,3 +182,17 @@ def test_backfill(spark):
     updates = spark.createDataFrame([(1, None), (3, 9), (4, 7)], "id long, cluster_id int")
     got = {r["id"]: (r["x"], r["cluster_id"]) for r in backfill(df, updates, "id", ["cluster_id"]).collect()}
     assert got == {1: ("a", None), 2: ("b", 2), 3: ("c", 9)}
+
+
+def test_doubled_updates_give_one_row(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    updates = spark.createDataFrame([(1, "p", 5), (1, "q", 4), (1, "q", 4)], "id long, y string, order int")
+    assert {(r["id"], r["y"]) for r in backfill(df, updates, "id", ["y"]).collect()} == {(1, "p"), (2, None)}
+    assert backfill(df, updates.drop("order"), "id", ["y"]).where("id = 1").collect()[0]["y"] == "q"
+
+
+def test_medians_end_on_any_values(spark):
+    wide = [10.0 ** (3 * k) for k in range(100)] + [-(10.0 ** (3 * k)) for k in range(50)]
+    rows = [(v,) for v in wide] + [(float("inf"),), (float("-inf"),), (float("nan"),), (None,), (1.7e308,), (-1.7e308,)]
+    df = spark.createDataFrame(rows, "v double")
+    assert fit_medians(df, ["v"]) == {"v": statistics.median([*wide, 1.7e308, -1.7e308])}

@@ -73,8 +73,9 @@ def test_factor_field(spark, raw, want):
 def test_extraction_prompts(spark):
     rows = [(1, "  " + "x" * 900, None, 3.0), (2, "   ", None, 9.0), (3, "short {summary}", None, None), (4, "done", "Fire", 9.0)]
     df = spark.createDataFrame(rows, "id long, summary string, extracted_cause_category string, fatalities double")
-    got = {r["id"]: r["prompt"] for r in extraction_prompts(df).collect()}
+    got = {r["id"]: r["prompt"] for r in extraction_prompts(df, chars=800).collect()}
     assert set(got) == {1, 3}
+    assert "x" * 900 in extraction_prompts(df).where("id = 1").first()["prompt"]
     assert got[1].count("x" * 800) == 1 and "x" * 801 not in got[1]
     assert "INCIDENT REPORT:\nshort {summary}\n\nJSON response:" in got[3]
     assert extraction_prompts(df, 0).count() == 0
@@ -89,7 +90,7 @@ def test_cluster_prompts(spark):
     )
     rows = [(i, 0, float(i), f"Report {i} " + "y" * (400 if i == 19 else 5)) for i in range(20)] + [(99, -1, 1.0, "noise")]
     df = spark.createDataFrame(rows, "id long, cluster_id int, fatalities double, summary string")
-    got = {r["cluster_label"]: r for r in cluster_prompts(stats, df).collect()}
+    got = {r["cluster_label"]: r for r in cluster_prompts(stats, df, sample_chars=vocab.SAMPLE_CHARS, name_chars=vocab.NAME_LIST_CHARS).collect()}
     assert set(got) == {0, 1}
     text = got[0]["prompt"]
     assert "CLUSTER PROFILE (20 incidents, 1950-1960)" in text and "fatality rate: 31.2%" in text
@@ -114,3 +115,11 @@ def test_apply(spark):
     got = {r["cluster_label"]: r for r in apply_cluster_replies(clusters, answer).collect()}
     assert got[0]["root_cause_summary"] == "why" and got[0]["summarized_at"] is not None
     assert got[1]["root_cause_summary"] is None
+
+
+def test_one_reply_per_key_and_blank_reports(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, " \t\n", None), (3, None, None)], "id long, summary string, extracted_cause_category string")
+    replies = spark.createDataFrame([(1, '{"cause_category": "fire\\n"}', 2), (1, '{"cause_category": "weather"}', 1)], "id long, reply string, order int")
+    got = {r["id"]: r["extracted_cause_category"] for r in apply_replies(df, replies).collect()}
+    assert got == {1: "Fire", 2: "Unknown", 3: None}
+    assert apply_replies(df, replies.drop("order")).count() == 3
