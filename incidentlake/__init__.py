@@ -33,7 +33,7 @@ from .operators.clusters import (
     real_clusters,
     summarised,
 )
-from .operators.density import default_eps, density_clusters
+from .operators.density import default_eps, default_width, density_clusters, vector_clusters
 from .operators.evaluation import (
     class_report,
     classification_metrics,
@@ -87,7 +87,7 @@ from .plans.dashboard import dashboard_header, dashboard_summary
 from .plans.jobs import assign_clusters, build_clusters, extract_offline, prepare_prompts, train_and_score
 from .session import build_session, sizing
 from .sources.incidents import clean_incidents, read_incidents, read_incidents_csv, trainable
-from .sources.sinks import backfill, one_per_key, replace_run, replace_table, write_coordinates, write_incidents
+from .sources.sinks import backfill, one_per_key, read_table, replace_run, replace_table, write_coordinates, write_incidents
 
 # Ship the few Python helpers with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,6 +13,7 @@ than ``min_cluster_size`` rows, are noise.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from itertools import product
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from ..schema import NOISE
 from ..session import cut_lineage
 
-MAX_DIMENSIONS = 4
+MAX_DIMENSIONS = 4  # of the grid; vectors of any size go through ``vector_clusters``
+# Projections of a vector, and the groups of them of which linked micro-clusters may differ in one.
+PROJECTIONS, GROUPS = 12, 3
 BROADCAST_ROWS = 500_000  # a key and two numbers each, well below 100 MB
 CROWDED = 10_000
 
@@ -80,18 +83,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         parents = parents.select("node", "root")
 
 
-def default_eps(df: DataFrame, coords: Sequence[str], min_samples: int = 5) -> float:
-    """Cell side at which evenly spread rows would put ``2 * min_samples`` rows into a cell.
+def default_eps(df: DataFrame, coords: Sequence[str], share: float = 0.25) -> float:
+    """Cell side as a share of the geometric mean of the standard deviations.
 
-    Taken from the standard deviations, rounded to two digits so that the order
-    of summation cannot move the grid.
+    It does not depend on the number of rows, and is rounded to two digits so
+    that the order of summation cannot move the grid.
     """
-    row = df.agg(F.count(coords[0]).alias("n"), *[F.stddev_pop(c).alias(c) for c in coords]).first()
-    spread = [4 * row[c] for c in coords if row[c]]
-    if not spread:
-        return 1.0
-    side = (math.prod(spread) / max(row["n"] / (2 * min_samples), 1.0)) ** (1 / len(spread))
-    return float(f"{side:.1e}")
+    row = df.agg(*[F.stddev_pop(c).alias(c) for c in coords]).first()
+    spread = [row[c] for c in coords if row[c]]
+    return float(f"{share * math.prod(spread) ** (1 / len(spread)):.1e}") if spread else 1.0
 
 
 def density_clusters(
@@ -107,7 +107,7 @@ def density_clusters(
     """
     if not 1 <= len(coords) <= MAX_DIMENSIONS:
         raise ValueError(f"between 1 and {MAX_DIMENSIONS} coordinates, got {len(coords)}")
-    eps = eps or default_eps(df, coords, min_samples)
+    eps = eps or default_eps(df, coords)
     located = df.drop(label).withColumn("_cell", _cell(coords, eps))
     cells = cut_lineage(
         located.where(F.col("_cell").isNotNull()).groupBy(F.col("_cell").alias("cell"))
@@ -131,6 +131,74 @@ def density_clusters(
     member = cells.join(
         roots.select(F.col("node").alias("cell"), "root").unionByName(border), "cell"
     )
+    return _labelled(located, member, min_cluster_size, label)
+
+
+def projected(vector: Column, size: int) -> Column:
+    """``PROJECTIONS`` sums over all components, each with fixed signs; null unless all are finite.
+
+    The sign of component i in projection j is the lowest bit of the CRC-32 of the text "j:i".
+    """
+    def total(j: int) -> Column:
+        signs = F.array(*[F.lit(1.0 if zlib.crc32(f"{j}:{i}".encode()) & 1 else -1.0) for i in range(size)])
+        return F.aggregate(F.zip_with(vector, signs, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + x)
+
+    sums = F.array(*[total(j) for j in range(PROJECTIONS)])
+    finite = F.forall(sums, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    return F.when((F.size(vector) == size) & finite, sums)
+
+
+def default_width(df: DataFrame, vector: str, size: int) -> float:
+    """Mean standard deviation of the projections, rounded to two digits; it does not depend on the number of rows."""
+    sums = df.select(projected(F.col(vector), size).alias("sums")).where("sums is not null")
+    spread = [x for x in sums.agg(*[F.stddev_pop(F.col("sums")[j]).alias(f"d{j}") for j in range(PROJECTIONS)]).first() if x]
+    return float(f"{sum(spread) / len(spread):.1e}") if spread else 1.0
+
+
+def vector_clusters(
+    df: DataFrame, vector: str, size: int, width: float | None = None, min_samples: int = 5, min_cluster_size: int = 15,
+    key: str = "id", label: str = "cluster_id",
+) -> DataFrame:
+    """Add the cluster label of vectors of ``size`` components, all of which count: 0, 1, ... by size, -1 for noise.
+
+    The signature of a vector is the nearest multiple of ``width`` of each projection;
+    rows with equal signatures are one counted micro-cluster. Those of at least
+    ``min_samples`` rows are dense, and two that agree in all projections outside one of
+    the ``GROUPS`` are linked. A sparse one joins the fullest dense one it agrees with in
+    that way (ties: lowest key). Every band of equal numbers links its members to one of
+    them, so links grow with the micro-clusters and no pairs are formed. Null vectors,
+    other sizes and components that are null or not finite are noise; keys are unique.
+    """
+    width = width or default_width(df, vector, size)
+    signature = F.transform(projected(F.col(vector), size), lambda x: F.floor(x / width + 0.5).cast("bigint"))
+    located = df.drop(label).withColumn("_cell", signature)
+    cells = cut_lineage(
+        located.where(F.col("_cell").isNotNull()).groupBy(F.col("_cell").alias("cell"))
+        .agg(F.count("*").alias("n"), F.min(key).alias("low_key")).withColumn("node", F.monotonically_increasing_id())
+    )
+    part = PROJECTIONS // GROUPS
+    bands = F.array(*[
+        F.struct(F.lit(g).alias("group"), F.concat(
+            F.slice("cell", 1, g * part), F.slice("cell", (g + 1) * part + 1, PROJECTIONS)).alias("rest"))
+        for g in range(GROUPS)
+    ])
+    banded = cells.select("node", "n", "low_key", F.explode(bands).alias("band"))
+    dense = F.col("n") >= min_samples
+    first = F.struct((-F.col("n")).alias("rank"), "low_key")
+    hubs = banded.where(dense).groupBy("band").agg(F.min_by("node", first).alias("hub"), F.min(first).alias("first"))
+    near = cut_lineage(banded.join(hubs, "band").select("node", "n", "hub", "first"))
+    spokes = near.where(dense & (F.col("node") != F.col("hub"))).select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+    roots = components(spokes.union(spokes.select("dst", "src")).distinct(), cells.where(dense).select("node"))
+    border = (
+        near.where(~dense).groupBy("node").agg(F.min_by("hub", "first").alias("via"))
+        .join(roots.withColumnRenamed("node", "via"), "via").select("node", "root")
+    )
+    member = cells.join(roots.unionByName(border), "node").select("cell", "n", "low_key", "root")
+    return _labelled(located, member, min_cluster_size, label)
+
+
+def _labelled(located: DataFrame, member: DataFrame, min_cluster_size: int, label: str) -> DataFrame:
+    """Rows with the label of their ``_cell``; ``member`` has (cell, n, low_key, root)."""
     sizes = (
         member.groupBy("root")
         .agg(F.sum("n").alias("size"), F.min("low_key").alias("low_key"), F.count("*").alias("n_cells"))
@@ -171,11 +239,14 @@ def bring(rows: DataFrame, table: DataFrame, on: str, weight: str) -> DataFrame:
 def _number(sizes: DataFrame) -> DataFrame:
     """Consecutive labels by size, then lowest key.
 
-    Clusters are counted per size first; a size class numbers its own members and
-    starts after all larger classes, so no single task orders every cluster.
+    Clusters are dealt by ranges of both, so that many of one size are no hot task;
+    a range numbers its own members and starts after all earlier ranges.
     """
-    classes = sizes.groupBy("size").agg(F.count("*").alias("k"))
-    before = Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    start = classes.select("size", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("size").orderBy("low_key"))
-    return sizes.join(start, "size").select("root", "n_cells", (F.col("start") + inside - 1).alias("label"))
+    order = [F.col("size").desc(), F.col("low_key").asc()]
+    placed = cut_lineage(sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("k"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("_part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # One row per range.
+    return placed.join(F.broadcast(start), "_part").select("root", "n_cells", (F.col("start") + inside - 1).alias("label"))

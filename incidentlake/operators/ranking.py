@@ -7,6 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+SENT_ROWS = 200_000  # a key, a group and two numbers each
+
 
 def top_values(df: DataFrame, group: str, value: str, n: int = 5, name: str | None = None) -> DataFrame:
     """The ``n`` most frequent values per group as an ordered array (ties: alphabetical)."""
@@ -49,11 +53,25 @@ def most_frequent(df: DataFrame, group: str, value: str, name: str | None = None
 def top_rows_per_group(
     df: DataFrame, group: str, order: str, n: int, key: str = "id", columns: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The ``n`` rows per group with the highest ``order`` (ties: lowest key).
+    """The ``n`` rows per group with the highest ``order`` (ties: lowest key); keys are unique.
+
+    Rows are ranked without the further ``columns``, which a second scan fetches for the
+    ranked keys alone: they are sent to the tasks if counted as few, else joined.
+    """
+    ranked = ranked_rows(df, group, order, n, key)
+    if not columns:
+        return ranked
+    ranked = cut_lineage(ranked)
+    few = ranked.count() <= SENT_ROWS
+    return df.select(key, *columns).join(F.broadcast(ranked) if few else ranked, key).select(key, group, order, *columns, "rank")
+
+
+def ranked_rows(df: DataFrame, group: str, order: str, n: int, key: str = "id") -> DataFrame:
+    """(key, group, order, rank) of the ``n`` first rows per group.
 
-    The rank filter runs inside every task before the shuffle, so a dominant
-    group sends ``n`` rows per task and the wide columns need no second scan.
+    The rank filter runs inside every task before the shuffle, so a dominant group
+    sends ``n`` rows per task.
     """
     by = Window.partitionBy(group).orderBy(F.col(order).desc(), F.col(key).asc())
-    rows = df.where(F.col(group).isNotNull()).select(key, group, order, *columns)
+    rows = df.where(F.col(group).isNotNull()).select(key, group, order)
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)

@@ -22,11 +22,9 @@ SORT_KEYS = {
     "severity": "severity_label", "fatalities": "fatalities", "aboard": "aboard",
 }
 MAX_PAGE_SIZE = 100
-# Every task of a top-k hands its k rows to one merging task. Up to the first reach
-# they may be whole rows, up to the second keys; deeper pages are located by counting.
-WIDE_REACH = 50
-KEY_REACH = 100_000
-TASKS_PER_CORE = 4
+# Every task of a top-k hands its k keys to one merging task, so only slices that end
+# this near the start are found that way; all others are located by counting.
+HEAP_REACH = 200
 
 
 def check_range(name: str, value: int, low: int, high: int | None = None) -> int:
@@ -91,38 +89,33 @@ def search_incidents(
 ) -> DataFrame:
     """One page of matching incidents as list rows.
 
-    The first pages are one scan with a small heap per task. Further pages find
-    their ids on the two sort columns alone and then fetch only those rows.
+    A page finds its ids on the two sort columns alone and then fetches only those rows.
     """
     check_range("page", page, 1)
     check_range("page_size", page_size, 1, MAX_PAGE_SIZE)
     order = sort_columns(sort_key, sort_dir)
     hits = select_incidents(df, severity, decade, term, escape)
     skip = (page - 1) * page_size
-    if skip + page_size <= WIDE_REACH:
-        return first_rows(hits, order, page_size, skip).select(*LIST_COLUMNS)
-    keys = hits.select("id", SORT_KEYS.get(sort_key, "date"))
-    find = first_rows if skip + page_size <= KEY_REACH else deep_rows
-    ids = find(keys, order, page_size, skip).select("id")
+    ids = ordered_slice(hits.select("id", SORT_KEYS.get(sort_key, "date")), order, page_size, skip).select("id")
     # At most MAX_PAGE_SIZE ids.
     return df.join(F.broadcast(ids), "id", "left_semi").orderBy(*order).select(*LIST_COLUMNS)
 
 
-def first_rows(df: DataFrame, order: list[Column], n: int, skip: int = 0) -> DataFrame:
-    """Rows ``skip`` to ``skip + n`` in order, through one heap per task.
+def ordered_slice(df: DataFrame, order: list[Column], n: int, skip: int = 0) -> DataFrame:
+    """Rows ``skip`` to ``skip + n`` in order; ``df`` holds no more than keys, ``order`` ends with a unique one."""
+    return first_rows(df, order, n, skip) if skip + n <= HEAP_REACH else deep_rows(df, order, n, skip)
 
-    A scan of very many splits is first read by a few tasks per core (no
-    shuffle), which bounds the number of heaps the last task has to merge.
-    """
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(tasks).orderBy(*order).offset(skip).limit(n)
+
+def first_rows(df: DataFrame, order: list[Column], n: int, skip: int = 0) -> DataFrame:
+    """Rows ``skip`` to ``skip + n`` in order, through one heap of ``skip + n`` rows per task."""
+    return df.orderBy(*order).offset(skip).limit(n)
 
 
-def deep_rows(df: DataFrame, order: list[Column], n: int, skip: int) -> DataFrame:
-    """The same rows far from the start, without sending all earlier rows through one task.
+def deep_rows(df: DataFrame, order: list[Column], n: int, skip: int = 0) -> DataFrame:
+    """The same rows, any number of them and anywhere, without sending them through one task.
 
     The keys are range-partitioned and stored, the partitions counted, and only
-    the one or two partitions that hold the page are ranked.
+    the partitions that hold the rows are ranked, each by itself.
     """
     spark = df.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -175,8 +168,9 @@ def projection_points(df: DataFrame, limit: int = 2000) -> DataFrame:
     located = df.where(F.col("proj_x").isNotNull() & F.col("proj_y").isNotNull()).select(
         "id", "proj_x", "proj_y", "cluster_id", "severity_label", "fatalities", "year", "operator"
     )
+    ids = ordered_slice(located.select("id"), [F.col("id").asc()], limit)
     return (
-        first_rows(located, [F.col("id").asc()], limit)
+        located.join(F.broadcast(ids), "id", "left_semi").orderBy("id")  # at most 5000 ids
         .select(
             "id", F.round("proj_x", 4).alias("x"), F.round("proj_y", 4).alias("y"),
             F.coalesce("cluster_id", F.lit(-1)).alias("cluster"),
@@ -212,7 +206,7 @@ def pending_extraction(df: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is None:
         return queue
     order = [F.col("fatalities").desc(), F.col("id").asc()]
-    ids = first_rows(queue.select("id", "fatalities"), order, check_range("limit", limit, 0)).select("id")
+    ids = ordered_slice(queue.select("id", "fatalities"), order, check_range("limit", limit, 0)).select("id")
     return df.join(ids, "id", "left_semi")
 
 

@@ -29,7 +29,7 @@ from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
 from ..session import shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
 from ..sources.order_incidents import COLUMNS, incidents, table, texts
-from ..sources.sinks import backfill, replace_run, replace_table, write_coordinates
+from ..sources.sinks import backfill, read_table, replace_run, replace_table, write_coordinates
 from .dashboard import dashboard_header, dashboard_summary
 from .jobs import assign_clusters
 
@@ -821,7 +821,7 @@ def replaced_table(spark, sf_dir):
     stats = K.cluster_stats(incidents(spark, sf_dir, *CLUSTERED)).select("cluster_label", "incident_count")
     replace_table(stats, path)
     replace_table(stats.where(F.col("cluster_label") == -1), path)
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 @query

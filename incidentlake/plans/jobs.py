@@ -12,33 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_stats, with_summary_columns
-from ..operators.density import density_clusters
+from ..operators.density import vector_clusters
 from ..functions import vocab
 from ..operators.prompts import cluster_prompts, extraction_prompts, fill_by_keywords
 from ..operators.reduction import at, reduce_dimensions
 from ..operators.severity_model import SeverityModel, Training, fill_unknown, train_severity
 from ..operators.text import embed_text, incident_text
-from ..sources.sinks import replace_run, replace_table, write_coordinates
+from ..sources.sinks import read_table, replace_run, replace_table, write_coordinates
 
 
 ASSIGNED = ("cluster_id", "proj_x", "proj_y")
 
 
 def assign_clusters(
-    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50, dims: int = 3, eps: float | None = None,
+    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50, width: float | None = None,
     min_samples: int = 5, min_cluster_size: int = 15,
 ) -> DataFrame:
     """Add cluster label and plot coordinates to rows that carry a vector.
 
-    The vectors are reduced to ``k`` components; the grid of the density step
-    uses the first ``dims`` of them, the plot the first two, which are the same
-    as those of a separate two-dimensional fit.
+    The vectors are reduced to ``k`` components, all of which the density step uses;
+    the plot takes the first two, which are the same as those of a separate
+    two-dimensional fit.
     """
-    names = [f"_c{i}" for i in range(dims)]
-    reduced = reduce_dimensions(df.drop(*ASSIGNED), vector, max(k, dims, 2), "_reduced")
-    placed = reduced.withColumns({c: at("_reduced", i) for i, c in enumerate(names)})
-    placed = placed.withColumns({"proj_x": at("_reduced", 0), "proj_y": at("_reduced", 1)}).drop("_reduced")
-    return density_clusters(placed, names, eps, min_samples, min_cluster_size, key).drop(*names)
+    k = max(k, 2)
+    reduced = reduce_dimensions(df.drop(*ASSIGNED), vector, k, "_reduced")
+    placed = reduced.withColumns({"proj_x": at("_reduced", 0), "proj_y": at("_reduced", 1)})
+    return vector_clusters(placed, "_reduced", k, width, min_samples, min_cluster_size, key).drop("_reduced")
 
 
 def build_clusters(
@@ -46,18 +45,20 @@ def build_clusters(
 ) -> tuple[DataFrame, DataFrame]:
     """Embed, reduce, cluster; store the back-filled incidents and the cluster table of the run.
 
-    Embedding, reduction and labelling are row-wise once fitted, so the incidents
-    are rewritten in a scan without being shuffled.
+    Every text is encoded once: the incidents are stored with their vectors and all
+    further passes read those. Reduction and labelling are row-wise once fitted, so
+    the incidents are rewritten in a scan without being shuffled.
     """
     spark, path = df.sparkSession, f"{out}/incidents_clustered_{run_id}"
-    vectors = embed_text(df, text if text is not None else incident_text())
+    replace_table(embed_text(df, text if text is not None else incident_text()), f"{out}/vectors_{run_id}")
+    vectors = read_table(spark, f"{out}/vectors_{run_id}")
     assigned = assign_clusters(vectors, **options).drop("embedding")
     kept = [c for c in df.columns if c not in ASSIGNED]
     replace_table(assigned.select(*kept, *ASSIGNED), path)
-    stored = spark.read.parquet(path)
+    stored = read_table(spark, path)
     write_coordinates(stored, f"{out}/coordinates", run_id)
     replace_table(with_summary_columns(cluster_stats(stored, run_id=run_id)), f"{out}/clusters_{run_id}")
-    return stored, spark.read.parquet(f"{out}/clusters_{run_id}")
+    return stored, read_table(spark, f"{out}/clusters_{run_id}")
 
 
 def metrics_row(training: Training, run_id: int, model_path: str | None, test_size: float = 0.20) -> DataFrame:
@@ -90,14 +91,14 @@ def train_and_score(df: DataFrame, out: str, run_id: int, **options: object) ->
     replace_run(metrics_row(training, run_id, path), f"{out}/model_metrics", run_id)
     stored = SeverityModel.load(spark, path)
     replace_table(fill_unknown(stored, df), f"{out}/incidents_scored_{run_id}")
-    return training, spark.read.parquet(f"{out}/incidents_scored_{run_id}")
+    return training, read_table(spark, f"{out}/incidents_scored_{run_id}")
 
 
 def extract_offline(df: DataFrame, out: str, run_id: int) -> DataFrame:
     """Extract cause and phase of the pending reports from their phrases; no remote model needed."""
     path = f"{out}/incidents_extracted_{run_id}"
     replace_table(fill_by_keywords(df), path)
-    return df.sparkSession.read.parquet(path)
+    return read_table(df.sparkSession, path)
 
 
 def prepare_prompts(df: DataFrame, clusters: DataFrame, out: str, run_id: int, limit: int | None = 200) -> Sequence[str]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import decade_of
@@ -39,8 +41,22 @@ def backfill(df: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace the whole table at ``path``."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the whole table at ``path``; ``read_table`` reads it.
+
+    The rows go to a new version folder, then one row is appended to the pointer table
+    beside it. A write that fails leaves the earlier version current, and ``df`` may read
+    the table it replaces. Earlier versions stay until somebody removes them.
+    """
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    pointer = df.sparkSession.range(1).select(F.lit(time.time_ns()).alias("written"), F.lit(version).alias("version"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table that ``replace_table`` wrote."""
+    current = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "written").alias("version")).first()["version"]
+    return spark.read.parquet(f"{path}/{current}")
 
 
 def replace_run(df: DataFrame, path: str, run_id: int) -> None:

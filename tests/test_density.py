@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter, defaultdict, deque
 from itertools import product
 from math import floor
@@ -139,6 +140,76 @@ def test_small_groups_are_noise_and_sizes_order_labels(spark):
     assert (got[0], got[100], got[200], got[300]) == (-1, 1, 2, 0)
 
 
+def brute_vectors(vectors, width, min_samples, min_size):
+    """The definition of the vector clusters, pair by pair in plain Python."""
+    size = len(next(v for v in vectors.values() if v))
+    signs = [[1 if zlib.crc32(f"{j}:{i}".encode()) & 1 else -1 for i in range(size)] for j in range(D.PROJECTIONS)]
+    cell = {k: tuple(floor(sum(x * s for x, s in zip(v, row)) / width + 0.5) for row in signs) for k, v in vectors.items() if v and None not in v}
+    n = Counter(cell.values())
+    low = {c: min(k for k in cell if cell[k] == c) for c in n}
+    part = D.PROJECTIONS // D.GROUPS
+
+    def near(a, b):
+        return any(a[:g * part] + a[(g + 1) * part:] == b[:g * part] + b[(g + 1) * part:] for g in range(D.GROUPS))
+
+    dense, root = {c for c, k in n.items() if k >= min_samples}, {}
+    for start in sorted(dense):
+        if start not in root:
+            todo, root[start] = deque([start]), start
+            while todo:
+                here = todo.popleft()
+                for other in dense:
+                    if other not in root and near(here, other):
+                        root[other] = start
+                        todo.append(other)
+    for c in set(n) - dense:
+        best = sorted((-n[o], low[o], o) for o in dense if near(c, o))
+        if best:
+            root[c] = root[best[0][2]]
+    members = defaultdict(list)
+    for k, c in cell.items():
+        if c in root:
+            members[root[c]].append(k)
+    kept = sorted((m for m in members.values() if len(m) >= min_size), key=lambda m: (-len(m), min(m)))
+    label = {k: i for i, m in enumerate(kept) for k in m}
+    return {k: label.get(k, -1) for k in vectors}
+
+
+def run_vectors(spark, vectors, size, width=None, min_samples=5, min_size=15):
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    return {r["id"]: r["cluster_id"] for r in D.vector_clusters(df, "v", size, width, min_samples, min_size).collect()}
+
+
+def planted_vectors(rng, groups=5, each=120, size=20, spread=0.15):
+    centers = rng.normal(size=(groups, size)) * 2
+    rows = np.concatenate([rng.normal(c, spread, size=(each, size)) for c in centers] + [rng.normal(size=(40, size)) * 6])
+    return {i: [float(x) for x in v] for i, v in enumerate(rows)}
+
+
+def test_vectors_against_brute_force(spark):
+    vectors = planted_vectors(np.random.default_rng(4))
+    vectors.update({10_000: None, 10_001: [1.0] * 19 + [None]})
+    want = brute_vectors(vectors, 2.5, 3, 10)
+    assert run_vectors(spark, vectors, 20, 2.5, 3, 10) == want
+    assert len(set(want.values())) > 3 and want[10_000] == want[10_001] == -1
+
+
+def test_vectors_outside_the_leading_components_count(spark):
+    rng = np.random.default_rng(6)
+    vectors = {i: [0.0] * 15 + [(20.0 if i % 2 else -20.0) + float(x) for x in rng.normal(0, 0.05, 5)] for i in range(200)}
+    got = run_vectors(spark, vectors, 20)
+    assert {got[i] for i in range(0, 200, 2)} == {0} and {got[i] for i in range(1, 200, 2)} == {1}
+
+
+def test_a_table_repeated_keeps_its_vector_clusters(spark):
+    vectors = planted_vectors(np.random.default_rng(7))
+    once = run_vectors(spark, vectors, 20)
+    many = run_vectors(spark, {i + 1000 * k: v for i, v in vectors.items() for k in range(10)}, 20, None, 50, 150)
+    assert {i: many[i] for i in vectors} == once and len(set(once.values())) > 1
+    df = spark.createDataFrame([], "id long, v array<double>")
+    assert D.vector_clusters(df, "v", 20).count() == 0
+
+
 def test_too_many_dimensions(spark):
     with pytest.raises(ValueError):
         density_clusters(spark.range(1), ["a", "b", "c", "d", "e"])

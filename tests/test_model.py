@@ -14,6 +14,8 @@ from incidentlake import (
     fill_unknown,
     fit_medians,
     prepare_prompts,
+    read_table,
+    replace_table,
     score_unknown,
     stratified_split,
     train_and_score,
@@ -159,7 +161,7 @@ def test_training_job(spark, reports, tmp_path):
 
 def test_cluster_job_and_prompts(spark, reports, tmp_path):
     out = str(tmp_path)
-    stored, clusters = build_clusters(reports.drop("truth"), out, 5, eps=0.2, dims=2)
+    stored, clusters = build_clusters(reports.drop("truth"), out, 5)
     assert stored.count() == 900 and stored.where("cluster_id is null or proj_x is null").count() == 0
     found = clusters.where("cluster_label >= 0").collect()
     assert found and all(r["incident_count"] >= 15 and r["run_id"] == 5 for r in found)
@@ -184,6 +186,16 @@ def test_backfill(spark):
     assert got == {1: ("a", None), 2: ("b", 2), 3: ("c", 9)}
 
 
+def test_failed_replacement_keeps_the_first_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    replace_table(spark.range(3), path)
+    with pytest.raises(Exception, match="broken"):
+        replace_table(spark.range(5).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
+    assert read_table(spark, path).count() == 3
+    replace_table(read_table(spark, path).where("id > 0"), path)
+    assert sorted(r["id"] for r in read_table(spark, path).collect()) == [1, 2]
+
+
 def test_doubled_updates_give_one_row(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
     updates = spark.createDataFrame([(1, "p", 5), (1, "q", 4), (1, "q", 4)], "id long, y string, order int")

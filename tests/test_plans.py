@@ -13,6 +13,7 @@ from incidentlake import (
     top_groups,
     yearly_trends,
 )
+from incidentlake.operators.ranking import ranked_rows
 from incidentlake.operators.severity_model import assemble
 from incidentlake.operators.text import TfidfModel
 from incidentlake.schema import INCIDENT_SCHEMA
@@ -42,10 +43,12 @@ def test_filters_reach_the_scan(stored):
     assert "TakeOrderedAndProject" in text
 
 
-def test_rank_filter_runs_before_the_shuffle(spark, stored):
+def test_rank_filter_runs_before_the_shuffle_and_without_texts(spark, stored):
+    ranked = plan(ranked_rows(stored, "cluster_id", "fatalities", 12))
+    assert "Partial" in ranked and ranked.count("WindowGroupLimit") == 2 and "summary" not in ranked
     clusters = spark.createDataFrame([(0,)], "cluster_label int")
     text = plan(cluster_samples(stored, clusters))
-    assert "Partial" in text and text.count("WindowGroupLimit") == 2
+    assert "Window" not in text and "BroadcastHashJoin" in text
 
 
 def test_aggregates_combine_first(stored):
