@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,16 +154,19 @@ def embed_text(
 ) -> DataFrame:
     """Add the unit-length vector (array<float>) of each text.
 
-    The default hashes words into ``dims`` buckets inside the JVM. ``encoder``
-    builds any other model once per task and encodes Arrow batches with it; only
-    the text column is shipped to Python.
+    The default counts words in ``dims`` buckets inside the JVM; a word's bucket is the
+    remainder of the first eight hex digits of its MD5. ``encoder`` builds any other
+    model once per task and encodes Arrow batches with it; only the text column is
+    shipped to Python.
     """
     column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     if encoder is not None:
         raw = df.withColumn("_v", array_to_vector(_encode(encoder)(column)))
     else:
-        words = df.withColumn("_words", tokens(column, vocab.STOP_WORDS))
-        raw = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_v").transform(words).drop("_words")
+        buckets = F.transform(tokens(column, vocab.STOP_WORDS), lambda w: (
+            F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dims).cast("string"))
+        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], "_buckets", "_v")
+        raw = counter.transform(df.withColumn("_buckets", buckets)).drop("_buckets")
     unit = unit_length(raw, "_v", "_unit")
     return unit.withColumn(output, vector_to_array("_unit", "float32")).drop("_v", "_unit")
 

@@ -17,7 +17,7 @@ from ..operators import evaluation as E
 from ..operators import prompts as P
 from ..operators import search as S
 from ..operators import stats as T
-from ..operators.density import density_clusters
+from ..operators.density import density_clusters, vector_clusters
 from ..operators.features import build_features
 from ..operators.impute import fit_medians, median_impute
 from ..operators.ranking import most_frequent, top_values
@@ -39,6 +39,7 @@ QUERIES: dict[str, Query] = {}
 FACTS = ("year", "aboard", "fatalities")
 CLUSTERED = ("id", "cluster_id", "fatality_rate", "fatalities", "severity_label", "operator", "aircraft_type", "year")
 LISTED = (*S.LIST_COLUMNS, "year")
+CLUSTER_WIDTH = 0.75
 
 
 def query(fn: Query) -> Query:
@@ -517,7 +518,9 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def text_vectors(spark, sf_dir):
-    return embed_text(texts(spark, sf_dir), "text").select("doc_id", "embedding")
+    """The filled places of every text vector."""
+    rows = embed_text(texts(spark, sf_dir), "text").select("doc_id", F.posexplode("embedding").alias("idx", "value"))
+    return rows.where("value <> 0").select("doc_id", "idx", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query
@@ -541,12 +544,15 @@ def component_variance(spark, sf_dir):
 
 @query
 def reduced_vectors(spark, sf_dir):
-    return reduce_dimensions(table(spark, sf_dir, "embeddings"), k=50).select("vec_id", "reduced")
+    """Every vector's 50 principal components, one row each."""
+    rows = reduce_dimensions(table(spark, sf_dir, "embeddings"), k=50)
+    return rows.select("vec_id", F.posexplode("reduced").alias("idx", "value")).withColumn("value", F.round("value", 4))
 
 
 @query
 def projected_vectors(spark, sf_dir):
-    return project_2d(table(spark, sf_dir, "embeddings")).select("vec_id", "proj_x", "proj_y")
+    return project_2d(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", F.round("proj_x", 4).alias("proj_x"), F.round("proj_y", 4).alias("proj_y"))
 
 
 # --- classifier ------------------------------------------------------------------------------
@@ -686,6 +692,13 @@ def density_labels(df):
     return density_clusters(df, eps=0.2).select("id", "cluster_id")
 
 
+@query
+def embedding_clusters(spark, sf_dir):
+    """Clusters of the given vectors, by all their components."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_clusters(vectors, "embedding", 64, width=CLUSTER_WIDTH, key="vec_id").select("vec_id", "cluster_id")
+
+
 @query
 def document_clusters(spark, sf_dir):
     vectors = embed_text(texts(spark, sf_dir).select("doc_id", "text"), "text").drop("text")

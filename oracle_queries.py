@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from incidentlake.functions import vocab
 from incidentlake.schema import SEVERITY_INDEX
@@ -286,6 +287,59 @@ raw_w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocabulary U
 weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw_w)"""
 
 
+# --- vectors ---------------------------------------------------------------------------
+
+def components_sql(count: int) -> str:
+    """Principal components of the unit vectors: power iteration by squaring the covariance, deflated after each one."""
+    last = "step = 20"  # the matrix to the power of 2 ** 20
+    return f"""
+u AS (
+  SELECT vec_id, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)),
+part AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u),
+mean AS (SELECT i, avg(x) AS m FROM part GROUP BY i),
+off AS (SELECT vec_id, i, x - m AS x FROM part JOIN mean USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM u) AS v FROM off a JOIN off b USING (vec_id) GROUP BY ALL),
+line AS (SELECT i, list(v ORDER BY j) AS line FROM cov GROUP BY i),
+power(k, step, a, b, v) AS (
+  SELECT 0, 0, a, a, CAST(NULL AS DOUBLE[]) FROM (SELECT list(line ORDER BY i) AS a FROM line)
+  UNION ALL
+  SELECT CASE WHEN {last} THEN k + 1 ELSE k END, CASE WHEN {last} THEN 0 ELSE step + 1 END,
+    CASE WHEN {last} THEN rest ELSE a END, CASE WHEN {last} THEN rest ELSE squared END, CASE WHEN {last} THEN w END
+  FROM (
+    SELECT *, CASE WHEN {last} THEN [[a[i][j] - size * w[i] * w[j] FOR j IN range(1, len(w) + 1)] FOR i IN range(1, len(w) + 1)] END AS rest
+    FROM (
+      SELECT *, CASE WHEN {last} THEN list_inner_product(w, [list_inner_product(x, w) FOR x IN a]) END AS size,
+        CASE WHEN NOT {last} THEN [[list_inner_product(x, y) / (trace * trace) FOR y IN b] FOR x IN b] END AS squared
+      FROM (
+        SELECT *, [x / sqrt(list_inner_product(top, top)) FOR x IN top] AS w FROM (
+          SELECT *, b[list_position(diagonal, list_max(diagonal))] AS top, list_sum(diagonal) AS trace FROM (
+            SELECT *, [b[i][i] FOR i IN range(1, len(b) + 1)] AS diagonal FROM power WHERE k < {count})))))),
+axis AS (
+  SELECT CAST(k - 1 AS INT) AS idx, [x * sign(v[list_position([abs(y) FOR y IN v], list_max([abs(y) FOR y IN v]))]) FOR x IN v] AS w
+  FROM power WHERE v IS NOT NULL),
+placed AS (SELECT vec_id, idx, round(list_inner_product(v, w), 4) AS r FROM u, axis),
+reduced AS (SELECT vec_id, idx, CASE WHEN r = 0 THEN 0.0e0 ELSE r END AS value FROM placed)"""
+
+
+SIGNS = [[1 if zlib.crc32(f"{j}:{i}".encode()) & 1 else -1 for i in range(64)] for j in range(12)]
+VECTOR_CLUSTERS = f"""
+signed AS (SELECT vec_id, [CAST(floor(list_inner_product(CAST(embedding AS DOUBLE[]), s) / {{width}} + 0.5e0) AS BIGINT)
+    FOR s IN CAST({SIGNS} AS DOUBLE[][])] AS cell FROM embeddings WHERE len(embedding) = 64),
+cells AS (SELECT cell, count(*) AS n, min(vec_id) AS low FROM signed GROUP BY cell),
+bands AS (SELECT low, n, g, list_concat(cell[1:g * 4], cell[g * 4 + 5:]) AS rest FROM cells, range(0, 3) AS t(g)),
+hubs AS (SELECT g, rest, min((-n, low)) AS best FROM bands WHERE n >= 5 GROUP BY g, rest),
+near AS (SELECT b.low, b.n, h.best, h.best[2] AS hub FROM bands b JOIN hubs h USING (g, rest)),
+both_ways AS (SELECT low AS a, hub AS b FROM near WHERE n >= 5 UNION SELECT hub, low FROM near WHERE n >= 5),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
+roots AS (SELECT a AS low, min(b) AS root FROM reach GROUP BY a),
+via AS (SELECT low, min(best)[2] AS hub FROM near WHERE n < 5 GROUP BY low),
+member AS (SELECT low, root FROM roots UNION ALL SELECT v.low, r.root FROM via v JOIN roots r ON r.low = v.hub),
+sizes AS (SELECT root, sum(n) AS size, min(low) AS first FROM member JOIN cells USING (low) GROUP BY root HAVING sum(n) >= 15),
+named AS (SELECT root, row_number() OVER (ORDER BY size DESC, first) - 1 AS label FROM sizes),
+labelled AS (SELECT cell, label FROM cells JOIN member USING (low) JOIN named USING (root))"""
+
+
 # --- prompts ---------------------------------------------------------------------------
 
 def fill(template: str, **values: str) -> str:
@@ -522,6 +576,15 @@ def build() -> dict[str, str]:
     sql["text_vector_lengths"] = (
         "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN len(w) > 0 THEN 1.0e0 ELSE 0.0e0 END AS length FROM toks",
         "!" + TFIDF)
+    sql["text_vectors"] = ("""SELECT doc_id, CAST(bucket AS INT) AS idx,
+        round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM buckets""", "!" + TFIDF + """,
+      buckets AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n
+        FROM (SELECT doc_id, CAST('0x' || substr(md5(unnest(w)), 1, 8) AS BIGINT) % 384 AS bucket FROM toks) GROUP BY ALL)""")
+    sql["reduced_vectors"] = ("SELECT vec_id, idx, value FROM reduced", "!RECURSIVE" + components_sql(50))
+    sql["projected_vectors"] = ("""SELECT vec_id, max(CASE WHEN idx = 0 THEN value END) AS proj_x, max(CASE WHEN idx = 1 THEN value END) AS proj_y
+      FROM reduced GROUP BY vec_id""", "!RECURSIVE" + components_sql(2))
+    sql["embedding_clusters"] = ("SELECT vec_id, CAST(coalesce(labelled.label, -1) AS INT) AS cluster_id FROM embeddings LEFT JOIN signed USING (vec_id) LEFT JOIN labelled USING (cell)",
+                                 "!RECURSIVE" + VECTOR_CLUSTERS.format(width=0.75))
     sql["component_variance"] = ("SELECT round(sum(v), 6) AS total_variance, true AS falling FROM per", """!
       parts AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i,
         sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))) AS norm FROM embeddings),
