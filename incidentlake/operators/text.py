@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocab
+from ..session import cut_lineage
 
 VOCABULARY = "term string, idx int, document_count bigint, frequency bigint, idf double"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -79,12 +80,15 @@ class TfidfModel:
 
         Works row by row inside the JVM: no exchange, whatever the number of texts.
         """
+        return self.word_vectors(df.withColumn("_words", tokens(F.col(text), self.stop_words)), "_words", output).drop("_words")
+
+    def word_vectors(self, df: DataFrame, words: str, output: str = "text_vector") -> DataFrame:
+        """The same from the words of the texts, as ``tokens`` gives them."""
         idf = [v for _, v in self.terms] + [0.0] * (self.max_features - len(self.terms))
         # Places beyond the fitted terms hold a word no text can contain.
         names = [t for t, _ in self.terms] + [f"\0{i}" for i in range(len(self.terms), self.max_features)]
         counted = CountVectorizerModel.from_vocabulary(names, "_terms", "_counts").transform(
-            df.withColumn("_words", tokens(F.col(text), self.stop_words))
-            .withColumn("_terms", unigrams_and_bigrams(F.col("_words")))
+            df.withColumn("_terms", unigrams_and_bigrams(F.col(words)))
         )
         weights = F.split(F.lit(",".join(map(repr, idf))), ",").cast("array<double>")  # folded to one literal
         scaled = F.zip_with(
@@ -92,7 +96,7 @@ class TfidfModel:
             lambda tf, w: F.when(tf > 0, (1 + F.log(tf)) * w).otherwise(0.0),
         )
         raw = counted.withColumn("_raw", array_to_vector(scaled))
-        return unit_length(raw, "_raw", output).drop("_words", "_terms", "_counts", "_raw")
+        return unit_length(raw, "_raw", output).drop("_terms", "_counts", "_raw")
 
     def weights(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """Non-zero weights as rows (key, idx, term, weight); texts without known terms have none."""
@@ -117,13 +121,25 @@ def fit_tfidf(
 ) -> TfidfModel:
     """Most frequent words and word pairs of the training texts with their inverse document frequency.
 
+    The texts are read into words once; the words are kept in the shared folder.
+    """
+    words = cut_lineage(train.select(tokens(F.col(text), stop_words).alias("words")))
+    return fit_word_tfidf(words, "words", max_features, min_df, stop_words)
+
+
+def fit_word_tfidf(
+    train: DataFrame, words_col: str, max_features: int = 600, min_df: int = 2,
+    stop_words: Sequence[str] = vocab.STOP_WORDS,
+) -> TfidfModel:
+    """``fit_tfidf`` from the words of stored texts, which are scanned several times.
+
     A pair is never more frequent than its words. So the most frequent words are
     found first, and only they and the pairs they form are counted in full. The
     outcome is exact when the last selected term is more frequent than the words
     left out; otherwise (few texts, flat frequencies) all pairs are counted. At
     most a few times ``max_features`` words reach the driver.
     """
-    words = train.select(tokens(F.col(text), stop_words).alias("words"))
+    words = train.select(F.col(words_col).alias("words"))
     size = 2 * max_features
     head = (
         words.select(F.explode_outer("words").alias("w")).groupBy("w").agg(F.count("w").alias("uses"))
