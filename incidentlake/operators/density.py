@@ -55,10 +55,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the logarithm of the path lengths. The tables are checkpointed per round:
     plans stay short and a lost executor costs one round at most. A root that
     many nodes point to only meets in aggregates, which combine before the
-    shuffle, and in ``bring``.
+    shuffle, and in ``bring``; nodes that were counted and found few are broadcast.
     """
     edges = cut_lineage(edges)
     parents = cut_lineage(nodes.select("node", F.col("node").alias("root")))
+    few = parents.count() <= BROADCAST_ROWS
     while True:
         best = (
             edges.join(parents, F.col("dst") == F.col("node"))
@@ -72,12 +73,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .union(offers.select(F.col("root").alias("node"), "low", F.lit(None).cast(nodes.schema["node"].dataType)))
             .groupBy("node").agg(F.min("low").alias("next"), F.min("before").alias("before"))
         )
-        pointed = hooked.groupBy("next").agg(F.count("*").alias("uses"))
-        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("root")).join(pointed, "next")
-        stepped = bring(hooked, jump, "next", "uses").select(
-            "node", "root", (F.col("root") != F.col("before")).alias("moved")
-        )
-        parents = cut_lineage(stepped)
+        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("root"))
+        if few:
+            stepped = hooked.join(F.broadcast(jump), "next")
+        else:
+            pointed = hooked.groupBy("next").agg(F.count("*").alias("uses"))
+            stepped = bring(hooked, jump.join(pointed, "next"), "next", "uses")
+        parents = cut_lineage(stepped.select("node", "root", (F.col("root") != F.col("before")).alias("moved")))
         if parents.where("moved").limit(1).count() == 0:
             return parents.select("node", "root")
         parents = parents.select("node", "root")
@@ -111,26 +113,21 @@ def density_clusters(
     located = df.drop(label).withColumn("_cell", _cell(coords, eps))
     cells = cut_lineage(
         located.where(F.col("_cell").isNotNull()).groupBy(F.col("_cell").alias("cell"))
-        .agg(F.count("*").alias("n"), F.min(key).alias("low_key"))
-    )
-    dense = cells.where(F.col("n") >= min_samples)
-    links = cells.select(
-        F.col("cell").alias("src"), (F.col("n") >= min_samples).alias("src_dense"),
-        F.explode(_touching(F.col("cell"), len(coords))).alias("dst"),
-    ).join(dense.select(F.col("cell").alias("dst"), F.col("n").alias("dst_n")), "dst")
-
-    roots = components(
-        links.where("src_dense").select("src", "dst"), dense.select(F.col("cell").alias("node"))
+        .agg(F.count("*").alias("n"), F.min(key).alias("low_key")).withColumn("node", F.monotonically_increasing_id())
     )
+    dense = F.col("n") >= min_samples
+    links = cut_lineage(cells.select(
+        F.col("node").alias("src"), dense.alias("src_dense"), F.explode(_touching(F.col("cell"), len(coords))).alias("cell"),
+    ).join(cells.where(dense).select("cell", F.col("node").alias("dst"), F.col("n").alias("dst_n")), "cell"))
+
+    roots = components(links.where("src_dense").select("src", "dst"), cells.where(dense).select("node"))
     # Fullest dense neighbour of a sparse cell, ties to the lowest position.
-    fullest = F.min(F.struct((-F.col("dst_n")).alias("rank"), F.col("dst").alias("dst")))["dst"]
+    fullest = F.min_by("dst", F.struct(-F.col("dst_n"), "cell"))
     border = (
         links.where(~F.col("src_dense")).groupBy("src").agg(fullest.alias("node"))
-        .join(roots, "node").select(F.col("src").alias("cell"), "root")
-    )
-    member = cells.join(
-        roots.select(F.col("node").alias("cell"), "root").unionByName(border), "cell"
+        .join(roots, "node").select(F.col("src").alias("node"), "root")
     )
+    member = cells.join(roots.unionByName(border), "node").select("cell", "n", "low_key", "root")
     return _labelled(located, member, min_cluster_size, label)
 
 

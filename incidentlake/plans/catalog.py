@@ -22,7 +22,7 @@ from ..operators.features import build_features
 from ..operators.impute import fit_medians, median_impute
 from ..operators.ranking import most_frequent, top_values
 from ..operators.reduction import project_2d, reduce_dimensions
-from ..operators.severity_model import fill_unknown, label_index, score_unknown, train_severity
+from ..operators.severity_model import SeverityModel, fill_unknown, label_index, score_unknown, train_severity
 from ..operators.split import stratified_split
 from ..operators.text import embed_text, fit_tfidf
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
@@ -40,6 +40,7 @@ FACTS = ("year", "aboard", "fatalities")
 CLUSTERED = ("id", "cluster_id", "fatality_rate", "fatalities", "severity_label", "operator", "aircraft_type", "year")
 LISTED = (*S.LIST_COLUMNS, "year")
 CLUSTER_WIDTH = 0.75
+LANGUAGES = ("de", "en", "es", "fr")
 
 
 def query(fn: Query) -> Query:
@@ -597,6 +598,47 @@ def severity_importances(spark, sf_dir):
     return trained(spark, sf_dir)[1].model.importances(spark)
 
 
+@query
+def model_checks(spark, sf_dir):
+    """What must hold of a classifier that learns a document's language, as counted rows.
+
+    Every tenth document is unlabelled. The model must beat the largest class on its test
+    rows, keep to the classes and to confidences up to 1, score alike after it is stored
+    and read again, and have importances that fall and sum to 1.
+    """
+    by_language = F.create_map(*[F.lit(x) for pair in zip(LANGUAGES, SEVERITY_CLASSES) for x in pair])[F.col("lang")]
+    docs = texts(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("summary"),
+        F.when(F.col("doc_id") % 10 != 3, by_language).otherwise(F.lit(None)).alias("known"))
+    docs = docs.withColumn("severity_label", F.coalesce("known", F.lit("Unknown"))).drop("known")
+    training, path = train_severity(docs, num_trees=60), scratch(spark)
+    training.model.save(spark, path)
+    scored, tested = score_unknown(training.model, docs), training.predictions
+    again = score_unknown(SeverityModel.load(spark, path), docs)
+    fine = F.col("predicted").isin(*SEVERITY_CLASSES) & F.col("confidence").between(0.25, 1)
+    best = tested.groupBy("actual").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    right = tested.agg(F.count_if(F.col("actual") == F.col("predicted")).alias("n"))
+    weights = training.model.importances(spark, 1000)
+    falling = F.col("importance").between(0, F.lag("importance", 1, 1.0).over(Window.orderBy(F.desc("importance"), "feature")))
+
+    def measure(name: str, df: DataFrame, value: Column) -> DataFrame:
+        return df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("measure"), "value")
+
+    parts = [
+        measure("tested", tested, F.count("*")),
+        measure("tested in range", tested, F.count_if(fine)),
+        measure("better than the largest class", right.unionByName(best.select((-F.col("n")).alias("n"))), (F.sum("n") > 0).cast("int")),
+        measure("scored", scored, F.count("*")),
+        measure("scored alike when reloaded", scored.intersect(again), F.count("*")),
+        measure("importances out of order", weights.select((~falling).alias("bad")), F.count_if("bad")),
+        measure("importances in all, per cent", weights, F.round(F.sum("importance") * 100)),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 # --- clusters ---------------------------------------------------------------------------------
 
 @on(*CLUSTERED)
