@@ -26,7 +26,7 @@ from ..operators.severity_model import SeverityModel, fill_unknown, label_index,
 from ..operators.split import stratified_split
 from ..operators.text import embed_text, fit_tfidf
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
 from ..sources.order_incidents import COLUMNS, incidents, table, texts
 from ..sources.sinks import backfill, read_table, replace_run, replace_table, write_coordinates
@@ -743,7 +743,8 @@ def embedding_clusters(spark, sf_dir):
 
 @query
 def document_clusters(spark, sf_dir):
-    vectors = embed_text(texts(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
+    """Clusters of the documents' text vectors, which are stored once and then read in every pass."""
+    vectors = cut_lineage(embed_text(texts(spark, sf_dir).select("doc_id", "text"), "text").drop("text"))
     return assign_clusters(vectors, key="doc_id").drop("embedding")
 
 
