@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,12 @@ from .common import cut_lineage, linked_groups
 BLOCK = 2048
 #: Vectors per shard aimed at, most shards, and sampled vectors per shard.
 SHARD_ROWS, MOST_SHARDS, SAMPLE_PER_SHARD = 1500, 65_536, 40
+#: Overlap from which on vectors are compared in full instead of searched wider, and the blocks of that comparison.
+WIDEST, EXACT_BLOCK = 64, 8192
+#: Vectors drawn at most for the audit where few have links.
+MOST_DRAWN = 3200
+
+LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -234,23 +241,73 @@ def search_shards(pairs: DataFrame, threshold: float, beam: int) -> DataFrame:
     return pairs.groupBy("shard", "x", "y").applyInPandas(solve, "id long, n long, other long")
 
 
+def exact_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, other) as of ``search_shards``, by comparing all vectors of a length with each other in pairs of blocks."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, copies, block = (rows[c].to_numpy() for c in ("id", "copies", "block"))
+        within, vectors = rows["x"].iloc[0] == rows["y"].iloc[0], np.stack(rows["vector"].to_numpy())
+        n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, len(ids), 256):
+            near = vectors[at:at + 256] @ vectors.T >= threshold
+            near[np.arange(len(near)), at + np.arange(len(near))] = False
+            if not within:
+                near &= block[at:at + 256, None] != block[None, :]
+            n[at:at + 256] = near @ copies
+            for i in np.flatnonzero(near.any(1)).tolist():
+                parts = np.unique(np.append(label[near[i]], label[at + i]))
+                if len(parts) > 1:
+                    label[np.isin(label, parts)] = parts[0]
+        return pd.DataFrame({"id": ids, "n": n, "other": ids[label]})[n > 0]
+
+    pairs = dealt(classes.select("id", "copies", "vector", F.col("length").alias("shard")), EXACT_BLOCK)
+    return cut_lineage(pairs.groupBy("shard", "x", "y").applyInPandas(compare, "id long, n long, other long"))
+
+
 def true_links(classes: DataFrame, queries: list[tuple[int, list[float]]], threshold: float) -> dict[int, int]:
-    """Brute force for a few queries: how many vectors each links with, itself included."""
-    ids, wanted = [q[0] for q in queries], [np.array(q[1]) for q in queries]
+    """Brute force for a few queries: how many other vectors each links with, its own copies left out."""
+    ids, wanted = np.array([q[0] for q in queries]), [np.array(q[1]) for q in queries]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            vectors, copies = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
+            own, vectors, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for length in {len(v) for v in vectors}:
-                use = [i for i, v in enumerate(vectors) if len(v) == length]
-                asked = [i for i, v in enumerate(wanted) if len(v) == length]
-                if asked:
-                    near = np.array([vectors[i] for i in use]) @ np.stack([wanted[i] for i in asked]).T >= threshold
-                    total[asked] += (near * copies[use][:, None]).sum(0)
+                use = np.array([i for i, v in enumerate(vectors) if len(v) == length])
+                asked = np.array([i for i, v in enumerate(wanted) if len(v) == length], np.int64)
+                queried = np.stack([wanted[i] for i in asked]).T if len(asked) else None
+                for at in range(0, len(use) if len(asked) else 0, 1024):
+                    some = use[at:at + 1024]
+                    near = np.array([vectors[i] for i in some]) @ queried >= threshold
+                    total[asked] += copies[some] @ (near & (own[some][:, None] != ids[asked][None, :]))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
 
-    return {r["id"]: r["n"] for r in classes.select("vector", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    return {r["id"]: r["n"] for r in classes.select("id", "vector", "copies").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+
+
+def drawn_links(classes: DataFrame, threshold: float, queries: int) -> tuple[dict[int, int], int]:
+    """True numbers of links of the drawn vectors that have any, and how many were drawn.
+
+    Vectors are drawn by a hash of their id, ``queries`` at first and then four times as
+    many, until a quarter of ``queries`` have links or ``MOST_DRAWN`` or all are drawn.
+    """
+    truth: dict[int, int] = {}
+    drawn, order = 0, classes.select("id", "vector").orderBy(F.xxhash64("id"), "id")
+    while drawn < MOST_DRAWN and 4 * len(truth) < queries:
+        wanted = min(MOST_DRAWN, 4 * drawn if drawn else queries) - drawn
+        rows = [(r["id"], r["vector"]) for r in order.offset(drawn).limit(wanted).collect()]
+        if rows:
+            truth |= {i: n for i, n in true_links(classes, rows, threshold).items() if n > 0}
+        drawn += len(rows)
+        if len(rows) < wanted:
+            break
+    return truth, drawn
+
+
+def link_recall(truth: dict[int, int], found: dict[int, int]) -> float:
+    """Share of a vector's links that was found, as the mean over the vectors with links, each counting alike."""
+    return sum(min(found.get(i, 0), n) / n for i, n in truth.items()) / len(truth) if truth else 1.0
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, overlap: int = 3, beam: int = 16,
@@ -260,9 +317,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Equal vectors are one class throughout. Centres come from a sample of at most
     ``SAMPLE_PER_SHARD`` vectors per shard; every class goes to its ``overlap`` nearest
     shards. Each shard builds its graph, adjacency lists are united, and each shard's
-    members are searched over the united lists. The recall is audited by brute force for
-    ``audit_queries`` vectors; below ``least_recall`` the search is repeated with twice the
-    overlap and beam until it is reached. Links are verified in double precision.
+    members are searched over the united lists. The recall is audited by brute force: the
+    share of its links with other vectors that a drawn vector finds, as the mean over those
+    that have any, see ``drawn_links``. Below ``least_recall`` the search is repeated with
+    twice the overlap and beam, and where that does not reach it up to an overlap of
+    ``WIDEST`` all vectors are compared with each other. The figure is logged. Links are
+    verified in double precision.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with
     nothing; so do vectors of different lengths with each other. A null id has no links and
@@ -283,19 +343,23 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     classes = cut_lineage(classes.mapInArrow(scaled, "id long, copies long, vector array<double>, raw array<double>")
                           .withColumn("length", F.size("vector")))
     sizes = {r["length"]: r["n"] for r in classes.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    queries = [(r["id"], r["vector"]) for r in classes.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(audit_queries).collect()]
     links = linked_counts(classes, sizes, threshold, overlap, beam)
-    if queries:
-        truth = true_links(classes, queries, threshold)
-        own = classes.where(F.col("id").isin(*truth)).select("id", "copies")
-        while True:
-            found = {r["id"]: r["n"] for r in own.join(links.groupBy("id").agg(F.sum("n").alias("n")), "id", "left")
-                     .select("id", (F.col("copies") + F.coalesce("n", F.lit(0))).alias("n")).collect()}
-            recall = sum(min(found[i], n) for i, n in truth.items()) / sum(truth.values())
-            if recall >= least_recall or overlap >= 64:
-                break
-            overlap, beam = overlap * 2, beam * 2
-            links = linked_counts(classes, sizes, threshold, overlap, beam)
+    truth, drawn = drawn_links(classes, threshold, audit_queries)
+    own = classes.where(F.col("id").isin(*truth)).select("id") if truth else None
+    while own is not None:
+        found = {r["id"]: r["n"] for r in own.join(links, "id").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        recall = link_recall(truth, found)
+        LOG.info("recall %.4f at overlap %d, mean of %d vectors with links among %d drawn", recall, overlap, len(truth), drawn)
+        if recall >= least_recall:
+            break
+        if overlap >= WIDEST:
+            LOG.info("all vectors are compared with each other")
+            links = exact_links(classes, threshold)
+            break
+        overlap, beam = overlap * 2, beam * 2
+        links = linked_counts(classes, sizes, threshold, overlap, beam)
+    if not truth:
+        LOG.info("recall not measured: none of %d drawn vectors has a link", drawn)
     groups = linked_groups(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("id").agg(F.sum("n").alias("n"))
     named = cut_lineage(classes.join(counted, "id", "left").join(groups, "id", "left")

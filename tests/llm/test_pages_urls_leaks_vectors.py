@@ -86,3 +86,29 @@ def test_vectors_against_brute_force(spark):
     assert got[9007]["n_links"] == 1 and got[9008]["component_id"] == 9007 and not got[9008]["kept"]
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(9001, 9007)) and got[None]["component_id"] is None
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_audit_counts_links_with_other_vectors_only(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    alone, pair = np.eye(64)[:40], np.repeat(np.eye(64)[40:60], 2, 0) + rng.normal(size=(40, 64)) * 0.01
+    crowd = np.eye(64)[60] + rng.normal(size=(120, 64)) * 0.01
+    rows = [(i, p.tolist()) for i, p in enumerate(np.concatenate([alone, pair, crowd]))] + [(1000 + i, p.tolist()) for i, p in enumerate(alone)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    audited, whole = [], vectors.link_recall
+    monkeypatch.setattr(vectors, "link_recall", lambda truth, found: audited.append((truth, whole(truth, found))) or audited[-1][1])
+    real = vectors.linked_counts
+    # a search that loses every pair, as 120 x 119 links of the crowd outweigh 40 of the pairs
+    monkeypatch.setattr(vectors, "linked_counts", lambda *a: real(*a).where("id < 40 or id >= 80"))
+    got = {r["id"]: r for r in vectors.near_vectors(df).collect()}
+    truth, first = audited[0]
+    assert set(truth) == set(range(40, 200)) and truth[40] == 1 and truth[80] == 119  # copies of a vector are no links
+    assert abs(first - 120 / 160) < 0.01  # by pairs it would read 0.997
+    assert all(got[i]["n_links"] == 1 for i in range(80)) and {got[i]["n_links"] for i in range(80, 200)} == {119}
+    assert got[41]["component_id"] == 40 and got[1000]["component_id"] == 0 and not got[1000]["kept"]
+
+
+def test_audit_draws_more_where_links_are_rare(spark):
+    points = np.concatenate([np.eye(1200)[:1196], np.eye(1200)[:4] + 0.1 * np.eye(1200)[1196:]])
+    classes = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(vectors.unit(points))], "id long, copies long, vector array<double>")
+    truth, drawn = vectors.drawn_links(classes, 0.9, 200)
+    assert drawn == 1200 and truth == {i: 1 for i in (0, 1, 2, 3, 1196, 1197, 1198, 1199)}
