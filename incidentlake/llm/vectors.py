@@ -94,15 +94,16 @@ def graph(vectors: np.ndarray, degree: int = 24, pool: int = 64, alpha: float =
     """
     n = len(vectors)
     pool, out = min(pool, n - 1), np.full((n, degree), -1, np.int64)
-    for at in range(0, n, 512):
-        sims = vectors[at:at + 512] @ vectors.T
+    step = max(1, 512 * 64 // pool)
+    for at in range(0, n, step):
+        sims = vectors[at:at + step] @ vectors.T
         rows = np.arange(len(sims))
         sims[rows, at + rows] = -np.inf
         near = np.argpartition(-sims, pool - 1, axis=1)[:, :pool] if pool < n else np.tile(np.arange(n), (len(sims), 1))
         order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
         near = np.take_along_axis(near, order, 1)
         own = 2 - 2 * np.take_along_axis(sims, near, 1)  # squared distances
-        alive, taken = np.ones(near.shape, bool), np.zeros(len(near), np.int64)
+        alive, taken, cloud = np.ones(near.shape, bool), np.zeros(len(near), np.int64), vectors[near]
         for _ in range(degree):
             some = alive.any(1)
             if not some.any():
@@ -111,30 +112,49 @@ def graph(vectors: np.ndarray, degree: int = 24, pool: int = 64, alpha: float =
             chosen = near[rows, pick]
             out[at + rows[some], taken[some]] = chosen[some]
             taken[some] += 1
-            between = 2 - 2 * np.einsum("ijk,ik->ij", vectors[near], vectors[chosen])
+            between = 2 - 2 * (cloud @ vectors[chosen][:, :, None])[:, :, 0]
             alive &= alpha * alpha * between > own
             alive[rows, pick] = False
     return out
 
 
-def range_search(vectors: np.ndarray, edges: np.ndarray, threshold: float, beam: int, slack: float = 0.05) -> np.ndarray:
+def both_ways(n: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) and their reverse as one list of ends, and where each vertex begins in it."""
+    pairs = np.unique(np.concatenate((edges[:, 0] * n + edges[:, 1], edges[:, 1] * n + edges[:, 0])))
+    return np.searchsorted(pairs // n, np.arange(n + 1)), pairs % n
+
+
+def medoids(vectors: np.ndarray, k: int) -> np.ndarray:
+    """The vector nearest to the centre of each of at most ``k`` clusters."""
+    middle, own = centres(vectors, k, rounds=4)
+    sims = vectors @ middle.T
+    return np.unique([np.where(own == c, sims[:, c], -np.inf).argmax() for c in np.unique(own)])
+
+
+def range_search(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], threshold: float, beam: int, slack: float = 0.05, starts: int = 16) -> np.ndarray:
     """Which vectors each vector finds within the threshold, as a symmetric table without itself.
 
-    Every vector is a query. A greedy search with a beam starts at the medoid; from what
-    it found within reach of the threshold the search goes on along the edges until no
-    new vector is within reach. Similarities are computed in double precision.
+    Every vector is a query. A greedy search with a beam starts at the query's own vertex
+    and at the medoids of ``starts`` clusters, so that a dense group does not hide the
+    others; from what it found within reach of the threshold the search goes on along the
+    edges, in both directions, until no new vector is within reach. Similarities are
+    computed in double precision.
     """
     n = len(vectors)
-    medoid = int((vectors @ vectors.sum(0)).argmax())
+    first = medoids(vectors, starts)
     found = np.zeros((n, n), bool)
     for at in range(0, n, 512):
         queries = vectors[at:at + 512]
         q = np.arange(len(queries))
         seen = np.zeros((len(q), n), bool)
-        ids, sims = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -np.inf)
-        ids[:, 0], sims[:, 0], seen[:, medoid] = medoid, queries @ vectors[medoid], True
-        done = np.zeros((len(q), beam), bool)
-        near = [(q[sims[:, 0] >= threshold - slack], ids[sims[:, 0] >= threshold - slack, 0])]
+        ids = np.concatenate((at + q[:, None], np.broadcast_to(first, (len(q), len(first))), np.full((len(q), beam), -1)), 1)
+        sims = np.concatenate((np.ones((len(q), 1)), queries @ vectors[first].T, np.full((len(q), beam), -np.inf)), 1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :1]] = -1  # a medoid's own search
+        sims[ids < 0] = -np.inf
+        seen[:, first], seen[q, at + q] = True, True
+        done = np.zeros(ids.shape, bool)
+        row, slot = np.nonzero(sims >= threshold - slack)
+        near = [(row, ids[row, slot])]
         while True:
             waiting = np.where(done | (ids < 0), -np.inf, sims)
             pick = waiting.argmax(1)
@@ -167,12 +187,11 @@ def range_search(vectors: np.ndarray, edges: np.ndarray, threshold: float, beam:
     return found | found.T
 
 
-def expand(rows: np.ndarray, nodes: np.ndarray, edges: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def expand(rows: np.ndarray, nodes: np.ndarray, edges: tuple[np.ndarray, np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours of each query's nodes that it has not seen, marked as seen; sorted by query."""
-    width = edges.shape[1]
-    rows, fresh = np.repeat(rows, width), edges[nodes].ravel()
-    use = fresh >= 0
-    rows, fresh = rows[use], fresh[use]
+    begins, ends = edges
+    width = begins[nodes + 1] - begins[nodes]
+    rows, fresh = np.repeat(rows, width), ends[np.arange(width.sum()) + np.repeat(begins[nodes] - np.cumsum(width) + width, width)]
     new = ~seen[rows, fresh]
     both = np.unique(rows[new] * seen.shape[1] + fresh[new])
     rows, fresh = both // seen.shape[1], both % seen.shape[1]
@@ -188,13 +207,13 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
         .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def build_edges(pairs: DataFrame) -> DataFrame:
-    """(id, edges): adjacency lists of the graphs of all shards, united per vector."""
+def build_edges(pairs: DataFrame, wider: int = 1) -> DataFrame:
+    """(id, edges): adjacency lists of the graphs of all shards, united per vector; ``wider`` times the usual pool and degree."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         ids = rows["id"].to_numpy()
-        edges = graph(np.stack(rows["vector"].to_numpy())) if len(ids) > 1 else np.full((1, 1), -1)
+        edges = graph(np.stack(rows["vector"].to_numpy()), 24 * wider, 64 * wider) if len(ids) > 1 else np.full((1, 1), -1)
         return pd.DataFrame({"id": ids, "edges": [ids[e[e >= 0]] for e in edges]})
 
     lists = pairs.groupBy("shard", "x", "y").applyInPandas(build, "id long, edges array<long>")
@@ -213,13 +232,10 @@ def search_shards(pairs: DataFrame, threshold: float, beam: int) -> DataFrame:
         ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
         here, x, y = int(rows["shard"].iloc[0]), int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
         vectors, lists = np.stack(rows["vector"].to_numpy()), rows["edges"].tolist()
-        width = max(1, max(len(e) for e in lists))
-        edges = np.full((len(ids), width), -1, np.int64)
-        for i, own in enumerate(lists):
-            at = np.searchsorted(ids, own)
-            inside = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own)]
-            edges[i, :len(inside)] = inside
-        found = range_search(vectors, edges, threshold, beam) if len(ids) > 1 else np.zeros((1, 1), bool)
+        ends = np.concatenate(lists).astype(np.int64)
+        at = np.minimum(np.searchsorted(ids, ends), len(ids) - 1)
+        edges = np.stack((np.repeat(np.arange(len(ids)), [len(e) for e in lists]), at), 1)[ids[at] == ends]
+        found = range_search(vectors, both_ways(len(ids), edges), threshold, beam) if len(ids) > 1 else np.zeros((1, 1), bool)
         if x != y:
             block = rows["block"].to_numpy()
             found &= block[:, None] != block[None, :]
@@ -320,7 +336,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     members are searched over the united lists. The recall is audited by brute force: the
     share of its links with other vectors that a drawn vector finds, as the mean over those
     that have any, see ``drawn_links``. Below ``least_recall`` the search is repeated with
-    twice the overlap and beam, and where that does not reach it up to an overlap of
+    twice the overlap, beam, pool, degree and upper centres looked at, and where that does not reach it up to an overlap of
     ``WIDEST`` all vectors are compared with each other. The figure is logged. Links are
     verified in double precision.
 
@@ -343,7 +359,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     classes = cut_lineage(classes.mapInArrow(scaled, "id long, copies long, vector array<double>, raw array<double>")
                           .withColumn("length", F.size("vector")))
     sizes = {r["length"]: r["n"] for r in classes.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    links = linked_counts(classes, sizes, threshold, overlap, beam)
+    wider = 1
+    links = linked_counts(classes, sizes, threshold, overlap, beam, wider)
     truth, drawn = drawn_links(classes, threshold, audit_queries)
     own = classes.where(F.col("id").isin(*truth)).select("id") if truth else None
     while own is not None:
@@ -356,8 +373,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             LOG.info("all vectors are compared with each other")
             links = exact_links(classes, threshold)
             break
-        overlap, beam = overlap * 2, beam * 2
-        links = linked_counts(classes, sizes, threshold, overlap, beam)
+        overlap, beam, wider = overlap * 2, beam * 2, wider * 2
+        links = linked_counts(classes, sizes, threshold, overlap, beam, wider)
     if not truth:
         LOG.info("recall not measured: none of %d drawn vectors has a link", drawn)
     groups = linked_groups(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
@@ -371,8 +388,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         .withColumn("kept", F.col("id") == F.col("component_id"))
 
 
-def linked_counts(classes: DataFrame, sizes: dict[int, int], threshold: float, overlap: int, beam: int) -> DataFrame:
-    """(id, n, other) of ``search_shards`` for all classes; vectors of each length have shards of their own."""
+def linked_counts(classes: DataFrame, sizes: dict[int, int], threshold: float, overlap: int, beam: int, wider: int = 1) -> DataFrame:
+    """(id, n, other) of ``search_shards`` for all classes; vectors of each length have shards of their own.
+
+    Candidates, degree and upper centres looked at are ``wider`` times the usual.
+    """
     models: dict[int, tuple[int, Shards]] = {}
     base = 0
     for length, n in sorted(sizes.items()):
@@ -391,12 +411,12 @@ def linked_counts(classes: DataFrame, sizes: dict[int, int], threshold: float, o
             for length in {len(v) for v in vectors}:
                 use = [i for i, v in enumerate(vectors) if len(v) == length]
                 first, model = models[length]
-                names = model.nearest(np.array([vectors[i] for i in use]), overlap)
+                names = model.nearest(np.array([vectors[i] for i in use]), overlap, 4 * wider)
                 out[use, :names.shape[1]] = np.where(names >= 0, names + first, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.tolist(), pa.list_(pa.int64()))], names=["id", "copies", "vector", "shards"])
 
     placed = cut_lineage(classes.select("id", "copies", "vector").mapInArrow(assign, "id long, copies long, vector array<double>, shards array<long>"))
     members = placed.withColumn("shard", F.explode(F.filter(F.array_distinct("shards"), lambda s: s >= 0)))
     pairs = dealt(members, BLOCK)
-    edges = cut_lineage(build_edges(pairs.select("shard", "x", "y", "id", "vector")))
+    edges = cut_lineage(build_edges(pairs.select("shard", "x", "y", "id", "vector"), wider))
     return cut_lineage(search_shards(pairs.join(edges, "id"), threshold, beam))

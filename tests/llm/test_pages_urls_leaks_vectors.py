@@ -112,3 +112,31 @@ def test_audit_draws_more_where_links_are_rare(spark):
     classes = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(vectors.unit(points))], "id long, copies long, vector array<double>")
     truth, drawn = vectors.drawn_links(classes, 0.9, 200)
     assert drawn == 1200 and truth == {i: 1 for i in (0, 1, 2, 3, 1196, 1197, 1198, 1199)}
+
+
+def test_small_groups_beside_a_dense_one_are_reached():
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=64) + rng.normal(size=(600, 64)) * 0.2
+    base = np.repeat(rng.normal(size=(100, 64)), 3, 0)
+    points = vectors.unit(np.concatenate([dense, base + rng.normal(size=base.shape) * 0.2]))
+    truth = points @ points.T >= 0.9
+    np.fill_diagonal(truth, False)
+    lists = vectors.graph(points)
+    edges = np.stack((np.repeat(np.arange(len(points)), lists.shape[1]), lists.ravel()), 1)[lists.ravel() >= 0]
+    begins, ends = vectors.both_ways(len(points), edges)
+    assert {(a, b) for a, b in edges.tolist()} <= {(b, a) for a in range(len(points)) for b in ends[begins[a]:begins[a + 1]].tolist()}
+    found = vectors.range_search(points, (begins, ends), 0.9, 16)
+    assert (truth | ~found).all() and not found.diagonal().any()
+    per = found.sum(1) / truth.sum(1)
+    assert per[:600].mean() > 0.99 and per[600:].mean() > 0.99
+
+
+def test_recall_of_skewed_vectors_at_the_first_try(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = np.repeat(rng.normal(size=(300, 32)), 3, 0)
+    points = np.concatenate([rng.normal(size=32) + rng.normal(size=(700, 32)) * 0.2, base + rng.normal(size=base.shape) * 0.2])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points[rng.permutation(len(points))])], "vec_id long, embedding array<double>")
+    audited, whole = [], vectors.link_recall
+    monkeypatch.setattr(vectors, "link_recall", lambda truth, found: audited.append(whole(truth, found)) or audited[-1])
+    vectors.near_vectors(df).collect()
+    assert len(audited) == 1 and audited[0] > 0.95
