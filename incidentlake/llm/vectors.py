@@ -18,6 +18,8 @@ from .common import cut_lineage, linked_groups
 BLOCK = 2048
 #: Vectors per shard aimed at, most shards, and sampled vectors per shard.
 SHARD_ROWS, MOST_SHARDS, SAMPLE_PER_SHARD = 1500, 65_536, 40
+#: Vectors (and, where they are long, components) that come to the driver for the upper centres, and sampled vectors one task clusters.
+FIRST_SAMPLE, FIRST_COMPONENTS, PART = 50_000, 8_000_000, 8192
 #: Overlap from which on vectors are compared in full instead of searched wider, and the blocks of that comparison.
 WIDEST, EXACT_BLOCK = 64, 8192
 #: Vectors drawn at most for the audit where few have links.
@@ -68,15 +70,44 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, n
     return found, (vectors @ found.T).argmax(1)
 
 
-def fit_shards(sample: np.ndarray, shards: int) -> Shards:
-    top, own = centres(sample, max(1, int(np.ceil(np.sqrt(shards)))))
-    lower, parent = [], []
-    for t in range(len(top)):
-        members = sample[own == t]
-        below = centres(members, max(1, round(shards * len(members) / len(sample))))[0] if len(members) else top[t:t + 1]
-        lower.append(below)
-        parent += [t] * len(below)
-    return Shards(top, np.concatenate(lower), np.array(parent))
+def fit_shards(rows: DataFrame, n: int, length: int, shards: int) -> Shards:
+    """Centres of (id, vector) rows, ``n`` vectors of one length.
+
+    A sample of bounded size on the driver gives the upper centres. The lower ones are
+    fitted in the tasks, on ``SAMPLE_PER_SHARD`` vectors per shard: each goes to its upper
+    centre, the members of an upper centre are dealt in parts of about ``PART``, and each
+    part gives centres by its share of the sample. Only centres come back.
+    """
+
+    def sampled(most: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1_000_000, -(-1_000_000 * most // n))))
+
+    tops = max(1, int(np.ceil(np.sqrt(shards))))
+    first = sampled(min(SAMPLE_PER_SHARD * shards, FIRST_SAMPLE, max(4 * tops, FIRST_COMPONENTS // length))).toPandas().sort_values("id")
+    if not len(first):  # few vectors, none in the sample: one shard
+        return Shards(np.eye(1, length), np.eye(1, length), np.zeros(1, np.int64))
+    top, _ = centres(np.stack(first["vector"].to_numpy()), tops)
+    if shards == 1:
+        return Shards(top, top, np.zeros(1, np.int64))
+
+    def parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1).flatten().to_numpy().reshape(-1, length)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((vectors @ top.T).argmax(1))], names=["id", "vector", "top"])
+
+    def lower(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        found = centres(np.stack(part["vector"].to_numpy()), max(1, round(shards * len(part) / total)))[0]
+        return pd.DataFrame({"top": part["top"].iloc[0], "part": part["part"].iloc[0], "centre": list(found)})
+
+    placed = sampled(SAMPLE_PER_SHARD * shards).mapInArrow(parent, "id long, vector array<double>, top long")
+    sizes = {r["top"]: r["n"] for r in placed.groupBy("top").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    parts = F.element_at(F.create_map(*(F.lit(x) for t, m in sizes.items() for x in (t, -(-m // PART)))), F.col("top"))
+    below = placed.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("long")).groupBy("top", "part") \
+        .applyInPandas(lower, "top long, part long, centre array<double>").orderBy("top", "part").toPandas()
+    bare = np.setdiff1d(np.arange(len(top)), below["top"])  # upper centres without a sampled vector are lower ones too
+    return Shards(top, np.concatenate((np.stack(below["centre"].to_numpy()), top[bare])), np.concatenate((below["top"].to_numpy(), bare)))
 
 
 def usable(vector: Column) -> Column:
@@ -331,7 +362,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """(id, n_links, component_id, kept): vectors linked by cosine similarity of at least the threshold.
 
     Equal vectors are one class throughout. Centres come from a sample of at most
-    ``SAMPLE_PER_SHARD`` vectors per shard; every class goes to its ``overlap`` nearest
+    ``SAMPLE_PER_SHARD`` vectors per shard, fitted in the tasks; every class goes to its ``overlap`` nearest
     shards. Each shard builds its graph, adjacency lists are united, and each shard's
     members are searched over the united lists. The recall is audited by brute force: the
     share of its links with other vectors that a drawn vector finds, as the mean over those
@@ -397,11 +428,7 @@ def linked_counts(classes: DataFrame, sizes: dict[int, int], threshold: float, o
     base = 0
     for length, n in sorted(sizes.items()):
         shards = max(1, min(MOST_SHARDS, -(-n * overlap // SHARD_ROWS)))
-        most = SAMPLE_PER_SHARD * shards
-        share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1_000_000, -(-1_000_000 * most // n)))
-        sample = classes.where((F.col("length") == length) & share).select("id", "vector").toPandas().sort_values("id")
-        known = np.stack(sample["vector"].to_numpy()) if len(sample) else np.zeros((0, length))
-        models[length] = (base, fit_shards(known, shards) if len(known) else Shards(np.eye(1, length), np.eye(1, length), np.zeros(1, np.int64)))
+        models[length] = (base, fit_shards(classes.where(F.col("length") == length).select("id", "vector"), n, length, shards))
         base += len(models[length][1].lower)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

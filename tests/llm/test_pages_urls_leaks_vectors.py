@@ -140,3 +140,20 @@ def test_recall_of_skewed_vectors_at_the_first_try(spark, monkeypatch):
     monkeypatch.setattr(vectors, "link_recall", lambda truth, found: audited.append(whole(truth, found)) or audited[-1])
     vectors.near_vectors(df).collect()
     assert len(audited) == 1 and audited[0] > 0.95
+
+
+def test_only_a_fixed_sample_of_vectors_comes_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = np.repeat(rng.normal(size=(40, 8)), 100, 0)
+    points = vectors.unit(np.concatenate([base + rng.normal(size=base.shape) * 0.1, np.ones((2000, 8)) + rng.normal(size=(2000, 8)) * 0.01]))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vector array<double>").cache()
+    fetched, whole = [], type(rows).toPandas
+    monkeypatch.setattr(type(rows), "toPandas", lambda self: fetched.append(whole(self)) or fetched[-1])
+    monkeypatch.setattr(vectors, "FIRST_SAMPLE", 300)
+    monkeypatch.setattr(vectors, "PART", 500)
+    model = vectors.fit_shards(rows, 6000, 8, 100)
+    first, centres = fetched
+    assert 200 < len(first) < 450 and 80 <= len(centres) == len(model.lower) <= 140 and len(model.upper) <= 10
+    assert centres["part"].max() > 0  # the crowded group was dealt
+    assert set(model.parent) == set(range(len(model.upper))) and np.allclose((model.lower ** 2).sum(1), 1)
+    assert np.take_along_axis(points @ model.lower.T, model.nearest(points, 3), 1)[:, 0].mean() > 0.95
