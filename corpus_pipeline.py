@@ -13,19 +13,28 @@ from incidentlake.llm.common import table
 from incidentlake.llm.queries import vocabulary
 from incidentlake.session import shared_dir
 
-#: A document whose main language has less than this share of its text is rejected, as is one without letters.
-LEAST_SHARE = 0.2
+#: A document whose main language has less than this share of its text is rejected, as is one without letters. With few
+#: languages some language always has that much, so the share must also exceed the even one by ``ABOVE_EVEN``.
+LEAST_SHARE, ABOVE_EVEN = 0.2, 1.1
+
+
+def least_share(languages: int) -> float:
+    """Least share of a main language; of one or two languages the larger is always the main one."""
+    return max(LEAST_SHARE, ABOVE_EVEN / languages) if languages > 2 else LEAST_SHARE
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known main language. The model learns from the labels of the stage's own input.
 
-    Rejected: null and empty texts, texts without a letter, and texts whose main language
-    has less than ``LEAST_SHARE`` of the mixture; a document with null id goes only for want
-    of letters. A repeated id goes if one of its rows is rejected. All columns stay as they are.
+    Rejected: null and empty texts, texts without a letter, texts whose main language has
+    less than ``least_share`` of the mixture, and texts in none of the learned languages
+    (letter junk, other languages): their trigrams are less likely than ``language.least_fit``.
+    A document with null id goes only for want of letters. A repeated id goes if one of its
+    rows is rejected. All columns stay as they are.
     """
     model = language.train(docs)
-    rejected = language.predict(docs, model).where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < LEAST_SHARE))
+    rejected = language.predict(docs, model, with_fit=True) \
+        .where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < least_share(len(model.languages))) | (F.col("fit") < F.col("least_fit")))
     return docs.join(rejected.where("id is not null").select(F.col("id").alias("doc_id")).distinct(), ["doc_id"], "left_anti") \
         .where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 

@@ -174,7 +174,21 @@ def mixtures(doc: np.ndarray, logs: np.ndarray, n: np.ndarray, docs: int, penalt
     return shares, gain
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 3.0) -> DataFrame:
+def least_fit(model: LanguageModel, shares: np.ndarray, n: np.ndarray, way: float = 1 / 3, deviations: float = 3.0) -> np.ndarray:
+    """Least mean log-likelihood per trigram of texts that are in the model's languages, for texts of ``n`` trigrams.
+
+    It lies a part ``way`` of the way from what the texts the model learned from reach to
+    what trigrams reach that have nothing to do with the language, each as the mixture has
+    it; lower for short texts, whose mean varies. Neighbouring trigrams overlap, so three
+    count as one.
+    """
+    p = np.exp(model.logs)
+    learned, foreign = (p * model.logs).sum(1), model.logs.mean(1)
+    spread = np.sqrt(np.maximum((p * model.logs**2).sum(1) - learned**2, 0))
+    return shares @ (learned + way * (foreign - learned)) - deviations * (shares @ spread) * np.sqrt(3 / np.maximum(n, 1))
+
+
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", penalty: float = 3.0, with_fit: bool = False) -> DataFrame:
     """(id, lang_pred, score, shares): the main language of each whole text and its share.
 
     ``shares`` maps each language of the chosen set to its proportion. ``penalty``
@@ -182,7 +196,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     character counts three times. Null and empty texts, and texts without a letter, are
     "und" with score 0 and no shares; so is every text if the model knows no language.
     Repeated rows give repeated rows, ties go to the language first in the alphabet,
-    other columns are not read.
+    other columns are not read. ``with_fit`` adds ``fit``, the mean log-likelihood of a
+    trigram under the text's mixture (null without letters), and ``least_fit``.
     """
     languages, logs = model.languages, model.logs.T.copy() if model.languages else model.logs
 
@@ -191,18 +206,25 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             pred, score, shares = [UNKNOWN] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
+            fit, least = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             for a, b in chunks(texts) if languages else ():
                 doc, bucket, n = trigram_counts(texts[a:b], letters)
                 pi, _ = mixtures(doc, logs[bucket], n, b - a, penalty)
                 known = np.zeros(b - a, bool)
                 known[doc] = True
+                if with_fit and len(doc):
+                    sizes = np.bincount(doc, n, b - a)
+                    reached = np.bincount(doc, n * np.log(np.einsum("ij,ij->i", np.exp(logs[bucket]), pi[doc])), b - a)
+                    fit[a:b] = np.where(known, reached / np.maximum(sizes, 1), np.nan)
+                    least[a:b] = np.where(known, least_fit(model, pi, sizes), np.nan)
                 for i in np.flatnonzero(known).tolist():
                     top = int(pi[i].argmax())
                     pred[a + i], score[a + i] = languages[top], min(1.0, float(pi[i, top]))
                     shares[a + i] = {languages[k]: float(pi[i, k]) for k in np.flatnonzero(pi[i] > 1e-6).tolist()}
+            fits = [pa.array(fit, from_pandas=True), pa.array(least, from_pandas=True)] if with_fit else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred), pa.array(score), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.float64()))],
-                names=["id", "lang_pred", "score", "shares"])
+                [batch.column(0), pa.array(pred), pa.array(score), pa.array([list(x.items()) for x in shares], pa.map_(pa.string(), pa.float64())), *fits],
+                names=["id", "lang_pred", "score", "shares", *(["fit", "least_fit"] if with_fit else [])])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(run, "id long, lang_pred string, score double, shares map<string,double>" + (", fit double, least_fit double" if with_fit else ""))
