@@ -36,6 +36,10 @@ ASIDE_WORDS = frozenset("nav navbar navigation menu menubar footer sidebar aside
                         "advertising sponsor sponsored promo promotion banner comment comments discussion disqus reply replies respond share sharing social related "
                         "breadcrumb breadcrumbs newsletter subscribe subscription signup login popup modal overlay widget masthead toolbar pagination pager "
                         "contentinfo complementary search copyright disclaimer".split())
+#: Of these, words that an article may use of its own text.
+AMBIGUOUS = frozenset("discussion related search share sharing social copyright reply replies respond".split())
+#: Elements whose id names what an article says there.
+TOPIC = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote section".split())
 CONTENT_WORDS = frozenset("content article post entry story main body text".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ol ul dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 
@@ -46,6 +50,8 @@ class Element:
     words: frozenset[str] = frozenset()
     parts: list[object] = field(default_factory=list)  # texts and elements
     digest: int = 0
+    roles: frozenset[str] = frozenset()  # words without those of the id
+    marked: bool = False  # in an article by an ambiguous word only
 
 
 def parse(page: str) -> Element:
@@ -83,11 +89,14 @@ def parse(page: str) -> Element:
         if name == "li" and stack[-1].name == "li":
             stack.pop()
         words: set[str] = set()
+        roles: set[str] = set()
         if m[3]:
             for key, *values in ATTRIBUTE.findall(m[3]):
                 if key.lower() in ("class", "id", "role"):
-                    words.update(w.lower() for w in WORDS.findall("".join(values)))
-        element = Element(name, frozenset(words))
+                    found = [w.lower() for w in WORDS.findall("".join(values))]
+                    words.update(found)
+                    roles.update(found if key.lower() != "id" else ())
+        element = Element(name, frozenset(words), roles=frozenset(roles))
         stack[-1].parts.append(element)
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -110,7 +119,25 @@ def is_aside(e: Element, inside_article: bool) -> bool:
         return False
     if e.name == "article":
         return bool(e.words & {"comment", "comments", "reply", "related", "sponsored", "ad"})
-    return bool(e.words & ASIDE_WORDS)
+    if not inside_article:
+        return bool(e.words & ASIDE_WORDS)
+    said = (e.roles if e.name in TOPIC else e.words) & ASIDE_WORDS
+    e.marked = bool(e.words & AMBIGUOUS)
+    return bool(said - AMBIGUOUS) or e.marked and all_links(e)
+
+
+def all_links(e: Element) -> bool:
+    """Whether a subtree has text, and all of it in links."""
+    inside = outside = False
+    todo: list[tuple[Element, bool]] = [(e, e.name == "a")]
+    while todo:
+        x, link = todo.pop()
+        for p in x.parts:
+            if isinstance(p, Element):
+                todo.append((p, link or p.name == "a"))
+            elif p.strip():
+                inside, outside = inside or link, outside or not link
+    return inside and not outside
 
 
 def prune(e: Element, inside_article: bool = False) -> None:
@@ -153,13 +180,13 @@ def digest(e: Element) -> int:
 
 
 def removable(found: list[Element]) -> Iterator[Element]:
-    """Subtrees that may be a site's template: in an article everything but its prose, elsewhere every element."""
+    """Subtrees that may be a site's template: in an article what an ambiguous word marks and all but its prose, elsewhere every element."""
     for top in found:
         prose = top.name in ("article", "main")
         todo = [p for p in top.parts if isinstance(p, Element)]
         while todo:
             e = todo.pop()
-            if e.name in BLOCK and not (prose and (e.name in PROSE or has_prose(e))):
+            if e.name in BLOCK and (e.marked or not (prose and (e.name in PROSE or has_prose(e)))):
                 yield e
             todo += [p for p in e.parts if isinstance(p, Element)]
 
@@ -242,7 +269,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Structure first: menus, headers, footers, sidebars, notices, adverts, forms, comments,
     scripts and styles go, and what is left is the article, else the main element, else
-    an element named as content, else the page. Then subtrees that recur across a host go;
+    an element named as content, else the page. In an article the ids of headings, prose
+    and sections say nothing, and what only a word of ``AMBIGUOUS`` marks goes if it is all
+    links or recurs. Then subtrees that recur across a host go;
     in an article its prose (paragraphs, headings, lists, tables) stays, for articles of a
     site share sentences too. Character references are decoded, white space in a block is
     one blank, blocks are joined by line breaks. Null and empty pages give an empty text;

@@ -157,3 +157,16 @@ def test_only_a_fixed_sample_of_vectors_comes_to_the_driver(spark, monkeypatch):
     assert centres["part"].max() > 0  # the crowded group was dealt
     assert set(model.parent) == set(range(len(model.upper))) and np.allclose((model.lower ** 2).sum(1), 1)
     assert np.take_along_axis(points @ model.lower.T, model.nearest(points, 3), 1)[:, 0].mean() > 0.95
+
+
+def test_article_text_with_words_of_asides_stays(spark):
+    def page(i):
+        return (f"<body><article><h1>A {i}</h1><h2 id='related-work'>Related {i}</h2><section id='discussion'><p>We discuss {i}.</p></section>"
+                f"<section id='comments'><p>On comments {i}.</p></section><p class='search-results'>Found {i}.</p><div class='share-prices'><p>Up {i}.</p></div>"
+                f"<div class='related'><a href='/{i}'>More {i}</a></div><div class='share'><p>Share this with friends</p></div>"
+                f"<div class='comments'><p>Nice {i}</p></div><p class='ad'>Buy {i}</p></article></body>")
+
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(20)] + [(99, "http://b.example/1", page(99))], "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in extraction.main_text(df).collect()}
+    own = "A {0}\nRelated {0}\nWe discuss {0}.\nOn comments {0}.\nFound {0}.\nUp {0}."
+    assert got[3] == own.format(3) and got[99] == own.format(99) + "\nShare this with friends"
