@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["table", "crc_of", "chunks", "code_points", "Spans", "linked_groups", "cut_lineage"]
+__all__ = ["table", "crc_of", "chunks", "code_points", "kept_in_worker", "matching_points", "Spans", "linked_groups", "cut_lineage"]
 
-#: Characters that one step over texts holds at once; a longer text is a step of its own.
-CHUNK_CHARS = 1_000_000
+#: Characters and texts that one step over texts holds at once; a longer text is a step of its own.
+CHUNK_CHARS, CHUNK_ROWS = 400_000, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +29,25 @@ def crc_of(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
 
 
-def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive slices whose texts have about ``limit`` characters together."""
+#: Places that the rows of a sample are chosen from.
+PLACES = 1 << 62
+
+
+def place_of(key: str) -> Column:
+    """Place of a row among ``PLACES`` by a hash of its key; a null key counts as the text "null"."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 2)
+
+
+def share_of(wanted: int, rows: int) -> int:
+    """Places below which about ``wanted`` of ``rows`` rows lie; never none, whatever the number of rows."""
+    return min(PLACES, -(-PLACES * wanted // rows))
+
+
+def chunks(texts: list[str], limit: int = CHUNK_CHARS, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int]]:
+    """Consecutive slices of at most ``rows`` texts that have about ``limit`` characters together."""
     start, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
+        if i > start and (held + len(text) > limit or i - start >= rows):
             yield start, i
             start, held = i, 0
         held += len(text) + 1
@@ -44,6 +62,24 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.flatnonzero(points == 0)
 
 
+def kept_in_worker(name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, made once in a Python worker and kept from task to task."""
+    shelf = sys.modules.setdefault("_incidentlake_shelf", types.ModuleType("_incidentlake_shelf"))
+    if not hasattr(shelf, name):
+        setattr(shelf, name, build())
+    return getattr(shelf, name)
+
+
+def matching_points(kind: str, library: Any = re) -> np.ndarray:
+    """Which code points match a class of characters (a pattern of ``library``), found a slice at a time."""
+    known, width = np.zeros(0x110000, bool), 1 << 14
+    runs = library.compile(f"(?:{kind})+")
+    for at in range(0, 0x110000, width):
+        for m in runs.finditer("".join(map(chr, range(at, at + width)))):
+            known[at + m.start():at + m.end()] = True
+    return known
+
+
 def powers(factor: int, n: int) -> np.ndarray:
     out = np.full(n, factor % (1 << 64), np.uint64)
     out[:1] = 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, chunks, code_points, mixed
+from .common import Spans, chunks, code_points, kept_in_worker, matching_points, mixed
 
 #: Shingles of benchmark items that one pass over the documents searches for; more items take more passes.
 PASS_SHINGLES = 2_000_000
@@ -28,12 +28,7 @@ class WordTable:
     """Which code points are letters or digits."""
 
     def __init__(self) -> None:
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        self.known = np.zeros(0x110000, bool)
-        for m in WORD.finditer(every):
-            a, b = (x + 0x800 * (x >= 0xD800) for x in (m.start(), m.end() - 1))
-            self.known[a:b + 1] = True
-        self.known[0xD800:0xE000] = False
+        self.known = kept_in_worker("word_points", lambda: matching_points(r"[^\W_]"))
 
 
 def shingle_hashes(texts: list[str], table: WordTable, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

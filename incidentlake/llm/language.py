@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, code_points, mixed
+from .common import chunks, code_points, kept_in_worker, matching_points, mixed, place_of, share_of
 
-LETTER = re.compile(r"[^\W\d_]")
 #: Buckets that character trigrams are hashed to.
 BUCKETS = 8192
 UNKNOWN = "und"
@@ -28,13 +26,7 @@ class LanguageModel:
 
 
 def letters_table() -> np.ndarray:
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    known = np.zeros(0x110000, bool)
-    for m in re.finditer(r"[^\W\d_]+", every):
-        at, end = m.span()
-        shift = 0x800 if at >= 0xD800 else 0
-        known[at + shift:end + (0x800 if end > 0xD800 else 0)] = True
-    return known
+    return kept_in_worker("letters", lambda: matching_points(r"[^\W\d_]"))
 
 
 def trigram_counts(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,9 +41,8 @@ def trigram_counts(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, n
         grams = values[:-2] + values[1:-1] * np.uint64(1 << 21) + values[2:] * np.uint64(1 << 42)
         bucket = (mixed(grams) >> np.uint64(51)).astype(np.int64)
     inside = (doc[:-2] == doc[2:]) & (values[1:-1] > 0)  # around a letter
-    cells = np.bincount((doc[:-2] * BUCKETS + bucket)[inside], minlength=len(texts) * BUCKETS)
-    found = np.flatnonzero(cells)
-    return found // BUCKETS, found % BUCKETS, cells[found]
+    found, n = np.unique((doc[:-2] * BUCKETS + bucket)[inside], return_counts=True)
+    return found // BUCKETS, found % BUCKETS, n
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -67,10 +58,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                        F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(sizes))
-    place = F.pmod(F.xxhash64(F.coalesce("id", F.lit("null"))), F.lit(1_000_000))
     share = F.lit(0)
     for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1_000_000 * most_rows // sizes[lang]))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(share_of(most_rows, sizes[lang]))).otherwise(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = letters_table(), np.zeros((len(languages), BUCKETS), np.int64)
@@ -84,7 +74,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])],
                                          names=["lang", "bucket", "n"])
 
-    counted = rows.where("text is not null").where(place < share).select("text", "lang") \
+    counted = rows.where("text is not null").where(place_of("id") < share).select("text", "lang") \
         .mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.full((len(languages), BUCKETS), smoothing)
     for lang, bucket, n in counted:

@@ -17,6 +17,8 @@ LINES = 1 << 32
 BLOCKS = 16
 #: Bases of the two hashes of a line.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Characters of lines that are taken apart at once, and variants that are hashed at once.
+LINE_CHARS, VARIANTS = 200_000, 200_000
 
 
 def normal_lines(text: str | None) -> list[str]:
@@ -58,7 +60,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, line): the normal form of the lines that ``wanted`` (id, no) names."""
+    """(id, no, line, h1, h2): the normal form and hashes of the lines that ``wanted`` (id, no) names, in every row with that id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,11 +68,15 @@ def line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
             for id_, text, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = normal_lines(text)
                 out += [(id_, no, lines[no]) for no in numbers if no < len(lines)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()),
-                                              pa.array([x[2] for x in out], pa.string())], names=["id", "no", "line"])
+            for a, b in chunks([x[2] for x in out], LINE_CHARS):
+                points, marks = code_points([x[2] for x in out[a:b]])
+                hashes = [Spans(points, base).hash(marks[:-1] + 1, marks[1:]) for base in BASES]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x[0] for x in out[a:b]], pa.int64()), pa.array([x[1] for x in out[a:b]], pa.int32()), pa.array([x[2] for x in out[a:b]], pa.string()),
+                    *(pa.array(h.view(np.int64)) for h in hashes)], names=["id", "no", "line", "h1", "h2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(wanted.groupBy("id").agg(F.collect_list("no").alias("numbers")), "id").mapInArrow(run, "id long, no int, line string")
+    return rows.join(wanted.groupBy("id").agg(F.collect_set("no").alias("numbers")), "id").mapInArrow(run, "id long, no int, line string, h1 long, h2 long")
 
 
 def order_number(id_: str = "id", no: str = "no") -> Column:
@@ -92,7 +98,7 @@ def cut_blocks(n: np.ndarray, longer: int, block: np.ndarray) -> tuple[np.ndarra
 
 
 def block_rows(lines: DataFrame) -> DataFrame:
-    """(id, no, part, key): each line (id, no, line) without one of its blocks, hashed.
+    """(h1, h2, part, key): each line (line, h1, h2) without one of its blocks, hashed.
 
     Two lines within one edit are equal without the block of the edit. ``part`` is the
     block, plus ``BLOCKS`` where the line is taken as the longer of two.
@@ -100,70 +106,76 @@ def block_rows(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, marks = code_points(batch.column(2).to_pylist())
-            start, end = np.repeat(marks[:-1] + 1, 2 * BLOCKS), np.repeat(marks[1:], 2 * BLOCKS)
-            part = np.tile(np.arange(2 * BLOCKS), batch.num_rows)
-            n, longer, block = end - start, part // BLOCKS, part % BLOCKS
-            a, b = cut_blocks(n, longer, block)
-            with np.errstate(over="ignore"):
-                key = mixed(Spans(points).hash_without(start, end, start + a, start + b) + ((n - longer) * BLOCKS + block).astype(np.uint64))
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), 2 * BLOCKS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(part.astype(np.int32)),
-                                              pa.array(key.view(np.int64))], names=["id", "no", "part", "key"])
-
-    return lines.select("id", "no", "line").mapInArrow(run, "id long, no int, part int, key long")
+            texts = batch.column(0).to_pylist()
+            for first, last in chunks(texts, LINE_CHARS):
+                points, marks = code_points(texts[first:last])
+                start, end = np.repeat(marks[:-1] + 1, 2 * BLOCKS), np.repeat(marks[1:], 2 * BLOCKS)
+                part = np.tile(np.arange(2 * BLOCKS), last - first)
+                n, longer, block = end - start, part // BLOCKS, part % BLOCKS
+                a, b = cut_blocks(n, longer, block)
+                with np.errstate(over="ignore"):
+                    key = mixed(Spans(points).hash_without(start, end, start + a, start + b) + ((n - longer) * BLOCKS + block).astype(np.uint64))
+                rows = pa.array(np.repeat(np.arange(first, last), 2 * BLOCKS))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(part.astype(np.int32)),
+                                                  pa.array(key.view(np.int64))], names=["h1", "h2", "part", "key"])
+
+    return lines.select("line", "h1", "h2").mapInArrow(run, "h1 long, h2 long, part int, key long")
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
-    """(id, no, longer, place, n, v1, v2): each line without one character of the given parts, by two hashes."""
+    """(id, no, h1, h2, longer, place, n, v1, v2): each line without one character of the given parts, by two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, marks = code_points(batch.column(2).to_pylist())
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column(3).to_pylist()])
-            part = np.array([p for x in batch.column(3).to_pylist() for p in x], np.int64)
-            n = (marks[1:] - marks[:-1] - 1)[row]
-            a, b = cut_blocks(n, part // BLOCKS, part % BLOCKS)
-            many = b - a
-            place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
-            row, longer = np.repeat(row, many), np.repeat(part // BLOCKS, many)
-            start, end = (marks[:-1] + 1)[row], marks[1:][row]
-            hashes = [Spans(points, base).hash_without(start, end, start + place, start + place + 1) for base in BASES]
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(longer.astype(np.int32)), pa.array(place.astype(np.int32)),
-                pa.array((end - start - 1).astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)],
-                names=["id", "no", "longer", "place", "n", "v1", "v2"])
-
-    return lines.select("id", "no", "line", "parts").mapInArrow(run, "id long, no int, longer int, place int, n int, v1 long, v2 long")
+            texts, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, last in chunks(texts, LINE_CHARS):
+                points, marks = code_points(texts[first:last])
+                row = np.repeat(np.arange(last - first), [len(x) for x in parts[first:last]])
+                part = np.array([p for x in parts[first:last] for p in x], np.int64)
+                a, b = cut_blocks((marks[1:] - marks[:-1] - 1)[row], part // BLOCKS, part % BLOCKS)
+                spans = [Spans(points, base) for base in BASES]
+                ends = np.cumsum(b - a)
+                for low in range(0, int(ends[-1]) if len(ends) else 0, VARIANTS):
+                    at = np.arange(low, min(low + VARIANTS, int(ends[-1])))
+                    own = np.searchsorted(ends, at, side="right")
+                    place = at - (ends - (b - a))[own] + a[own]
+                    start, end = (marks[:-1] + 1)[row[own]], marks[1:][row[own]]
+                    hashes = [x.hash_without(start, end, start + place, start + place + 1) for x in spans]
+                    rows = pa.array(first + row[own])
+                    yield pa.RecordBatch.from_arrays([
+                        *(batch.column(c).take(rows) for c in range(2, 6)), pa.array((part[own] // BLOCKS).astype(np.int32)), pa.array(place.astype(np.int32)),
+                        pa.array((end - start - 1).astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)],
+                        names=["id", "no", "h1", "h2", "longer", "place", "n", "v1", "v2"])
+
+    return lines.select("line", "parts", "id", "no", "h1", "h2").mapInArrow(run, "id long, no int, h1 long, h2 long, longer int, place int, n int, v1 long, v2 long")
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
-    """(later, earlier): for each distinct line the earliest line before it within one edit.
-
-    ``lines`` has distinct lines (id, no, line, h1, h2). Lines that no other line equals
-    without one of its blocks have no neighbour. The others emit their variants in such
-    blocks, one for every deleted character, as hashed keys. Lines that share the variant
-    of the same place differ in at most that character, so the earliest of such a group is
-    taken without pairing its members; a line that equals another's variant is one
-    character shorter. Every link is verified by the edit distance of the lines themselves.
+    """(h1, h2, first, earlier): for each distinct line the earliest line before it within one edit.
+
+    ``lines`` has distinct lines (id, no, line, h1, h2); ``first`` is the order number of
+    the line itself. Rows that repeat an id may bring several lines with one number, so a
+    line is known by its hashes. Lines that no other line equals without one of its blocks
+    have no neighbour. The others emit their variants in such blocks, one for every deleted
+    character, as hashed keys. Lines that share the variant of the same place differ in at
+    most that character, so the earliest of such a group is taken without pairing its
+    members; a line that equals another's variant is one character shorter. Every link is
+    verified by the edit distance of the lines themselves.
     """
     blocks = block_rows(lines)
-    shared = cut_lineage(blocks.groupBy("key").agg(F.min(order_number()).alias("low"), F.max(order_number()).alias("high"))
-                         .where("low <> high").select("key"))
-    parts = blocks.join(shared, "key", "left_semi").groupBy("id", "no").agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    variants = cut_lineage(variant_rows(lines.join(parts, ["id", "no"])).withColumn("ord", order_number()))
+    shared = cut_lineage(blocks.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"))
+    parts = blocks.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    variants = cut_lineage(variant_rows(lines.join(parts, ["h1", "h2"])).withColumn("ord", order_number()))
     same = variants.where("longer = 0")
     groups = cut_lineage(same.groupBy("v1", "v2", "n", "place").agg(F.min("ord").alias("earlier"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    changed = same.join(groups, ["v1", "v2", "n", "place"]).where("earlier < ord").select(F.col("ord").alias("later"), "earlier")
+    changed = same.join(groups, ["v1", "v2", "n", "place"]).where("earlier < ord").select("h1", "h2", "earlier")
     whole = lines.select(order_number().alias("short"), F.length("line").alias("n"), F.col("h1").alias("v1"), F.col("h2").alias("v2"))
-    missing = variants.where("longer = 1").select("ord", "v1", "v2", "n").join(whole, ["v1", "v2", "n"]) \
-        .select(F.greatest("ord", "short").alias("later"), F.least("ord", "short").alias("earlier"))
-    first = cut_lineage(changed.union(missing).groupBy("later").agg(F.min("earlier").alias("earlier")))
-    by_number = lines.select(order_number().alias("ord"), "line")
-    checked = first.join(by_number.select(F.col("ord").alias("later"), F.col("line").alias("a")), "later") \
-        .join(by_number.select(F.col("ord").alias("earlier"), F.col("line").alias("b")), "earlier")
-    return checked.where(F.levenshtein("a", "b", 1) >= 0).select("later", "earlier")
+    met = variants.where("longer = 1").select("ord", "h1", "h2", "v1", "v2", "n").join(whole, ["v1", "v2", "n"])
+    missing = met.where("short < ord").select("h1", "h2", F.col("short").alias("earlier"))         .union(met.where("ord < short").select(F.col("v1").alias("h1"), F.col("v2").alias("h2"), F.col("ord").alias("earlier")))
+    first = cut_lineage(changed.union(missing).groupBy("h1", "h2").agg(F.min("earlier").alias("earlier")))
+    own = lines.select("h1", "h2", order_number().alias("first"), F.col("line").alias("a"))
+    checked = first.join(own, ["h1", "h2"]).join(lines.select(order_number().alias("earlier"), F.col("line").alias("b")), "earlier")
+    return checked.where(F.levenshtein("a", "b", 1) >= 0).select("h1", "h2", "first", "earlier").distinct()
 
 
 def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_from: int = 20) -> DataFrame:
@@ -184,10 +196,8 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = cut_lineage(keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"))
     likely = keyed.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.min(order_number()).alias("ord"))
     wanted = cut_lineage(order_parts(likely, "ord", "id", "no").select("id", "no", "h1", "h2"))
-    firsts = cut_lineage(line_texts(docs, wanted, id_col, text_col).join(wanted, ["id", "no"]).dropDuplicates(["h1", "h2"]))
-    near = near_pairs(firsts).withColumnRenamed("later", "ord")
-    replaced = order_parts(near, "ord", "id", "no").join(firsts.select("id", "no", "h1", "h2"), ["id", "no"]) \
-        .select("h1", "h2", F.col("ord").alias("first"), "earlier")
+    firsts = cut_lineage(line_texts(docs, wanted, id_col, text_col).join(wanted, ["id", "no", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]))
+    replaced = near_pairs(firsts)
     fates = cut_lineage(doubled.withColumn("earlier", F.lit(None).cast("decimal(38,0)")).union(replaced)
                         .groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("earlier").alias("earlier")))
 

@@ -12,11 +12,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import PLACES, place_of, share_of
+
 #: Bytes of text that are compressed at once, so that a dictionary counts throughout a long text.
 PIECE = 1024
 #: Bytes of a dictionary, and pieces it is built from at most.
 DICTIONARY, MOST_PIECES = 112_640, 20_000
-PLACES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -46,11 +47,11 @@ def differences(texts: list[str | None], bad: bytes, good: bytes) -> np.ndarray:
     return out
 
 
-def build_dictionary(texts: list[str]) -> bytes:
-    """Dictionary of whole texts; of more than ``MOST_PIECES`` pieces evenly spaced ones are used."""
+def build_dictionary(texts: list[str], most_pieces: int = MOST_PIECES) -> bytes:
+    """Dictionary of whole texts; of more than ``most_pieces`` pieces evenly spaced ones are used."""
     parts = [p for t in texts for p in pieces(t)]
-    if len(parts) > MOST_PIECES:
-        parts = [parts[i] for i in np.linspace(0, len(parts) - 1, MOST_PIECES).astype(int)]
+    if len(parts) > most_pieces:
+        parts = [parts[i] for i in np.linspace(0, len(parts) - 1, most_pieces).astype(int)]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: the text itself serves
@@ -73,12 +74,13 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          most_rows: int = 3000) -> CompressionModel:
+          most_rows: int = 3000, most_pieces: int = MOST_PIECES) -> CompressionModel:
     """Dictionaries and calibration from a bounded sample of labelled rows.
 
     At most about ``most_rows`` rows of each label build the dictionaries and as many
     other rows, in their natural mix, the calibration; rows are chosen by a hash of
-    their id, whole texts are used. A document labelled twice counts with its lowest
+    their id; of their whole texts a dictionary is built from at most ``most_pieces``
+    pieces of ``PIECE`` bytes. A document labelled twice counts with its lowest
     label, labels other than 0 and 1 and null ids are ignored. Without rows of both
     labels every score is the share of good labels (0.5 without any).
     """
@@ -89,9 +91,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not bad or not good:
         p = (good + 1) / (good + bad + 2) if good + bad else 0.5
         return CompressionModel(b"", b"", 0.0, float(np.log(p / (1 - p))))
-    place, half = F.pmod(F.xxhash64("id"), F.lit(2 * PLACES)), F.lit(PLACES)
-    share = F.when(F.col("y") == 0, min(PLACES, 2 * PLACES * most_rows // bad)).otherwise(min(PLACES, 2 * PLACES * most_rows // good))
-    rest = min(PLACES, 2 * PLACES * most_rows // (bad + good))
+    # half of the places builds dictionaries, the other half calibrates
+    place, half = place_of("id"), PLACES // 2
+    share = F.when(F.col("y") == 0, min(half, share_of(most_rows, bad))).otherwise(min(half, share_of(most_rows, good)))
+    rest = min(half, share_of(most_rows, bad + good))
     chosen = marked.withColumn("fits", place < half).where(F.when(place < half, place < share).otherwise(place - half < rest))
     # the sample is bounded by most_rows, so it may be sent to every task
     sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''") \
@@ -99,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         texts = rows.sort_values(["id", "text"])["text"].tolist()
-        return pd.DataFrame({"y": [int(rows["y"].iloc[0])], "dictionary": [build_dictionary(texts)]})
+        return pd.DataFrame({"y": [int(rows["y"].iloc[0])], "dictionary": [build_dictionary(texts, most_pieces)]})
 
     built = {r["y"]: bytes(r["dictionary"]) for r in sample.where("fits").select("id", "y", "text").groupBy("y")
              .applyInPandas(fit, "y int, dictionary binary").collect()}

@@ -253,8 +253,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of documents whose id is the smallest of its group, once each; null ids stay."""
+def keep_one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of documents whose id is the smallest of its group, once each; null ids stay.
+
+    Of rows that repeat an id the one with the smallest text stays, a null text counting as empty.
+    """
     leaders = groups.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(leaders, [id_col], "left_semi")
+    named = docs.where(F.col(id_col).isNotNull()).join(leaders, [id_col], "left_semi").groupBy(F.col(id_col).alias("_id")) \
+        .agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row")).select("_row.*")
     return docs.where(F.col(id_col).isNull()).unionByName(named)

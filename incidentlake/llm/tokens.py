@@ -5,12 +5,10 @@ from __future__ import annotations
 import base64
 import os
 import re
-import sys
-import types
 
 import numpy as np
 
-from .common import Spans
+from .common import Spans, kept_in_worker, matching_points
 
 #: Classes of characters that the vocabulary's word pattern tells apart.
 OTHER, LETTER, NUMBER, SPACE, MARK = 0, 1, 2, 3, 4
@@ -22,13 +20,9 @@ SPECIAL = "<|endoftext|>"
 def character_classes() -> np.ndarray:
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    known = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            a, b = (x + 0x800 * (x >= 0xD800) for x in (m.start(), m.end() - 1))
-            known[a:b + 1] = kind
-    known[0xD800:0xE000] = OTHER
+    known = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\p{White_Space}")):
+        known[matching_points(pattern, regex)] = kind
     known[0] = OTHER
     return known
 
@@ -143,7 +137,4 @@ class Encoder:
 
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this Python worker, kept from task to task."""
-    shelf = sys.modules.setdefault("_incidentlake_shelf", types.ModuleType("_incidentlake_shelf"))
-    if getattr(shelf, "path", None) != path:
-        shelf.path, shelf.encoder = path, Encoder(path)
-    return shelf.encoder
+    return kept_in_worker(f"encoder of {path}", lambda: Encoder(path))

@@ -1,6 +1,8 @@
+import resource
+
 import numpy as np
 from conftest_llm import SF
-from incidentlake.llm import language, quality
+from incidentlake.llm import common, language, quality
 from incidentlake.llm.queries import QUERIES
 
 
@@ -52,3 +54,21 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.score(none, model).count() == 0
     alone = quality.train(odd, labels.where("quality = 1"))
     assert len({r["score"] for r in quality.score(odd, alone).collect()}) == 1
+
+
+def test_a_sample_is_never_empty():
+    for rows in (1, 3999, 10**6, 10**11, 10**15):
+        share = common.share_of(4000, rows)
+        assert 0 < share <= common.PLACES and share * rows >= min(rows, 4000) * common.PLACES
+    assert common.share_of(4000, 10) == common.PLACES
+
+
+def test_short_texts_take_little_memory():
+    letters = language.letters_table()
+    texts = [f"some words {i}"[:20] for i in range(10_000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    slices = list(common.chunks(texts))
+    for a, b in slices:
+        language.trigram_counts(texts[a:b], letters)
+    assert [a for a, _ in slices[1:]] == [b for _, b in slices[:-1]] and slices[-1][1] == len(texts)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000

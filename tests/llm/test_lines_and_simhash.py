@@ -40,6 +40,15 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows, 20)
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    base = "a line of text that is long enough 1234"
+    rows = [(1, "something else that has more than twenty characters"), (1, base), (2, base[:-1] + "5"), (3, "something else that has more than twenty characterz"), (4, "w" * 30)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {r["id"]: (r["kept"], r["of_id"]) for r in lines.line_decisions(df).where("id > 1").collect()}
+        assert got == {2: (False, 1), 3: (False, 1), 4: (True, None)}
+
+
 def test_odd_lines(odd, none):
     kept = lines.drop_lines(odd, lines.line_decisions(odd))
     assert kept.columns == odd.columns
@@ -90,6 +99,14 @@ def test_large_nodes_are_dealt_in_blocks(spark):
     assert sizes[16] == sizes[8192]
 
 
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "b b b b"), (1, "a a a a"), (2, "c c c c"), (None, "x")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        kept = simhash.keep_one_per_group(df, simhash.simhash_groups(df)).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "x"), (1, "a a a a"), (2, "c c c c")]
+
+
 def test_odd_groups(odd, none):
     rows = simhash.simhash_groups(odd).collect()
     by = {r["id"]: r for r in rows}
