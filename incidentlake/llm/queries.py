@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, extraction, language, lines, packing, quality, shards, simhash, urls, vectors
+from . import contamination, extraction, language, lines, packing, phrases, quality, shards, simhash, urls, vectors
 from .common import crc_of, table
 
 
@@ -95,9 +95,14 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, order=4, covered=80, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture, op2_compression_quality, op3_dynamic_packing, op4_line_neighbourhoods, op5_temporal_url_filter,
-    op6_simhash_gray_index, op7_pruned_graph, op8_template_removal, op9_minhash_containment, op10_kd_shards)}
+    op6_simhash_gray_index, op7_pruned_graph, op8_template_removal, op9_minhash_containment, op10_kd_shards,
+    op11_phrase_collocations)}
 
 URL_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)"
 URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -151,5 +156,25 @@ n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(shared AS INT) AS shared, CAST(item_shingles AS INT) AS item_shingles, shared / CAST(item_shingles AS DOUBLE) AS containment
 FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * item_shingles - 1e-9
+""",    "op11_phrase_collocations": """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, words, k, unnest(generate_series(1, len(words) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(words) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, phrase, k, a, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:k], ' ') AS rest
+      FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c)),
+y AS (SELECT x.lang, x.phrase, x.a, x.cut, h.f AS l, t.f AS r, CAST((2000000::HUGEINT * x.a) // (h.f::HUGEINT + t.f) AS BIGINT) AS score
+      FROM x JOIN f h ON h.lang = x.lang AND h.phrase = x.head JOIN f t ON t.lang = x.lang AND t.phrase = x.rest),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+s AS (SELECT lang, a, array_to_string(words[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT lang, a, words, size, unnest(generate_series(1, k - size + 1)) AS i FROM c, (VALUES (2), (3)) AS sizes(size) WHERE k > size)),
+m AS (SELECT lang, phrase, max(a) AS longer FROM s GROUP BY ALL),
+o AS (SELECT z.* FROM z LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
