@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, extraction, language, lines, packing, phrases, quality, shards, simhash, urls, vectors
+from . import bpe, codes, contamination, extraction, language, lines, packing, phrases, quality, shards, simhash, urls, vectors
 from .common import crc_of, table
 
 
@@ -99,14 +99,58 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, order=4, covered=80, top=2000)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return found.drop("label").withColumnRenamed("id", "vec_id")
+
+
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), spelled=True)
+    return encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture, op2_compression_quality, op3_dynamic_packing, op4_line_neighbourhoods, op5_temporal_url_filter,
     op6_simhash_gray_index, op7_pruned_graph, op8_template_removal, op9_minhash_containment, op10_kd_shards,
-    op11_phrase_collocations)}
+    op11_phrase_collocations, op12_vector_codes, op13_streaming_bpe)}
 
 URL_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::[0-9]*)?(?:[/?#]|$)', 1)"
 URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Product codes in SQL: every part is compared with every entry, in each round and once more."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT x.row, x.p, any_value(x.v) AS v, min((x.sq - 2 * list_dot_product(x.v, c.v) + c.sq) * {entries} + c.e) AS best
+  FROM x JOIN c{k} c USING (p) GROUP BY x.row, x.p)"""
+
+    def moved(k: int) -> str:
+        return f"""s{k} AS (SELECT p, CAST(best AS BIGINT) % {entries} AS e, i, CAST(floor(sum(v[i]) / count(*)) AS DOUBLE) AS m
+  FROM (SELECT p, best, v, unnest(generate_series(1, len(v))) AS i FROM a{k - 1}) GROUP BY ALL),
+t{k} AS (SELECT p, e, list(m ORDER BY i) AS v FROM s{k} GROUP BY ALL),
+c{k} AS MATERIALIZED (SELECT p, e, v, list_dot_product(v, v) AS sq FROM (SELECT c.p, c.e, coalesce(t.v, c.v) AS v FROM c{k - 1} c LEFT JOIN t{k} t USING (p, e)))"""
+
+    steps = ",\n".join([assigned(0), *(f"{moved(k)},\n{assigned(k)}" for k in range(1, rounds + 1))])
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor({scale} * CAST(y AS DOUBLE))) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, w) - 1 AS row FROM k),
+x AS MATERIALIZED (SELECT row, p, v, list_dot_product(v, v) AS sq FROM
+  (SELECT row, p, w[p * (len(w) // {parts}) + 1:(p + 1) * (len(w) // {parts})] AS v FROM r, generate_series(0, {parts - 1}) AS g(p))),
+c0 AS (SELECT p, row AS e, v, sq FROM x WHERE row < {entries}),
+{steps},
+d AS (SELECT row, string_agg(printf('%02x', CAST(best AS BIGINT) % {entries}), '' ORDER BY p) AS code, CAST(sum(CAST(best AS BIGINT) // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY row),
+b AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN d USING (row), b
+"""
+
+
 SQL = {
     "op4_line_neighbourhoods": """
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
@@ -177,4 +221,5 @@ o AS (SELECT z.* FROM z LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
 SELECT lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000
 """,
+    "op12_vector_codes": codes_sql(),
 }
