@@ -33,7 +33,7 @@ from .operators.clusters import (
     real_clusters,
     summarised,
 )
-from .operators.density import default_eps, default_width, density_clusters, vector_clusters
+from .operators.density import default_eps, default_width, density_clusters, signature_clusters
 from .operators.evaluation import (
     class_report,
     classification_metrics,
@@ -47,6 +47,7 @@ from .operators.evaluation import (
     row_shares,
 )
 from .operators.features import build_features
+from .operators.hierarchy import vector_clusters
 from .operators.impute import fit_medians, median_impute
 from .operators.prompts import (
     apply_cluster_replies,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..schema import NOISE
 from ..session import cut_lineage
 
-MAX_DIMENSIONS = 4  # of the grid; vectors of any size go through ``vector_clusters``
+MAX_DIMENSIONS = 4  # of the grid; for vectors of any size see ``hierarchy``
 # Projections of a vector, and the groups of them of which linked micro-clusters may differ in one.
 PROJECTIONS, GROUPS = 12, 3
 BROADCAST_ROWS = 500_000  # a key and two numbers each, well below 100 MB
@@ -128,7 +128,7 @@ def density_clusters(
         .join(roots, "node").select(F.col("src").alias("node"), "root")
     )
     member = cells.join(roots.unionByName(border), "node").select("cell", "n", "low_key", "root")
-    return _labelled(located, member, min_cluster_size, label)
+    return label_members(located, member, min_cluster_size, label)
 
 
 def projected(vector: Column, size: int) -> Column:
@@ -152,11 +152,13 @@ def default_width(df: DataFrame, vector: str, size: int) -> float:
     return float(f"{sum(spread) / len(spread):.1e}") if spread else 1.0
 
 
-def vector_clusters(
+def signature_clusters(
     df: DataFrame, vector: str, size: int, width: float | None = None, min_samples: int = 5, min_cluster_size: int = 15,
     key: str = "id", label: str = "cluster_id",
 ) -> DataFrame:
-    """Add the cluster label of vectors of ``size`` components, all of which count: 0, 1, ... by size, -1 for noise.
+    """Add a coarse cluster label of vectors of ``size`` components in a few passes: 0, 1, ... by size, -1 for noise.
+
+    The borders of a grid of signatures may cut a group; ``hierarchy.vector_clusters`` follows the groups.
 
     The signature of a vector is the nearest multiple of ``width`` of each projection;
     rows with equal signatures are one counted micro-cluster. Those of at least
@@ -191,10 +193,10 @@ def vector_clusters(
         .join(roots.withColumnRenamed("node", "via"), "via").select("node", "root")
     )
     member = cells.join(roots.unionByName(border), "node").select("cell", "n", "low_key", "root")
-    return _labelled(located, member, min_cluster_size, label)
+    return label_members(located, member, min_cluster_size, label)
 
 
-def _labelled(located: DataFrame, member: DataFrame, min_cluster_size: int, label: str) -> DataFrame:
+def label_members(located: DataFrame, member: DataFrame, min_cluster_size: int, label: str) -> DataFrame:
     """Rows with the label of their ``_cell``; ``member`` has (cell, n, low_key, root)."""
     sizes = (
         member.groupBy("root")

@@ -17,8 +17,9 @@ from ..operators import evaluation as E
 from ..operators import prompts as P
 from ..operators import search as S
 from ..operators import stats as T
-from ..operators.density import density_clusters, vector_clusters
+from ..operators.density import density_clusters, signature_clusters
 from ..operators.features import build_features
+from ..operators.hierarchy import vector_clusters
 from ..operators.impute import fit_medians, median_impute
 from ..operators.ranking import most_frequent, top_values
 from ..operators.reduction import project_2d, reduce_dimensions
@@ -736,9 +737,16 @@ def density_labels(df):
 
 @query
 def embedding_clusters(spark, sf_dir):
-    """Clusters of the given vectors, by all their components."""
+    """Coarse clusters of the given vectors, by signatures of all their components."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vector_clusters(vectors, "embedding", 64, width=CLUSTER_WIDTH, key="vec_id").select("vec_id", "cluster_id")
+    return signature_clusters(vectors, "embedding", 64, width=CLUSTER_WIDTH, key="vec_id").select("vec_id", "cluster_id")
+
+
+@query
+def embedding_groups(spark, sf_dir):
+    """Clusters of the given vectors by the hierarchy of their neighbourhoods."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_clusters(vectors, "embedding", 64, key="vec_id").select("vec_id", "cluster_id")
 
 
 @query

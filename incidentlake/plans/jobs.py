@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import cluster_stats, with_summary_columns
-from ..operators.density import vector_clusters
+from ..operators.hierarchy import vector_clusters
 from ..functions import vocab
 from ..operators.prompts import cluster_prompts, extraction_prompts, fill_by_keywords
 from ..operators.reduction import at, reduce_dimensions
@@ -25,7 +25,7 @@ ASSIGNED = ("cluster_id", "proj_x", "proj_y")
 
 
 def assign_clusters(
-    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50, width: float | None = None,
+    df: DataFrame, vector: str = "embedding", key: str = "id", k: int = 50,
     min_samples: int = 5, min_cluster_size: int = 15,
 ) -> DataFrame:
     """Add cluster label and plot coordinates to rows that carry a vector.
@@ -37,7 +37,7 @@ def assign_clusters(
     k = max(k, 2)
     reduced = reduce_dimensions(df.drop(*ASSIGNED), vector, k, "_reduced")
     placed = reduced.withColumns({"proj_x": at("_reduced", 0), "proj_y": at("_reduced", 1)})
-    return vector_clusters(placed, "_reduced", k, width, min_samples, min_cluster_size, key).drop("_reduced")
+    return vector_clusters(placed, "_reduced", k, min_samples, min_cluster_size, key).drop("_reduced")
 
 
 def build_clusters(

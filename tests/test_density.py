@@ -177,7 +177,7 @@ def brute_vectors(vectors, width, min_samples, min_size):
 
 def run_vectors(spark, vectors, size, width=None, min_samples=5, min_size=15):
     df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
-    return {r["id"]: r["cluster_id"] for r in D.vector_clusters(df, "v", size, width, min_samples, min_size).collect()}
+    return {r["id"]: r["cluster_id"] for r in D.signature_clusters(df, "v", size, width, min_samples, min_size).collect()}
 
 
 def planted_vectors(rng, groups=5, each=120, size=20, spread=0.15):
@@ -207,7 +207,7 @@ def test_a_table_repeated_keeps_its_vector_clusters(spark):
     many = run_vectors(spark, {i + 1000 * k: v for i, v in vectors.items() for k in range(10)}, 20, None, 50, 150)
     assert {i: many[i] for i in vectors} == once and len(set(once.values())) > 1
     df = spark.createDataFrame([], "id long, v array<double>")
-    assert D.vector_clusters(df, "v", 20).count() == 0
+    assert D.signature_clusters(df, "v", 20).count() == 0
 
 
 def test_too_many_dimensions(spark):
