@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +119,6 @@ def words_of(raw: np.ndarray, starts: np.ndarray, counted_to: np.ndarray, langs:
     return Words(own, langs[stretch], np.append(piece[1:] == piece[:-1], False), first < counted_to[stretch], keys, spelled)
 
 
-def pair_keys(words: Words) -> np.ndarray:
-    """Hash of each word and the next."""
-    k = words.keys[words.own]
-    with np.errstate(over="ignore"):
-        return mixed(k * np.uint64(0x9E3779B97F4A7C15) + np.append(k[1:], np.uint64(0)))
-
-
 class Filter:
     """Bits of the hashes of frequent keys: may say yes to another key, never no to one of them."""
 
@@ -171,47 +165,55 @@ def over_words(rows: DataFrame, schema: str, make: Callable[[Words, list[str]],
     return rows.mapInArrow(run, schema)
 
 
-def word_counts(words: Words, languages: list[str]) -> list[pa.Array]:
-    n = np.bincount(words.own[words.counted], minlength=len(words.keys))
-    return [pa.array(words.keys[n > 0].view(np.int64)), pa.array(n[n > 0])]
+def phrases_from(words: Words, filters: list[Filter], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``longest`` words: whether the phrase that starts at each word may be frequent, and its hash.
+
+    It may if both phrases one word shorter may and the filter of its length, if there is one, does not deny it.
+    """
+    first = key = words.keys[words.own]
+    may = np.ones(len(first), bool)
+    for k in range(1, longest + 1):
+        if k > 1:
+            may = may & np.append(may[1:], False) & words.joined
+            with np.errstate(over="ignore"):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.append(first[k - 1:], np.zeros(min(k - 1, len(first)), np.uint64)))
+        if k <= len(filters):
+            asked = np.flatnonzero(may)
+            may = np.zeros(len(first), bool)
+            may[asked] = filters[k - 1](key[asked])
+        yield may, key
 
 
 def windows(docs: DataFrame, lang_col: str, text_col: str, least: int, order: int) -> DataFrame:
     """(lang, w1 .. w``order``, n): how often each window of ``order`` words in a row occurs.
 
     A window starts at every word; past the end of its piece it is padded with empty
-    words. Where a word, or a word with its left neighbour, occurs less than ``least``
-    times in its language, no phrase that frequent goes on, so the window is padded from
-    there: what is left unpadded holds every such phrase, and all windows of a language
-    together still count its words. The filters that say so err only towards less padding.
+    words. Where its first words occur less than ``least`` times in the language, or any
+    words in a row among them do, no phrase that frequent goes on, so the window is padded
+    from there: what is left unpadded holds every such phrase, and all windows of a
+    language together still count its words. The filters that say so, one for each length
+    below ``order``, err only towards less padding.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     rows = docs.select(F.col(text_col).cast("string").alias("text"), lang)
-    send = docs.sparkSession.sparkContext.broadcast
-    words_kept = send(frequent_bits(over_words(rows, "key long, n long", word_counts, order), least))
+    sent: list[Broadcast] = []
 
-    def pairs(words: Words, languages: list[str]) -> list[pa.Array]:
-        known = Filter(words_kept.value)(words.keys)[words.own]
-        use = words.joined & words.counted & known & np.append(known[1:], False)
-        keys, n = np.unique(pair_keys(words)[use], return_counts=True)
-        return [pa.array(keys.view(np.int64)), pa.array(n)]
+    def keys(words: Words, languages: list[str]) -> list[pa.Array]:
+        *_, (may, key) = phrases_from(words, [Filter(x.value) for x in sent], len(sent) + 1)
+        found, n = np.unique(key[may & words.counted], return_counts=True)
+        return [pa.array(found.view(np.int64)), pa.array(n)]
 
-    pairs_kept = send(frequent_bits(over_words(rows, "key long, n long", pairs, order), least)) if order > 1 else None
+    for _ in range(max(order - 1, 1)):
+        bits = frequent_bits(over_words(rows, "key long, n long", keys, order), least)
+        sent = [*sent, docs.sparkSession.sparkContext.broadcast(bits)]
 
     def count(words: Words, languages: list[str]) -> list[pa.Array]:
-        known = Filter(words_kept.value)(words.keys)[words.own]
-        column, columns = np.where(known, words.own, len(words.keys)), []
-        goes_on = known
-        if order > 1:
-            link = words.joined & known & np.append(known[1:], False) & Filter(pairs_kept.value)(pair_keys(words))
-        for k in range(order):
-            columns.append(np.where(goes_on, column, len(words.keys))[words.counted])
-            if k + 1 < order:
-                goes_on = goes_on & np.append(link[k:], np.zeros(k, bool))
-                column = np.append(column[1:], len(words.keys))
+        columns, none = [], len(words.keys)
+        for k, (may, _) in enumerate(phrases_from(words, [Filter(x.value) for x in sent], order)):
+            columns.append(np.where(may, np.append(words.own[k:], np.full(min(k, len(words.own)), none)), none)[words.counted])
         key = words.lang[words.counted]
         for c in columns:
-            key = np.unique(key * (len(words.keys) + 1) + c, return_inverse=True)[1]
+            key = np.unique(key * (none + 1) + c, return_inverse=True)[1]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
         spelled = pa.concat_arrays([words.spelled, pa.array([b""], pa.large_binary())]).cast(pa.large_string()).cast(pa.string())
         return [pa.array(languages, pa.string()).take(pa.array(words.lang[words.counted][first])), *(spelled.take(pa.array(c[first])) for c in columns), pa.array(n)]
