@@ -17,13 +17,14 @@ from ..operators import evaluation as E
 from ..operators import prompts as P
 from ..operators import search as S
 from ..operators import stats as T
+from ..operators.boosting import Settings
 from ..operators.density import density_clusters, signature_clusters
 from ..operators.features import build_features
 from ..operators.hierarchy import vector_clusters
 from ..operators.impute import fit_medians, median_impute
 from ..operators.ranking import most_frequent, top_values
 from ..operators.reduction import project_2d, reduce_dimensions
-from ..operators.severity_model import SeverityModel, fill_unknown, label_index, score_unknown, train_severity
+from ..operators.severity_model import SeverityModel, Training, fill_unknown, label_index, score_unknown, train_severity
 from ..operators.split import stratified_split
 from ..operators.text import embed_text, fit_tfidf
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
@@ -599,20 +600,23 @@ def severity_importances(spark, sf_dir):
     return trained(spark, sf_dir)[1].model.importances(spark)
 
 
-@query
-def model_checks(spark, sf_dir):
-    """What must hold of a classifier that learns a document's language, as counted rows.
-
-    Every tenth document is unlabelled. The model must beat the largest class on its test
-    rows, keep to the classes and to confidences up to 1, score alike after it is stored
-    and read again, and have importances that fall and sum to 1.
-    """
+def language_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reports whose severity stands for their language; every tenth is unlabelled."""
     by_language = F.create_map(*[F.lit(x) for pair in zip(LANGUAGES, SEVERITY_CLASSES) for x in pair])[F.col("lang")]
     docs = texts(spark, sf_dir).select(
         F.col("doc_id").alias("id"), F.col("text").alias("summary"),
         F.when(F.col("doc_id") % 10 != 3, by_language).otherwise(F.lit(None)).alias("known"))
-    docs = docs.withColumn("severity_label", F.coalesce("known", F.lit("Unknown"))).drop("known")
-    training, path = train_severity(docs, num_trees=60), scratch(spark)
+    return docs.withColumn("severity_label", F.coalesce("known", F.lit("Unknown"))).drop("known")
+
+
+def measure(name: str, df: DataFrame, value: Column) -> DataFrame:
+    return df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("measure"), "value")
+
+
+def training_checks(training: Training, docs: DataFrame) -> DataFrame:
+    """What must hold of a trained classifier, as counted rows."""
+    spark = docs.sparkSession
+    path = scratch(spark)
     training.model.save(spark, path)
     scored, tested = score_unknown(training.model, docs), training.predictions
     again = score_unknown(SeverityModel.load(spark, path), docs)
@@ -621,10 +625,6 @@ def model_checks(spark, sf_dir):
     right = tested.agg(F.count_if(F.col("actual") == F.col("predicted")).alias("n"))
     weights = training.model.importances(spark, 1000)
     falling = F.col("importance").between(0, F.lag("importance", 1, 1.0).over(Window.orderBy(F.desc("importance"), "feature")))
-
-    def measure(name: str, df: DataFrame, value: Column) -> DataFrame:
-        return df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("measure"), "value")
-
     parts = [
         measure("tested", tested, F.count("*")),
         measure("tested in range", tested, F.count_if(fine)),
@@ -640,6 +640,29 @@ def model_checks(spark, sf_dir):
     return whole
 
 
+@query
+def model_checks(spark, sf_dir):
+    """Checks of a forest that learns a document's language.
+
+    The model must beat the largest class on its test rows, keep to the classes and to
+    confidences up to 1, score alike after it is stored and read again, and have
+    importances that fall and sum to 1.
+    """
+    docs = language_reports(spark, sf_dir)
+    return training_checks(train_severity(docs, num_trees=60), docs)
+
+
+@query
+def boosted_checks(spark, sf_dir):
+    """The same of one boosted model for all classes, which must also be surer of the true class than a forest."""
+    docs = cut_lineage(language_reports(spark, sf_dir))
+    boosted = train_severity(docs, kind="softmax", boosting=Settings(rounds=12, rate=0.3, depth=3, patience=4))
+    forest = train_severity(docs, num_trees=60)
+    sure = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("confidence")).otherwise(0.0))
+    both = boosted.predictions.agg(sure.alias("p")).unionByName(forest.predictions.agg((-sure).alias("p")))
+    return training_checks(boosted, docs).unionByName(measure("surer than the forest", both, (F.sum("p") > 0).cast("int")))
+
+
 # --- clusters ---------------------------------------------------------------------------------
 
 @on(*CLUSTERED)

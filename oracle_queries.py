@@ -576,16 +576,19 @@ def build() -> dict[str, str]:
     sql["text_vector_lengths"] = (
         "SELECT doc_id, CAST(384 AS INTEGER) AS dims, CASE WHEN len(w) > 0 THEN 1.0e0 ELSE 0.0e0 END AS length FROM toks",
         "!" + TFIDF)
-    sql["model_checks"] = ("""SELECT 'tested' AS measure, count(*) AS value FROM split WHERE split = 'test'
+    checks = """SELECT 'tested' AS measure, count(*) AS value FROM split WHERE split = 'test'
       UNION ALL SELECT 'tested in range', count(*) FROM split WHERE split = 'test'
       UNION ALL SELECT 'better than the largest class', CAST(1 AS BIGINT)
       UNION ALL SELECT 'scored', count(*) FROM marked WHERE severity_label IS NULL
       UNION ALL SELECT 'scored alike when reloaded', count(*) FROM marked WHERE severity_label IS NULL
       UNION ALL SELECT 'importances out of order', CAST(0 AS BIGINT)
-      UNION ALL SELECT 'importances in all, per cent', CAST(100 AS BIGINT)""", """!
+      UNION ALL SELECT 'importances in all, per cent', CAST(100 AS BIGINT)"""
+    marked = ("""!
       marked AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 <> 3 THEN
         CASE lang WHEN 'de' THEN 'Minor' WHEN 'en' THEN 'Moderate' WHEN 'es' THEN 'Severe' WHEN 'fr' THEN 'Fatal' END END AS severity_label FROM documents),"""
       + SPLIT.replace("FROM incidents", "FROM marked"))
+    sql["model_checks"] = (checks, marked)
+    sql["boosted_checks"] = (checks + " UNION ALL SELECT 'surer than the forest', CAST(1 AS BIGINT)", marked)
     sql["text_vectors"] = ("""SELECT doc_id, CAST(bucket AS INT) AS idx,
         round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM buckets""", "!" + TFIDF + """,
       buckets AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n
