@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -170,7 +173,7 @@ def embed_text(
 ) -> DataFrame:
     """Add the unit-length vector (array<float>) of each text.
 
-    The default counts words in ``dims`` buckets inside the JVM; a word's bucket is the
+    The default counts words in ``dims`` buckets, whole Arrow batches at once; a word's bucket is the
     remainder of the first eight hex digits of its MD5. ``encoder`` builds any other
     model once per task and encodes Arrow batches with it; only the text column is
     shipped to Python.
@@ -179,14 +182,27 @@ def embed_text(
     if encoder is not None:
         raw = df.withColumn("_v", array_to_vector(_encode(encoder)(column)))
     else:
-        buckets = F.transform(tokens(column, vocab.STOP_WORDS), lambda w: (
-            F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dims).cast("string"))
-        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], "_buckets", "_v")
-        raw = counter.transform(df.withColumn("_buckets", buckets)).drop("_buckets")
+        return df.withColumn(output, bucket_vectors(dims)(tokens(column, vocab.STOP_WORDS)))
     unit = unit_length(raw, "_v", "_unit")
     return unit.withColumn(output, vector_to_array("_unit", "float32")).drop("_v", "_unit")
 
 
+def bucket_vectors(dims: int) -> Callable[[Column], Column]:
+    """Unit-length counts of words in buckets, for Arrow batches: each distinct word of a batch is hashed once."""
+    @F.arrow_udf("array<float>")
+    def count(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_list(pa.string()))
+        coded = column.flatten().dictionary_encode()
+        bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()], np.int64)
+        text = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        n = np.bincount(text * dims + bucket[coded.indices.to_numpy()] if len(bucket) else text, minlength=len(column) * dims).reshape(-1, dims).astype(float)
+        length = np.sqrt((n * n).sum(1, keepdims=True))
+        unit = (n / np.where(length > 0, length, 1)).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * dims), pa.array(unit.ravel()))
+
+    return count
+
+
 def _encode(encoder: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]) -> Callable[[Column], Column]:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -26,7 +26,8 @@ from ..operators.ranking import most_frequent, top_values
 from ..operators.reduction import project_2d, reduce_dimensions
 from ..operators.severity_model import SeverityModel, Training, fill_unknown, label_index, score_unknown, train_severity
 from ..operators.split import stratified_split
-from ..operators.text import embed_text, fit_tfidf
+from ..operators.text import embed_text, fit_tfidf, tokens
+from ..operators.word_vectors import cooccurrences, fit_word_vectors, frequent_words, mutual_information
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
 from ..session import cut_lineage, shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
@@ -526,6 +527,25 @@ def text_vectors(spark, sf_dir):
     return rows.where("value <> 0").select("doc_id", "idx", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+@query
+def word_pairs(spark, sf_dir):
+    """How often frequent words stand near each other, and their mutual information."""
+    words = cut_lineage(texts(spark, sf_dir).select(tokens(F.col("text"), vocab.STOP_WORDS).alias("words")))
+    names = [w for w, _ in frequent_words(words, "words", 300, 5)]
+    pairs = cut_lineage(cooccurrences(words, "words", names))
+    known = spark.createDataFrame(list(enumerate(names)), "i int, word string")
+    return pairs.join(mutual_information(pairs).withColumnsRenamed({"i": "a", "j": "b"}), ["a", "b"], "left") \
+        .join(F.broadcast(known.withColumnsRenamed({"i": "a", "word": "first"})), "a").join(F.broadcast(known.withColumnsRenamed({"i": "b", "word": "second"})), "b") \
+        .select("first", "second", "n", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("information"))
+
+
+@query
+def learned_text_vectors(spark, sf_dir):
+    """Vectors of the documents by the company that their words keep."""
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    return fit_word_vectors(docs, "text", dims=50, most_words=5000).embed(docs, "text").drop("text")
+
+
 @query
 def text_vector_lengths(spark, sf_dir):
     """Size and Euclidean length of every text vector."""

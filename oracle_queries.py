@@ -593,6 +593,16 @@ def build() -> dict[str, str]:
         round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM buckets""", "!" + TFIDF + """,
       buckets AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n
         FROM (SELECT doc_id, CAST('0x' || substr(md5(unnest(w)), 1, 8) AS BIGINT) % 384 AS bucket FROM toks) GROUP BY ALL)""")
+    sql["word_pairs"] = ("""SELECT p.a AS first, p.b AS second, p.n,
+        round(greatest(0, ln(CASE WHEN p.a = p.b THEN 2 * p.n ELSE p.n END * CAST((SELECT sum(total) FROM margins) AS DOUBLE) / (x.total * CAST(y.total AS DOUBLE)))), 6) AS information
+      FROM met p JOIN margins x ON x.w = p.a JOIN margins y ON y.w = p.b""", "!" + TFIDF + """,
+      uses AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM toks) GROUP BY term),
+      known AS (SELECT term FROM uses WHERE n >= 5 ORDER BY n DESC, term LIMIT 300),
+      places AS (SELECT doc_id, term, pos FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM toks) SEMI JOIN known USING (term)),
+      met AS (SELECT least(a.term, b.term) AS a, greatest(a.term, b.term) AS b, count(*) AS n
+        FROM places a JOIN places b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 5 GROUP BY ALL),
+      margins AS (SELECT w, CAST(sum(n) AS BIGINT) AS total FROM (
+        SELECT a AS w, CASE WHEN a = b THEN 2 * n ELSE n END AS n FROM met UNION ALL SELECT b, n FROM met WHERE a <> b) GROUP BY w)""")
     sql["reduced_vectors"] = ("SELECT vec_id, idx, value FROM reduced", "!RECURSIVE" + components_sql(50))
     sql["projected_vectors"] = ("""SELECT vec_id, max(CASE WHEN idx = 0 THEN value END) AS proj_x, max(CASE WHEN idx = 1 THEN value END) AS proj_y
       FROM reduced GROUP BY vec_id""", "!RECURSIVE" + components_sql(2))
