@@ -31,6 +31,7 @@ from ..operators.word_vectors import cooccurrences, fit_word_vectors, frequent_w
 from ..schema import SEVERITY_CLASSES, SEVERITY_INDEX
 from ..session import cut_lineage, shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
+from ..sources.postings import search_stored, stored_matches, write_searchable
 from ..sources.order_incidents import COLUMNS, incidents, table, texts
 from ..sources.sinks import backfill, read_table, replace_run, replace_table, write_coordinates
 from .dashboard import dashboard_header, dashboard_summary
@@ -122,6 +123,27 @@ def search_in_text(df):
     return S.search_incidents(df, term="SURVIVED and", sort_key="fatalities", page_size=100)
 
 
+@on(*LISTED)
+def search_postings(df):
+    """The same page from stored postings."""
+    path = scratch(df.sparkSession)
+    write_searchable(df, path)
+    return search_stored(df.sparkSession, path, term="SURVIVED and", sort_key="fatalities", page_size=100)
+
+
+@on(*LISTED)
+def postings_hits(df):
+    """Hits of several terms counted on stored postings: plain, with wildcards, short, in another column, absent."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    write_searchable(df, path)
+    counts = [stored_matches(spark, path, t).agg(F.count("*").alias("hits"), F.sum("id").alias("ids")).select(F.lit(t).alias("term"), "hits", "ids")
+              for t in ("Engine", "boeing", "nation_1", "sur%ved", "a_d the", "an", "zzzqqq", "7")]
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @on(*LISTED)
 def search_deep_page(df):
     return S.search_incidents(df, sort_key="aboard", sort_dir="asc", page=105, page_size=100)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import decade_of
 
@@ -40,7 +41,7 @@ def backfill(df: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -
     return joined.select(*kept, *new)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the whole table at ``path``; ``read_table`` reads it.
 
     The rows go to a new version folder, then one row is appended to the pointer table
@@ -48,15 +49,19 @@ def replace_table(df: DataFrame, path: str) -> None:
     the table it replaces. Earlier versions stay until somebody removes them.
     """
     version = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
+    df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
     pointer = df.sparkSession.range(1).select(F.lit(time.time_ns()).alias("written"), F.lit(version).alias("version"))
     pointer.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a table that ``replace_table`` wrote."""
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The current version of a table that ``replace_table`` wrote.
+
+    A partitioned table without rows has no files, so it is read with its ``schema``.
+    """
     current = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "written").alias("version")).first()["version"]
-    return spark.read.parquet(f"{path}/{current}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/{current}")
 
 
 def replace_run(df: DataFrame, path: str, run_id: int) -> None:

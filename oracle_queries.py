@@ -442,6 +442,10 @@ def build() -> dict[str, str]:
         f"severity_label = 'Fatal' AND year BETWEEN 1980 AND 1989 AND {term('nation_1')}", "date DESC NULLS LAST", 50, 50))
     add("search_by_operator", search(term("boeing"), "operator ASC NULLS FIRST", 50, 25))
     add("search_in_text", search(term("survived and"), "fatalities DESC NULLS LAST", 0, 100))
+    add("search_postings", search(term("survived and"), "fatalities DESC NULLS LAST", 0, 100))
+    add("postings_hits", " UNION ALL ".join(
+        f"SELECT '{t}' AS term, count(*) AS hits, CAST(sum(id) AS BIGINT) AS ids FROM incidents WHERE {term(t.lower())}"
+        for t in ("Engine", "boeing", "nation_1", "sur%ved", "a_d the", "an", "zzzqqq", "7")))
     add("search_deep_page", search("true", "aboard ASC NULLS FIRST", 10400, 100))
     add("search_hits", f"""SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 12.0e0)) AS BIGINT) AS total_pages
       FROM incidents WHERE severity_label = 'Severe' AND year BETWEEN 1990 AND 1999 AND {term('airline')}""")
