@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, mixed
 
 #: Bytes of text that are taken apart at once.
-SLICE = 1 << 20
+SLICE = 3 << 20
 #: Bits of a filter per key, and at most: 16 MB, whatever the number of keys.
 KEY_BITS, MOST_BITS = 16, 1 << 27
 #: Parts that the best phrases of a language are first looked for in.
@@ -225,11 +225,13 @@ def windows(docs: DataFrame, lang_col: str, text_col: str, least: int, order: in
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 30, order: int = 4) -> DataFrame:
     """(lang, k, phrase, f): occurrences of all phrases of k words, 1 to ``order``, that occur ``least`` times; k = 0 counts all words.
 
-    Only windows of ``order`` words are counted; ROLLUP sums them over ever shorter
-    prefixes, and a prefix whose last word is not padding is a phrase.
+    Only windows of ``order`` words are counted, over all tasks before anything else is
+    done with them; ROLLUP sums them over ever shorter prefixes, and a prefix whose last
+    word is not padding is a phrase.
     """
     names = [f"w{k + 1}" for k in range(order)]
-    summed = windows(docs, lang_col, text_col, least, order).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
+    counted = windows(docs, lang_col, text_col, least, order).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    summed = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     length = F.coalesce(*[F.when(F.col("rolled") == (1 << (order - k)) - 1, F.lit(k)) for k in range(order + 1)])  # null: all languages
     last = F.coalesce(*[F.when(F.col("k") == k, F.col(w)) for k, w in enumerate(names, 1)])
     return summed.withColumn("k", length).where((F.col("k") == 0) | ((last != "") & (F.col("f") >= least))) \
