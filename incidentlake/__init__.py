@@ -88,7 +88,22 @@ from .plans.dashboard import dashboard_header, dashboard_summary
 from .plans.jobs import assign_clusters, build_clusters, extract_offline, prepare_prompts, train_and_score
 from .session import build_session, sizing
 from .sources.incidents import clean_incidents, read_incidents, read_incidents_csv, trainable
-from .sources.sinks import backfill, one_per_key, read_table, replace_run, replace_table, write_coordinates, write_incidents
+from .sources.postings import search_stored, stored_matches, write_searchable
+from .sources.sinks import (
+    backfill,
+    backfill_bucketed,
+    delete_unnamed,
+    forget_run,
+    one_per_key,
+    open_bucketed,
+    read_runs,
+    read_table,
+    replace_run,
+    replace_table,
+    store_bucketed,
+    write_coordinates,
+    write_incidents,
+)
 
 # Ship the few Python helpers with the tasks, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,9 @@ from ..functions import columns as C
 CORRELATED = ("aboard", "fatalities", "ground", "year", "fatality_rate", "survival_count")
 PAIRWISE = ("fatalities", "aboard", "year")
 
+#: Parts that the cells of one key are dealt to.
+SALTS = 32
+
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] = CORRELATED, complete: bool = True) -> DataFrame:
     """Pearson r of every column pair as rows (var1, var2, r), from one aggregate.
@@ -77,6 +80,15 @@ def contingency(df: DataFrame, row: str, column: str, weight: str | None = None)
     )
 
 
+def with_margin(cells: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """Add the sum of n over equal ``key``, summed apart and joined by key and salt.
+
+    A key that most cells have (a severity among many operators) is so dealt to ``SALTS`` tasks.
+    """
+    margin = cells.groupBy(key).agg(F.sum("n").alias(name)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cells.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(margin, [key, "_salt"]).drop("_salt")
+
+
 def _chi2_tail(chi2: float, dof: int) -> float:
     """Upper tail of the chi-square distribution for a whole number of degrees of freedom.
 
@@ -108,11 +120,7 @@ def chi_square(
     correction is applied, which moves every cell by the same amount.
     """
     cells = contingency(df, row, column, weight)
-    over_row, over_col = Window.partitionBy("row_key"), Window.partitionBy("col_key")
-    marked = cells.select(
-        "n", "row_key", "col_key",
-        F.sum("n").over(over_row).alias("row_n"), F.sum("n").over(over_col).alias("col_n"),
-    )
+    marked = with_margin(with_margin(cells, "row_key", "col_key", "row_n"), "col_key", "row_key", "col_n")
     total = cells.agg(F.sum("n")).scalar()
     expected = F.col("row_n") * F.col("col_n") / total
     gap = F.abs(F.col("n") - F.col("e"))

@@ -33,7 +33,9 @@ from ..session import cut_lineage, shared_dir
 from ..sources.incidents import clean_incidents, read_incidents_csv, trainable
 from ..sources.postings import search_stored, stored_matches, write_searchable
 from ..sources.order_incidents import COLUMNS, incidents, table, texts
-from ..sources.sinks import backfill, read_table, replace_run, replace_table, write_coordinates
+from ..sources.sinks import (
+    backfill, backfill_bucketed, open_bucketed, read_runs, read_table, replace_run, replace_table, store_bucketed, write_coordinates,
+)
 from .dashboard import dashboard_header, dashboard_summary
 from .jobs import assign_clusters
 
@@ -44,6 +46,7 @@ FACTS = ("year", "aboard", "fatalities")
 CLUSTERED = ("id", "cluster_id", "fatality_rate", "fatalities", "severity_label", "operator", "aircraft_type", "year")
 LISTED = (*S.LIST_COLUMNS, "year")
 CLUSTER_WIDTH = 0.75
+BUCKETS = 16
 LANGUAGES = ("de", "en", "es", "fr")
 
 
@@ -393,6 +396,13 @@ def chi_square_decade(df):
     return T.chi_square_decade(df)
 
 
+@query
+def chi_square_words(spark, sf_dir):
+    """Language against every word of the documents: a test with many thousands of values."""
+    words = texts(spark, sf_dir).select("lang", F.explode(tokens(F.col("text"))).alias("word"))
+    return T.chi_square(words, "lang", "word").select("test", F.round("chi2", 2).alias("chi2"), "dof", "significant")
+
+
 @on("id", "fatalities", "ground")
 def chi_square_two_by_two(df):
     """One degree of freedom: the continuity correction applies."""
@@ -835,6 +845,17 @@ def backfill_predictions(df):
     return backfill(df.select("id", "severity_label", "operator"), updates, "id", ["predicted_severity", "prediction_confidence"])
 
 
+@on("id", "severity_label", "summary", "operator")
+def bucketed_backfill(df):
+    """The same on incidents stored in buckets of their key."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    name = f"incidents_{path[-12:]}"
+    store_bucketed(df.select("id", "severity_label", "operator"), name, path, "id", BUCKETS)
+    unknown = phrase_predictions(df).where(F.col("severity_label") == "Unknown")
+    updates = unknown.select("id", F.col("predicted").alias("predicted_severity"), F.lit(0.5).alias("prediction_confidence"))
+    return backfill_bucketed(open_bucketed(spark, name, path, "id", BUCKETS), updates, "id", ["predicted_severity", "prediction_confidence"], BUCKETS)
+
+
 @on("id", "proj_x", "proj_y", "operator")
 def backfill_clusters(df):
     labels = density_clusters(df, eps=0.2)
@@ -941,7 +962,7 @@ def replaced_runs(spark, sf_dir):
     replace_run(stats, path, 1)
     replace_run(stats, path, 2)
     replace_run(stats.where(F.col("cluster_label") >= 0), path, 1)
-    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("bigint"))
+    return read_runs(spark, path)
 
 
 @query
@@ -958,7 +979,7 @@ def stored_coordinates(spark, sf_dir):
     path = scratch(spark)
     points = incidents(spark, sf_dir, "id", "proj_x", "proj_y").where(F.col("proj_x").isNotNull())
     write_coordinates(points, path, 7)
-    return spark.read.parquet(path).select("id", "proj_x", "proj_y", F.col("run_id").cast("bigint").alias("run_id"))
+    return read_runs(spark, path, 7).select("id", "proj_x", "proj_y", "run_id")
 
 
 # --- dashboard ---------------------------------------------------------------------------------------

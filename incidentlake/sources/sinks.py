@@ -65,9 +65,87 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def replace_run(df: DataFrame, path: str, run_id: int) -> None:
-    """Replace the rows of one run; other runs stay untouched."""
+    """Replace the rows of one run; other runs stay untouched. ``read_runs`` reads them.
+
+    The rows go to a folder of their own; then one row is appended to the manifest, which
+    names the folder of the run. A write that fails leaves the earlier rows current, and a
+    run may be read, and be the source of ``df``, while it is replaced.
+    """
     rows = df.drop("run_id").withColumn("run_id", F.lit(run_id).cast("bigint"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    folder = f"run-{run_id}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/data/{folder}")
+    _name_run(df.sparkSession, path, run_id, folder)
+
+
+def _name_run(spark: SparkSession, path: str, run_id: int, folder: str | None) -> None:
+    row = spark.range(1).select(F.lit(time.time_ns()).alias("written"), F.lit(run_id).cast("bigint").alias("run_id"), F.lit(folder).cast("string").alias("folder"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def current_runs(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of every run, by the last row of the manifest that names it."""
+    last = F.max_by(F.struct("folder"), F.struct("written", "folder")).alias("last")
+    named = spark.read.parquet(f"{path}/manifest").groupBy("run_id").agg(last).where("last.folder is not null")
+    return {r["run_id"]: r["last"]["folder"] for r in named.collect()}
+
+
+def read_runs(spark: SparkSession, path: str, *run_ids: int) -> DataFrame:
+    """Rows of the named runs, of all without a name; runs that were never stored have none."""
+    known = current_runs(spark, path)
+    folders = [f"{path}/data/{f}" for run, f in sorted(known.items()) if not run_ids or run in run_ids]
+    if folders:
+        return spark.read.parquet(*folders)
+    if not known:
+        raise FileNotFoundError(f"no run is stored under {path}")
+    return spark.read.parquet(f"{path}/data/{next(iter(known.values()))}").limit(0)
+
+
+def forget_run(spark: SparkSession, path: str, run_id: int) -> None:
+    """Leave a run out from now on; its files stay until ``delete_unnamed``."""
+    _name_run(spark, path, run_id, None)
+
+
+def delete_unnamed(spark: SparkSession, path: str, hours: float = 24.0) -> list[str]:
+    """Delete the folders of replaced, forgotten and unfinished runs that are older than ``hours``; their names.
+
+    The age keeps what a reader or a writer at work still needs.
+    """
+    named = set(current_runs(spark, path).values())
+    files = spark._jvm.org.apache.hadoop.fs
+    folder = files.Path(f"{path}/data")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    before, gone = (time.time() - hours * 3600) * 1000, []
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name not in named and status.getModificationTime() <= before:
+            system.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
+def store_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """Store a table so that joins on its key need no shuffle: rows lie in ``buckets`` files by the key's hash, sorted by it.
+
+    The bucketing is known to the session's catalog under ``name``; ``open_bucketed``
+    makes it known to another session.
+    """
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    # one task per bucket, so that a bucket is one sorted file
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").format("parquet").saveAsTable(name)
+
+
+def open_bucketed(spark: SparkSession, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """The table that ``store_bucketed`` wrote, with its buckets."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def backfill_bucketed(df: DataFrame, updates: DataFrame, key: str, cols: Sequence[str], buckets: int) -> DataFrame:
+    """``backfill`` for a table of ``store_bucketed``: the updates alone are shuffled, to the table's buckets."""
+    return backfill(df.hint("merge"), one_per_key(updates, key, cols).repartition(buckets, key), key, cols)
 
 
 def write_incidents(df: DataFrame, path: str) -> None:

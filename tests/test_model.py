@@ -21,6 +21,7 @@ from incidentlake import (
     train_and_score,
     train_severity,
 )
+from incidentlake import read_runs
 from incidentlake.functions import vocab
 from incidentlake.operators.features import build_features
 from incidentlake.schema import INCIDENT_SCHEMA, SEVERITY_CLASSES
@@ -151,7 +152,7 @@ def test_training_job(spark, reports, tmp_path):
     _, filled = train_and_score(reports.drop("truth"), out, 3, num_trees=10, max_features=60)
     assert filled.count() == 900
     assert filled.where("predicted_severity is not null").count() == 100
-    stored = spark.read.parquet(f"{out}/model_metrics").collect()
+    stored = read_runs(spark, f"{out}/model_metrics").collect()
     assert len(stored) == 1
     row = stored[0]
     assert row["run_id"] == 3 and row["n_estimators"] == 10 and len(row["classification_report"]) == 4
@@ -166,10 +167,10 @@ def test_cluster_job_and_prompts(spark, reports, tmp_path):
     found = clusters.where("cluster_label >= 0").collect()
     assert found and all(r["incident_count"] >= 15 and r["run_id"] == 5 for r in found)
     assert clusters.agg(F.sum("incident_count")).first()[0] == 900
-    assert spark.read.parquet(f"{out}/coordinates").count() == 900
+    assert read_runs(spark, f"{out}/coordinates").count() == 900
     prompts, cluster_prompts = prepare_prompts(stored, clusters, out, 5, limit=40)
-    assert spark.read.parquet(prompts).count() == 40
-    assert spark.read.parquet(cluster_prompts).count() == len(found)
+    assert read_runs(spark, prompts).count() == 40
+    assert read_runs(spark, cluster_prompts).count() == len(found)
     extracted = extract_offline(stored, out, 5)
     assert extracted.where("extracted_cause_category is null").count() == 0
     assert extracted.where("extracted_cause_category = 'Structural'").count() > 100
