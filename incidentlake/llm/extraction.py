@@ -41,6 +41,8 @@ AMBIGUOUS = frozenset("discussion related search share sharing social copyright
 #: Elements whose id names what an article says there.
 TOPIC = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote section".split())
 CONTENT_WORDS = frozenset("content article post entry story main body text".split())
+#: Shares of a site's pages on which a subtree must recur to be a template, see ``recurring``.
+OUTSIDE, SOME, HALF = 0.01, 0.25, 0.5
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ol ul dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
 
 
@@ -50,6 +52,7 @@ class Element:
     words: frozenset[str] = frozenset()
     parts: list[object] = field(default_factory=list)  # texts and elements
     digest: int = 0
+    said: bool = False  # whether the subtree has text
     roles: frozenset[str] = frozenset()  # words without those of the id
     marked: bool = False  # in an article by an ambiguous word only
 
@@ -166,37 +169,72 @@ def mains(e: Element) -> list[Element]:
     return [e]
 
 
-def digest(e: Element) -> int:
-    """Hash of a subtree: names, classes and text without regard to white space."""
+def digest(e: Element, place: int = 0) -> int:
+    """Hash of a subtree: names, classes and text without regard to white space. Sets ``digest``, with the names above, and ``said``."""
+    place = xxhash.xxh3_64_intdigest(b"%d %s" % (place, e.name.encode()))
     tool = xxhash.xxh3_64(e.name)
     tool.update(" ".join(sorted(e.words)))
     for p in e.parts:
         if isinstance(p, Element):
-            tool.update(b"\1%d" % digest(p))
+            tool.update(b"\1%d" % digest(p, place))
+            e.said = e.said or p.said
         elif text := " ".join(p.split()):
             tool.update("\2" + text)
-    e.digest = tool.intdigest() - (1 << 63)
-    return e.digest
+            e.said = True
+    own = tool.intdigest()
+    e.digest = xxhash.xxh3_64_intdigest(b"%d %d" % (place, own)) - (1 << 63)
+    return own
 
 
-def removable(found: list[Element]) -> Iterator[Element]:
-    """Subtrees that may be a site's template: in an article what an ambiguous word marks and all but its prose, elsewhere every element."""
-    for top in found:
-        prose = top.name in ("article", "main")
-        todo = [p for p in top.parts if isinstance(p, Element)]
-        while todo:
-            e = todo.pop()
-            if e.name in BLOCK and (e.marked or not (prose and (e.name in PROSE or has_prose(e)))):
-                yield e
-            todo += [p for p in e.parts if isinstance(p, Element)]
+def recurring(root: Element) -> Iterator[tuple[int, float]]:
+    """(digest, share) of the subtrees with text: the share of a site's pages from which on a subtree at this place is a template.
+
+    What lies outside of an article or main element and recurs at all is one, for a site
+    may have many menus and footers: ``OUTSIDE`` is small. Inside, articles share
+    sentences and headings: prose itself stays, what holds prose must be on half of the
+    pages, other elements on a quarter. On a page without article or main element prose
+    and what holds it must be on half of the pages, other elements on a quarter.
+    """
+    todo: list[tuple[Element, bool]] = [(root, False)]
+    elements: list[tuple[Element, bool]] = []
+    while todo:
+        x, inside = todo.pop()
+        for p in x.parts:
+            if isinstance(p, Element):
+                elements.append((p, inside))
+                todo.append((p, inside or p.name in ("article", "main")))
+    plain = not any(e.name in ("article", "main") for e, _ in elements)
+    for e, inside in elements:
+        if not e.said or e.name not in BLOCK or e.name in ("article", "main", "h1"):
+            continue
+        if inside and e.words & AMBIGUOUS:
+            yield e.digest, SOME
+        elif plain or inside:
+            if plain or e.name not in PROSE:
+                yield e.digest, HALF if e.name in PROSE or has_prose(e) else SOME
+        elif not holds(e, ("article", "main")):
+            yield e.digest, OUTSIDE
+
+
+def holds(e: Element, names: tuple[str, ...]) -> bool:
+    return any(isinstance(p, Element) and (p.name in names or holds(p, names)) for p in e.parts)
+
+
+def without(e: Element, gone: frozenset[int]) -> None:
+    """Remove the outermost subtrees in ``gone``."""
+    todo = [e]
+    while todo:
+        x = todo.pop()
+        x.parts = [p for p in x.parts if not isinstance(p, Element) or p.digest not in gone]
+        todo += [p for p in x.parts if isinstance(p, Element)]
 
 
 def has_prose(e: Element) -> bool:
     return any(isinstance(p, Element) and (p.name in ("p", "h1", "pre", "blockquote") or has_prose(p)) for p in e.parts)
 
 
-def blocks(e: Element, gone: frozenset[int] | None = None) -> list[str]:
-    """Texts of the blocks of a subtree in page order, without the subtrees in ``gone``."""
+def blocks(e: Element) -> list[str]:
+    """Texts of the blocks of a subtree in page order."""
     out: list[str] = []
     line: list[str] = []
 
@@ -210,8 +248,6 @@ def blocks(e: Element, gone: frozenset[int] | None = None) -> list[str]:
         for p in x.parts:
             if not isinstance(p, Element):
                 line.append(p)
-            elif gone and p.digest in gone:
-                close()
             elif p.name in BLOCK:
                 close()
                 walk(p)
@@ -226,62 +262,64 @@ def blocks(e: Element, gone: frozenset[int] | None = None) -> list[str]:
     return out
 
 
-def page_trees(page: str | None) -> list[Element]:
-    root = parse(page or "")
+def structured(root: Element) -> list[Element]:
+    """What the structure of a page marks as its main text."""
     prune(root)
-    found = mains(root)
-    for e in found:
-        digest(e)
-    return found
+    return mains(root)
 
 
-def site_templates(pages: DataFrame, host: str = "host", html_col: str = "html", least_pages: int = 10, share: float = 0.25) -> DataFrame:
-    """(host, digest): subtrees that recur on at least ``least_pages`` pages and ``share`` of the pages of a host.
+def site_templates(pages: DataFrame, host: str = "host", html_col: str = "html", least_pages: int = 10) -> DataFrame:
+    """(host, digest): subtrees that recur, at the same place, on at least ``least_pages`` pages and a share of the pages of a host.
 
-    Pages whose main text is equal count once, so that copies of one page do not make its
-    text a template. Subtrees are hashed in the tasks and counted per host in Spark, with
-    partial counts before the shuffle.
+    All subtrees of the whole pages are hashed in the tasks, before anything else is taken
+    away, and counted per host in Spark; which share it takes says ``recurring``. Pages
+    whose main text is equal count once, so that copies of one page do not make its text
+    a template.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, bodies, digests = [], [], []
+            hosts, bodies, digests, shares = [], [], [], []
             for host_, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = page_trees(page)
-                body = xxhash.xxh3_64_intdigest("\n".join(t for e in found for t in blocks(e))) - (1 << 63)
-                for d in {e.digest for e in removable(found)} | {0}:  # 0 counts the page itself
-                    hosts.append(host_)
-                    bodies.append(body)
-                    digests.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(digests, pa.int64())],
-                                             names=["host", "body", "digest"])
+                root = parse(page)
+                digest(root)
+                found = dict(recurring(root))
+                body = xxhash.xxh3_64_intdigest("\n".join(t for e in structured(root) for t in blocks(e))) - (1 << 63)
+                found[0] = 0.0  # counts the page itself
+                hosts += [host_] * len(found)
+                bodies += [body] * len(found)
+                digests += found.keys()
+                shares += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(digests, pa.int64()), pa.array(shares, pa.float64())],
+                                             names=["host", "body", "digest", "share"])
 
     seen = pages.select(F.col(host).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html <> ''") \
-        .mapInArrow(run, "host string, body long, digest long").groupBy("host", "digest", "body").agg(F.count("*").alias("copies"))
-    counts = cut_lineage(seen.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages))
+        .mapInArrow(run, "host string, body long, digest long, share double").groupBy("host", "digest", "body").agg(F.max("share").alias("share"))
+    counts = cut_lineage(seen.groupBy("host", "digest").agg(F.count("*").alias("n"), F.max("share").alias("share")).where(F.col("n") >= least_pages))
     total = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("digest <> 0").join(total, "host").where(F.col("n") >= share * F.col("pages")).select("host", "digest")
+    return counts.where("digest <> 0").join(total, "host").where(F.col("n") >= F.col("share") * F.col("pages")).select("host", "digest")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10,
-              share: float = 0.25, most_sent: int = MOST_SENT) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, most_sent: int = MOST_SENT) -> DataFrame:
     """(id, url, text, n_chars): the main text of each whole page.
 
-    Structure first: menus, headers, footers, sidebars, notices, adverts, forms, comments,
-    scripts and styles go, and what is left is the article, else the main element, else
-    an element named as content, else the page. In an article the ids of headings, prose
-    and sections say nothing, and what only a word of ``AMBIGUOUS`` marks goes if it is all
-    links or recurs. Then subtrees that recur across a host go;
-    in an article its prose (paragraphs, headings, lists, tables) stays, for articles of a
-    site share sentences too. Character references are decoded, white space in a block is
-    one blank, blocks are joined by line breaks. Null and empty pages give an empty text;
-    pages without a host in their URL lose no templates. Templates are sent to the tasks
-    if they are at most ``most_sent``, else joined by host. Repeated rows give repeated
-    rows; other columns are not read; an empty table gives no rows.
+    Site templates first: subtrees that recur at the same place on many pages of the host
+    go, whatever their names and classes. Then the structure of what is left, for sites
+    with few pages and for what differs from page to page: menus, headers, footers,
+    sidebars, notices, adverts, forms, comments, scripts and styles go, and of the rest the
+    article is taken, else the main element, else an element named as content, else the
+    page. In an article the ids of headings, prose and sections say nothing, and what only
+    a word of ``AMBIGUOUS`` marks goes if it is all links or recurs. Character references
+    are decoded, white space in a block is one blank, blocks are joined by line breaks.
+
+    Null and empty pages give an empty text; pages without a host in their URL lose no
+    templates. Templates are sent to the tasks if they are at most ``most_sent``, else
+    joined by host. Repeated rows give repeated rows; other columns are not read; an empty
+    table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")) \
         .withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    templates = cut_lineage(site_templates(rows, least_pages=least_pages, share=share))
+    templates = cut_lineage(site_templates(rows, least_pages=least_pages))
     sent: dict[str, frozenset[int]] | None = None
     if templates.count() <= most_sent:
         by_host: dict[str, set[int]] = {}
@@ -298,7 +336,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = []
             for host_, page, gone in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 away = sent.get(host_) if sent is not None else frozenset(gone or ())
-                texts.append("\n".join(t for e in page_trees(page) for t in blocks(e, away)))
+                root = parse(page or "")
+                if away:
+                    digest(root)
+                    without(root, away)
+                texts.append("\n".join(t for e in structured(root) for t in blocks(e)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["id", "url", "text", "n_chars"])
 

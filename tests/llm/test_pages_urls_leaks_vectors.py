@@ -5,6 +5,7 @@ import pytest
 from compare import database, differences
 from conftest_llm import SF
 from incidentlake.llm import contamination, extraction, queries, urls, vectors
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -41,6 +42,71 @@ def test_site_templates_go_and_prose_stays(spark):
     assert extraction.main_text(df.limit(0)).count() == 0
 
 
+def test_templates_do_without_names_and_classes(spark, monkeypatch):
+    """A site of plain elements: with no word or element name that says what is an aside, its articles come out."""
+    monkeypatch.setattr(extraction, "ASIDE_WORDS", frozenset())
+    monkeypatch.setattr(extraction, "ASIDE", frozenset({"script", "style"}))
+
+    def page(i):
+        menu = "".join(f"<li><a href='/{k}'>Part {k}</a></li>" for k in range(5))
+        return (f"<body><div>The site</div><div><ul>{menu}</ul></div><div><div><h2>Title {i}</h2><p>Text {i} of its own.</p><h3>Background</h3><p>More of {i}.</p></div>"
+                f"</div><div>Written by hand</div><div><div><p>Sign up for our letter.</p><p>It is free.</p></div></div></body>")
+
+    df = spark.createDataFrame([(i, f"http://plain.example/{i}", page(i)) for i in range(100)], "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in extraction.main_text(df).collect()}
+    # a heading that all articles of such a site share cannot be told from a template
+    assert got == {i: f"Title {i}\nText {i} of its own.\nMore of {i}." for i in range(100)}
+
+
+def test_boxes_in_articles_and_rare_menus_are_templates(spark):
+    box = '<div class="box"><p>Read all our reports on the weather of the week, every day, free of charge.</p></div>'
+    rows = [(i, f"http://news.example/{i}", f"<body><div>menu {i % 8}</div><article><h1>T{i}</h1><p>One {i}.</p>{box}<p>Same words.</p></article></body>") for i in range(160)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in extraction.main_text(df).collect()} == {f"T{i}\nOne {i}.\nSame words." for i in range(160)}
+    found = extraction.site_templates(df.withColumn("host", F.lit("news.example")))
+    assert found.count() == 9  # eight menus and the box
+
+
+def brute_templates(rows, least):
+    """All pages of a host side by side: which subtree, by its own text, names and place, is on how many different pages."""
+    def spelled(e):
+        return (e.name, tuple(sorted(e.words)), tuple(spelled(p) if isinstance(p, extraction.Element) else " ".join(p.split()) for p in e.parts if not isinstance(p, str) or p.split()))
+
+    pages = {}
+    for host, page in rows:
+        root = extraction.parse(page)
+        extraction.digest(root)
+        shares = dict(extraction.recurring(root))
+        found, todo = {}, [(root, ())]
+        while todo:
+            e, place = todo.pop()
+            place = (*place, e.name)
+            if e.digest in shares:
+                found[place, spelled(e)] = (shares[e.digest], e.digest)
+            todo += [(p, place) for p in e.parts if isinstance(p, extraction.Element)]
+        body = "\n".join(t for e in extraction.structured(root) for t in extraction.blocks(e))
+        pages.setdefault(host, {})[body] = pages.get(host, {}).get(body, {}) | found
+    out = set()
+    for host, bodies in pages.items():
+        counts = {}
+        for found in bodies.values():
+            for key, (share, digest) in found.items():
+                n, most, _ = counts.get(key, (0, 0.0, 0))
+                counts[key] = (n + 1, max(most, share), digest)
+        out |= {(host, digest) for n, share, digest in counts.values() if n >= least and n >= share * len(bodies)}
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rows = [(r["host"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").withColumn("host", urls.host_of(F.col("url"))).collect() if r["host"] and r["html"]]
+    rng = np.random.default_rng(2)
+    parts = ["<div>menu a</div>", "<div>menu b</div>", "<ul><li>x</li></ul>", "<div class='box'><p>text of a box</p></div>", "<p>Same words.</p>"]
+    rows += [("planted.example", "<body>" + "".join(rng.choice(parts, 3)) + ("<article>" if i % 2 else "<div>") + f"<p>Own {i % 70}.</p>" + "".join(rng.choice(parts, 2))) for i in range(100)]
+    df = spark.createDataFrame(rows, "host string, html string")
+    want = brute_templates(rows, 3)
+    assert {tuple(r) for r in extraction.site_templates(df, least_pages=3).collect()} == want and len(want) >= 3
+
+
 def test_url_lists_over_time(spark):
     d = datetime.date
     captures = spark.createDataFrame([("http://a.b.example/x/y?q", d(2024, 1, day)) for day in (1, 5, 10, 15, 31)] + [(None, d(2024, 1, 1)), ("http://a.b.example", None), ("no url", d(2024, 1, 9))],
