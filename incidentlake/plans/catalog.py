@@ -21,6 +21,7 @@ from ..operators.boosting import Settings
 from ..operators.density import density_clusters, signature_clusters
 from ..operators.features import build_features
 from ..operators.hierarchy import vector_clusters
+from ..operators.layout import fit_layout
 from ..operators.impute import fit_medians, median_impute
 from ..operators.ranking import most_frequent, top_values
 from ..operators.reduction import project_2d, reduce_dimensions
@@ -817,6 +818,13 @@ def embedding_clusters(spark, sf_dir):
     return signature_clusters(vectors, "embedding", 64, width=CLUSTER_WIDTH, key="vec_id").select("vec_id", "cluster_id")
 
 
+@query
+def layout_coordinates(spark, sf_dir):
+    """Plot coordinates of the given vectors that keep neighbours together."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return fit_layout(vectors, "embedding", 64).place(vectors, "embedding").drop("embedding")
+
+
 @query
 def embedding_groups(spark, sf_dir):
     """Clusters of the given vectors by the hierarchy of their neighbourhoods."""

@@ -15,7 +15,8 @@ from ..operators.clusters import cluster_stats, with_summary_columns
 from ..operators.hierarchy import vector_clusters
 from ..functions import vocab
 from ..operators.prompts import cluster_prompts, extraction_prompts, fill_by_keywords
-from ..operators.reduction import at, reduce_dimensions
+from ..operators.layout import fit_layout
+from ..operators.reduction import reduce_dimensions
 from ..operators.severity_model import SeverityModel, Training, fill_unknown, train_severity
 from ..operators.text import embed_text, incident_text
 from ..sources.sinks import read_table, replace_run, replace_table, write_coordinates
@@ -30,13 +31,12 @@ def assign_clusters(
 ) -> DataFrame:
     """Add cluster label and plot coordinates to rows that carry a vector.
 
-    The vectors are reduced to ``k`` components, all of which the density step uses;
-    the plot takes the first two, which are the same as those of a separate
-    two-dimensional fit.
+    The vectors are reduced to ``k`` components, all of which the density step uses; the
+    plot has a layout of its own, fitted to keep neighbours together.
     """
     k = max(k, 2)
     reduced = reduce_dimensions(df.drop(*ASSIGNED), vector, k, "_reduced")
-    placed = reduced.withColumns({"proj_x": at("_reduced", 0), "proj_y": at("_reduced", 1)})
+    placed = fit_layout(reduced, "_reduced", k).place(reduced, "_reduced")
     return vector_clusters(placed, "_reduced", k, min_samples, min_cluster_size, key).drop("_reduced")
 
 
