@@ -19,6 +19,8 @@ from .common import cut_lineage, mixed
 SLICE = 3 << 20
 #: Bits of a filter per key, and at most: 16 MB, whatever the number of keys.
 KEY_BITS, MOST_BITS = 16, 1 << 27
+#: Bits of a hash that are left out of the keys of a filter; 40 are kept.
+SHIFT = np.uint64(24)
 #: Parts that the best phrases of a language are first looked for in.
 PARTS = 64
 
@@ -180,12 +182,12 @@ def phrases_from(words: Words, filters: list[Filter], longest: int) -> Iterator[
         if k <= len(filters):
             asked = np.flatnonzero(may)
             may = np.zeros(len(first), bool)
-            may[asked] = filters[k - 1](key[asked])
-        yield may, key
+            may[asked] = filters[k - 1](key[asked] >> SHIFT)
+        yield may, key >> SHIFT
 
 
 def windows(docs: DataFrame, lang_col: str, text_col: str, least: int, order: int) -> DataFrame:
-    """(lang, w1 .. w``order``, n): how often each window of ``order`` words in a row occurs.
+    """(window, n): how often each window of ``order`` words in a row occurs, as its language and words between line ends.
 
     A window starts at every word; past the end of its piece it is padded with empty
     words. Where its first words occur less than ``least`` times in the language, or any
@@ -216,10 +218,11 @@ def windows(docs: DataFrame, lang_col: str, text_col: str, least: int, order: in
             key = np.unique(key * (none + 1) + c, return_inverse=True)[1]
         _, first, n = np.unique(key, return_index=True, return_counts=True)
         spelled = pa.concat_arrays([words.spelled, pa.array([b""], pa.large_binary())]).cast(pa.large_string()).cast(pa.string())
-        return [pa.array(languages, pa.string()).take(pa.array(words.lang[words.counted][first])), *(spelled.take(pa.array(c[first])) for c in columns), pa.array(n)]
+        lang = pa.array(languages, pa.string()).take(pa.array(words.lang[words.counted][first]))
+        return [pc.binary_join_element_wise(lang, *(spelled.take(pa.array(c[first])) for c in columns), "\n"), pa.array(n)]
 
-    schema = ", ".join(["lang string", *(f"w{k + 1} string" for k in range(order)), "n long"])
-    return over_words(rows, schema, count, order)
+    # one column is a smaller row; no word holds a line end, and of a language only the last ones count
+    return over_words(rows, "window string, n long", count, order).groupBy("window").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 30, order: int = 4) -> DataFrame:
@@ -230,7 +233,10 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     word is not padding is a phrase.
     """
     names = [f"w{k + 1}" for k in range(order)]
-    counted = windows(docs, lang_col, text_col, least, order).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    words = F.split("window", "\n")
+    counted = windows(docs, lang_col, text_col, least, order).select(
+        F.array_join(F.slice(words, F.lit(1), F.size(words) - order), "\n").alias("lang"),
+        *[F.element_at(words, k - order).alias(w) for k, w in enumerate(names)], "n")
     summed = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     length = F.coalesce(*[F.when(F.col("rolled") == (1 << (order - k)) - 1, F.lit(k)) for k in range(order + 1)])  # null: all languages
     last = F.coalesce(*[F.when(F.col("k") == k, F.col(w)) for k, w in enumerate(names, 1)])
@@ -253,25 +259,28 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     repeated rows count each time; ids and other columns are not read; an empty table
     gives no rows. Texts are taken apart in stretches, so a long one needs no more memory.
     """
-    counts = cut_lineage(phrase_counts(docs, lang_col, text_col, least, order))
+    counts = cut_lineage(phrase_counts(docs, lang_col, text_col, least, order).withColumn("id", F.monotonically_increasing_id()))
     known = counts.where("k > 0")
-    phrases = counts.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
-    parts = phrases.select("lang", "phrase", "k", "a", "words", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")) \
-        .withColumn("first", F.array_join(F.slice("words", F.lit(1), F.col("cut")), " ")) \
-        .withColumn("rest", F.array_join(F.slice("words", F.col("cut") + 1, F.col("k") - F.col("cut")), " ")).drop("words")
-    for name, part in (("l", "first"), ("r", "rest")):
-        parts = parts.join(known.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)), ["lang", part])
-    exact = {c: f"cast({c} as decimal(19,0))" for c in "alr"}
-    score = F.expr(f"(cast(2000000 as decimal(7,0)) * {exact['a']}) div ({exact['l']} + {exact['r']})")
-    scored = parts.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best")) \
-        .select("lang", "phrase", "a", "best.score", "best.l", "best.r")
+    phrases = counts.where("k > 1").select("id", "lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
+    # both parts of every cut of every phrase look up their counts in one join
+    cuts = phrases.select("id", "lang", "k", "words", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    halves = F.array(F.struct(F.lit(0).alias("side"), F.array_join(F.slice("words", F.lit(1), F.col("cut")), " ").alias("part")),
+                     F.struct(F.lit(1).alias("side"), F.array_join(F.slice("words", F.col("cut") + 1, F.col("k") - F.col("cut")), " ").alias("part")))
+    found = cuts.select("id", "lang", "cut", F.inline(halves)).join(known.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
+    sides = F.map_from_entries(F.collect_list(F.struct(F.struct("cut", "side"), "f")))  # two per cut
+    l, r = (f"sides[named_struct('cut', c, 'side', {side})]" for side in (0, 1))
+    best = F.expr(f"""array_min(transform(sequence(1, k - 1), c -> named_struct(
+        'score', (cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0))) div (cast({l} as decimal(19,0)) + cast({r} as decimal(19,0))),
+        'cut', c, 'l', {l}, 'r', {r})))""")
+    scored = found.groupBy("id").agg(sides.alias("sides")).join(phrases, "id") \
+        .select("lang", "phrase", "a", best.alias("best")).select("lang", "phrase", "a", "best.score", "best.l", "best.r")
     lengths = F.filter(F.sequence(F.lit(2), F.col("k")), lambda x: x < F.col("k"))
     inner = F.flatten(F.transform(lengths, lambda size: F.transform(
         F.sequence(F.lit(1), F.col("k") - size + 1), lambda at: F.array_join(F.slice("words", at, size), " "))))
     longest = phrases.where("k > 2").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "a") \
         .groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(longest, ["lang", "phrase"], "left").where(
-        F.expr(f"longer is null or 100 * cast(longer as decimal(19,0)) < {int(covered)} * {exact['a']}")).drop("longer")
+        F.expr(f"longer is null or 100 * cast(longer as decimal(19,0)) < {int(covered)} * cast(a as decimal(19,0))")).drop("longer")
     by = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     some = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))) \
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).where(F.col("rank") <= top)
