@@ -39,6 +39,7 @@ from ..sources.sinks import (
 )
 from .dashboard import dashboard_header, dashboard_summary
 from .jobs import assign_clusters
+from .states import add_batch, stored_dashboard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1000,8 +1001,21 @@ def dashboard_totals(df):
 @on(*OVERVIEW)
 def dashboard_sections(df):
     """The JSON sections of the dashboard, read back as rows."""
-    row = dashboard_summary(df)
+    return section_rows(dashboard_summary(df))
 
+
+@on(*OVERVIEW)
+def dashboard_states(df):
+    """The same from the stored states of three batches, one of them stored twice."""
+    path = scratch(df.sparkSession)
+    numbered = df.withColumn("batch", F.pmod(F.xxhash64("year", "operator", "aircraft_type"), F.lit(3)))
+    add_batch(numbered, path, 1)
+    for batch in range(3):
+        add_batch(numbered.where(F.col("batch") == batch), path, batch)
+    return section_rows(stored_dashboard(df.sparkSession, path))
+
+
+def section_rows(row: DataFrame) -> DataFrame:
     def rows(section: str, kind: str, name: str, count: str, value: str) -> DataFrame:
         items = F.from_json(section, f"array<struct<{kind}>>")
         return row.select(F.explode(items).alias("i")).select(

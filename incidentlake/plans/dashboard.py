@@ -26,18 +26,17 @@ def dashboard_summary(df: DataFrame) -> DataFrame:
 
     Each section is a short report (one row per year, label or decade).
     """
+    narrow = df.select("year", "operator", "aircraft_type", "location", "aboard", "fatalities", "severity_label")
+    return as_sections(overview(narrow), yearly_trends(narrow), severity_distribution(narrow), decade_trends(narrow))
+
+
+def as_sections(head: DataFrame, yearly: DataFrame, severity: DataFrame, decade: DataFrame) -> DataFrame:
+    """One row of JSON texts from the reports of the dashboard."""
     def section(report: DataFrame, *order: str):
         rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in report.columns if c not in order])))
-        return F.to_json(rows)
+        return report.agg(F.to_json(rows)).scalar()
 
-    def scalar(report: DataFrame, *order: str):
-        return report.agg(section(report, *order)).scalar()
-
-    narrow = df.select("year", "operator", "aircraft_type", "location", "aboard", "fatalities", "severity_label")
-    head = overview(narrow)
     return head.select(
-        F.to_json(F.struct(*head.columns)).alias("overview"),
-        scalar(yearly_trends(narrow), "year").alias("yearly"),
-        scalar(severity_distribution(narrow), "severity").alias("severity"),
-        scalar(decade_trends(narrow), "decade").alias("decade"),
+        F.to_json(F.struct(*head.columns)).alias("overview"), section(yearly, "year").alias("yearly"),
+        section(severity, "severity").alias("severity"), section(decade, "decade").alias("decade"),
     )

@@ -504,6 +504,7 @@ def build() -> dict[str, str]:
       UNION ALL SELECT 'severity', severity_label, count(*),
         round(count(*) / CAST((SELECT count(*) FROM incidents) AS DOUBLE) * 100, 2) FROM incidents GROUP BY severity_label
       UNION ALL SELECT 'decade', decade, incidents, avg_fatality_rate FROM ({decades})""")
+    sql["dashboard_states"] = sql["dashboard_sections"]
     add("top_operators", top("operator", ", coalesce(round(avg(fatalities), 2), 0) AS avg_fatalities_per_incident"))
     add("top_aircraft", top("aircraft_type"))
     add("top_operators_share", top_share("operator"))
