@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,8 +18,8 @@ from .urls import host_of
 
 #: Templates that are sent to every task; more are joined by host, dealt over ``SALTS`` parts of a host.
 MOST_SENT, SALTS = 200_000, 64
-#: Depth to which a page's tree is built; deeper elements are read as part of the one there.
-DEPTH = 200
+#: Functions that walk a tree call themselves once per level; no page may end in an error for its depth.
+RECURSION = 10_000_000
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -52,16 +53,25 @@ class Element:
     words: frozenset[str] = frozenset()
     parts: list[object] = field(default_factory=list)  # texts and elements
     digest: int = 0
-    said: bool = False  # whether the subtree has text
+    said: bool = False  # whether the subtree has text, prose, an article or main element
+    prose: bool = False
+    main: bool = False
     roles: frozenset[str] = frozenset()  # words without those of the id
     marked: bool = False  # in an article by an ambiguous word only
 
 
 def parse(page: str) -> Element:
-    """The page as a tree. Unclosed elements end with their parent, stray end tags are ignored."""
+    """The page as a tree, of any depth. Unclosed elements end with their parent, stray end tags are ignored."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
     root = Element("html")
     stack, at, end = [root], 0, len(page)
-    flat: dict[str, int] = {}  # elements below the greatest depth, whose parts go to the element there
+    open_: dict[str, int] = {}  # open elements by name
+
+    def leave() -> Element:
+        e = stack.pop()
+        open_[e.name] -= 1
+        return e
+
     while at < end:
         m = TAG.search(page, at)
         if m is None:
@@ -74,23 +84,22 @@ def parse(page: str) -> Element:
             continue
         name = m[2].lower()
         if m[1]:
-            if flat.get(name):
-                flat[name] -= 1
-            elif any(e.name == name for e in stack[1:]):
-                while stack.pop().name != name:
+            if open_.get(name):
+                while leave().name != name:
                     pass
             continue
         if name in ("html", "body"):
             continue
-        open_names = [e.name for e in stack]
-        if name in CLOSES_P and "p" in open_names:
-            k = len(open_names) - 1 - open_names[::-1].index("p")
-            if not any(n in BLOCK for n in open_names[k + 1:]):
-                del stack[k:]
+        if name in CLOSES_P and open_.get("p"):
+            # an open paragraph ends unless another block is open in it
+            inner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == "p" or stack[i].name in BLOCK)
+            if stack[inner].name == "p":
+                while leave().name != "p":
+                    pass
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and name == stack[-1].name:
-            stack.pop()
+            leave()
         if name == "li" and stack[-1].name == "li":
-            stack.pop()
+            leave()
         words: set[str] = set()
         roles: set[str] = set()
         if m[3]:
@@ -106,10 +115,8 @@ def parse(page: str) -> Element:
             element.parts.append(page[at:close.start() if close else end])
             at = close.end() if close else end
         elif name not in VOID and not m[3].endswith("/"):
-            if len(stack) < DEPTH:
-                stack.append(element)
-            else:
-                flat[name] = flat.get(name, 0) + 1
+            stack.append(element)
+            open_[name] = open_.get(name, 0) + 1
     return root
 
 
@@ -170,7 +177,7 @@ def mains(e: Element) -> list[Element]:
 
 
 def digest(e: Element, place: int = 0) -> int:
-    """Hash of a subtree: names, classes and text without regard to white space. Sets ``digest``, with the names above, and ``said``."""
+    """Hash of a subtree: names, classes and text without regard to white space. Sets ``digest``, with the names above, and what the subtree holds."""
     place = xxhash.xxh3_64_intdigest(b"%d %s" % (place, e.name.encode()))
     tool = xxhash.xxh3_64(e.name)
     tool.update(" ".join(sorted(e.words)))
@@ -178,6 +185,8 @@ def digest(e: Element, place: int = 0) -> int:
         if isinstance(p, Element):
             tool.update(b"\1%d" % digest(p, place))
             e.said = e.said or p.said
+            e.prose = e.prose or p.prose or p.name in ("p", "h1", "pre", "blockquote")
+            e.main = e.main or p.main or p.name in ("article", "main")
         elif text := " ".join(p.split()):
             tool.update("\2" + text)
             e.said = True
@@ -211,15 +220,11 @@ def recurring(root: Element) -> Iterator[tuple[int, float]]:
             yield e.digest, SOME
         elif plain or inside:
             if plain or e.name not in PROSE:
-                yield e.digest, HALF if e.name in PROSE or has_prose(e) else SOME
-        elif not holds(e, ("article", "main")):
+                yield e.digest, HALF if e.name in PROSE or e.prose else SOME
+        elif not e.main:
             yield e.digest, OUTSIDE
 
 
-def holds(e: Element, names: tuple[str, ...]) -> bool:
-    return any(isinstance(p, Element) and (p.name in names or holds(p, names)) for p in e.parts)
-
-
 def without(e: Element, gone: frozenset[int]) -> None:
     """Remove the outermost subtrees in ``gone``."""
     todo = [e]
@@ -229,10 +234,6 @@ def without(e: Element, gone: frozenset[int]) -> None:
         todo += [p for p in x.parts if isinstance(p, Element)]
 
 
-def has_prose(e: Element) -> bool:
-    return any(isinstance(p, Element) and (p.name in ("p", "h1", "pre", "blockquote") or has_prose(p)) for p in e.parts)
-
-
 def blocks(e: Element) -> list[str]:
     """Texts of the blocks of a subtree in page order."""
     out: list[str] = []

@@ -20,7 +20,9 @@ def test_sql(spark, name):
     ("<body><header>h</header><div id=sidebar>s</div><div class='cookie-notice'>c</div><form>f</form><p>x &lt;y&gt; &copy;</p><!-- <p>z</p> --><script>var a='</p>';</script>",
      "x <y> ©"),
     ("<article><header><h1>T</h1></header><p>a\n  b</p><aside>no</aside></article>", "T\na b"),
-    ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\nafter"), ("<p title='a>b'>q</p><p unclosed", "q")])
+    ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\nafter"),
+    ("<div>" * 50_000 + "<nav>menu</nav><p>deep" + "</div>" * 50_000 + "<p>after", "deep\nafter"), ("<p>a<b>x<div>y</div>z", "ax\ny\nz"),
+    ("<article>" + "<section>" * 400 + "<p>text</p><div class='cookie'>no</div><script>no</script>" + "</section>" * 400 + "</article>", "text"), ("<p title='a>b'>q</p><p unclosed", "q")])
 def test_page_text(spark, page, text):
     df = spark.createDataFrame([(1, "http://h.example/1", page, "c")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in extraction.main_text(df).collect()] == [(text, len(text))]
