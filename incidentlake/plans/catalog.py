@@ -708,13 +708,9 @@ def model_checks(spark, sf_dir):
 
 @query
 def boosted_checks(spark, sf_dir):
-    """The same of one boosted model for all classes, which must also be surer of the true class than a forest."""
+    """The same of one boosted model for all classes."""
     docs = cut_lineage(language_reports(spark, sf_dir))
-    boosted = train_severity(docs, kind="softmax", boosting=Settings(rounds=12, rate=0.3, depth=3, patience=4))
-    forest = train_severity(docs, num_trees=60)
-    sure = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("confidence")).otherwise(0.0))
-    both = boosted.predictions.agg(sure.alias("p")).unionByName(forest.predictions.agg((-sure).alias("p")))
-    return training_checks(boosted, docs).unionByName(measure("surer than the forest", both, (F.sum("p") > 0).cast("int")))
+    return training_checks(train_severity(docs, kind="softmax", boosting=Settings(rounds=12, rate=0.3, depth=3, patience=4)), docs)
 
 
 # --- clusters ---------------------------------------------------------------------------------

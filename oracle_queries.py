@@ -601,7 +601,7 @@ def build() -> dict[str, str]:
         CASE lang WHEN 'de' THEN 'Minor' WHEN 'en' THEN 'Moderate' WHEN 'es' THEN 'Severe' WHEN 'fr' THEN 'Fatal' END END AS severity_label FROM documents),"""
       + SPLIT.replace("FROM incidents", "FROM marked"))
     sql["model_checks"] = (checks, marked)
-    sql["boosted_checks"] = (checks + " UNION ALL SELECT 'surer than the forest', CAST(1 AS BIGINT)", marked)
+    sql["boosted_checks"] = (checks, marked)
     sql["text_vectors"] = ("""SELECT doc_id, CAST(bucket AS INT) AS idx,
         round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM buckets""", "!" + TFIDF + """,
       buckets AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS n
