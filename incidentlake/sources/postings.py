@@ -16,66 +16,106 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.search import LIST_COLUMNS, SEARCHED, SORT_KEYS, by_decade, by_severity, by_term, check_range, ordered_slice, sort_columns
 from .sinks import read_table, replace_table
 
 #: Keys of a block, folders that postings are dealt to, and characters that are cut into grams at once.
-SPAN, BUCKETS, STEP_CHARS = 1 << 16, 64, 500_000
+SPAN, BUCKETS, STEP_CHARS = 1 << 16, 64, 2_000_000
+#: Pairs of a row and a gram that a task holds before it passes their lists on.
+HELD = 4_000_000
+#: Candidates up to which they are sent to every task; with more the texts of their blocks are verified as a whole.
+FEW_KEYS = 200_000
 #: Bits of a character in a gram.
 BITS = 21
-POSTINGS = "gram long, block long, keys array<long>, bucket int"
+#: Keys are stored by their place in the block, from -SPAN / 2 on.
+POSTINGS = "gram long, block long, keys array<smallint>, bucket int"
+LISTS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("block", T.LongType()),
+                      T.StructField("keys", T.ArrayType(T.ShortType(), containsNull=False))])
+#: Sorted places differ little: their differences are stored, not an index into a dictionary of all places.
+PACKED = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#keys.list.element": "false"}
 
 
 def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, gram) of the distinct grams of each text, by text."""
+    """(text, gram) of the distinct grams of each text, by gram."""
     joined = "\0" + "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
     text = np.repeat(np.arange(len(texts)), sizes + 1)
     # places are counted without the leading separator
     points = points[1:]
-    codes = (points[:-2] << (2 * BITS)) | (points[1:-1] << BITS) | points[2:]
-    left = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1)[:-2] - np.arange(len(codes))  # characters of the text from here on
+    left = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1)[:-2] - np.arange(len(points) - 2)  # characters of the text from here on
     inside = left >= 3
-    order = np.lexsort((codes[inside], text[:-2][inside]))
-    t, g = text[:-2][inside][order], codes[inside][order]
+    # characters by their rank among those that occur: a gram and its text mostly fit into one number
+    seen = np.flatnonzero(np.bincount(points))
+    rank = np.zeros(seen[-1] + 1, np.int64)
+    rank[seen] = np.arange(len(seen))
+    ranks, kinds, width = rank[points], len(seen), len(texts)
+    if kinds ** 3 * width < 1 << 62:
+        both = (((ranks[:-2] * kinds + ranks[1:-1]) * kinds + ranks[2:]) * width + text[:-2])[inside]
+        both.sort()
+        both = both[np.flatnonzero(np.diff(both, prepend=-1))]
+        code, t = np.divmod(both, width)
+        code, third = np.divmod(code, kinds)
+        first, second = np.divmod(code, kinds)
+        return t, (seen[first] << (2 * BITS)) | (seen[second] << BITS) | seen[third]
+    codes = ((points[:-2] << (2 * BITS)) | (points[1:-1] << BITS) | points[2:])[inside]
+    t, order = text[:-2][inside], np.lexsort((text[:-2][inside], codes))
+    t, g = t[order], codes[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
     return t[new], g[new]
 
 
+def lists_of(keys: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+    """One row per gram and block with the places of its keys."""
+    order = np.lexsort((keys, gram))
+    keys, gram = keys[order], gram[order]
+    block = keys // SPAN
+    starts = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(block, prepend=block[0] - 1) != 0)) if len(keys) else np.zeros(0, np.int64)
+    places = (keys - block * SPAN - SPAN // 2).astype(np.int16)
+    return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(block[starts]), pa.ListArray.from_arrays(
+        pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(places))], names=["gram", "block", "keys"])
+
+
 def write_searchable(df: DataFrame, path: str, key: str = "id", columns: Sequence[str] = SEARCHED) -> None:
-    """Store rows by block of their keys, and the postings of their texts. Keys are whole numbers; rows without one are stored without postings."""
-    block = F.floor(F.col(key) / SPAN).cast("long")
-    rows = df.withColumn("block", block)
+    """Store rows by block of their keys, and the postings of their texts. Keys are whole numbers; rows without one are stored without postings.
+
+    Rows are moved once, to their blocks. Their grams are cut from the stored rows, where
+    the rows of a block lie together: a task's lists are long, and a key takes two bytes in
+    them. One exchange brings the lists of a gram together.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("block", F.shiftright(F.col(key).cast("long"), SPAN.bit_length() - 1))
     replace_table(rows.limit(0), f"{path}/schema")
-    replace_table(rows.hint("rebalance", "block"), f"{path}/rows", partition_by=["block"])
+    replace_table(rows.hint("rebalance", "block"), f"{path}/rows", partition_by=["block"], compression="zstd")
+    stored = read_table(spark, f"{path}/rows", rows.schema).where(F.col("block").isNotNull())
     text = F.concat_ws("\0\0\0", *[F.lower(c) for c in columns if c in df.columns])
-    keyed = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), text.alias("text"))
+    keyed = stored.select(F.col(key).cast("long").alias("key"), text.alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= STEP_CHARS):
-                    held, to = held + len(texts[to]), to + 1
+                to, chars = at, 0
+                while to < len(texts) and (to == at or chars + len(texts[to]) <= STEP_CHARS):
+                    chars, to = chars + len(texts[to]), to + 1
                 text, gram = grams(texts[at:to])
-                own = keys[at:to][text]
-                order = np.lexsort((own, own // SPAN, gram))
-                own, gram = own[order], gram[order]
-                block = own // SPAN
-                starts = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])))) if len(own) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(block[starts]), pa.ListArray.from_arrays(
-                    pa.array(np.append(starts, len(own)).astype(np.int32)), pa.array(own))], names=["gram", "block", "keys"])
-                at = to
+                held.append((keys[at:to][text], gram))
+                at, count = to, count + len(gram)
+                if count >= HELD:
+                    yield lists_of(*map(np.concatenate, zip(*held, strict=True)))
+                    held, count = [], 0
+        if held:
+            yield lists_of(*map(np.concatenate, zip(*held, strict=True)))
 
-    lists = keyed.mapInArrow(cut, "gram long, block long, keys array<long>")
-    whole = lists.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
-    dealt = whole.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    replace_table(dealt.repartition("bucket", "gram").sortWithinPartitions("bucket", "gram", "block"), f"{path}/postings", partition_by=["bucket"])
+    lists = keyed.mapInArrow(cut, LISTS).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
+    whole = lists.repartition("bucket", "gram").groupBy("bucket", "gram", "block") \
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys")).select("gram", "block", "keys", "bucket")
+    replace_table(whole.sortWithinPartitions("bucket", "gram", "block"), f"{path}/postings", partition_by=["bucket"], **PACKED)
 
 
 def term_grams(spark: SparkSession, term: str, escape: bool) -> list[int]:
@@ -92,13 +132,15 @@ def candidates(spark: SparkSession, path: str, wanted: Sequence[int]) -> DataFra
     # a block has one list per gram, each of at most SPAN keys
     lists = postings.groupBy("block").agg(F.collect_list("keys").alias("lists")).where(F.size("lists") == len(wanted))
     common = F.aggregate(F.slice("lists", 2, len(wanted)), F.get("lists", F.lit(0)), F.array_intersect)
-    return lists.select("block", F.explode(common).alias("key"))
+    places = lists.select("block", F.explode(common).alias("place"))
+    return places.select("block", (F.col("block") * SPAN + F.col("place") + SPAN // 2).alias("key"))
 
 
 def stored_matches(spark: SparkSession, path: str, term: str | None, key: str = "id", escape: bool = False) -> DataFrame:
     """Stored rows that hold the term, as ``search.by_term`` finds them.
 
-    Only postings of the term's grams and the blocks with common keys are read. Terms
+    Only postings of the term's grams and the blocks with common keys are read; of these
+    blocks the rows with common keys are verified, or all rows where such keys are many. Terms
     without three plain characters in a row (shorter ones, or cut by the wildcards ``%``
     and ``_``) and empty ones have no grams: all rows are read.
     """
@@ -107,8 +149,11 @@ def stored_matches(spark: SparkSession, path: str, term: str | None, key: str =
     wanted = term_grams(spark, term, escape) if term else []
     if wanted:
         found = candidates(spark, path, wanted)
-        blocks = [r["block"] for r in found.select("block").distinct().collect()]  # one number per SPAN keys at most
-        rows = rows.where(F.col("block").isin(blocks)).join(found.withColumnRenamed("key", key), ["block", key], "left_semi")
+        blocks = found.groupBy("block").count().collect()  # two numbers per SPAN keys at most
+        rows = rows.where(F.col("block").isin([r["block"] for r in blocks]))
+        # the wide rows are never moved to meet their candidates
+        if sum(r["count"] for r in blocks) <= FEW_KEYS:
+            rows = rows.join(F.broadcast(found.withColumnRenamed("key", key)), ["block", key], "left_semi")
     return by_term(rows.drop("block"), term, escape)
 
 

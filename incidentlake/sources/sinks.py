@@ -41,15 +41,15 @@ def backfill(df: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -
     return joined.select(*kept, *new)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), **options: str) -> None:
     """Replace the whole table at ``path``; ``read_table`` reads it.
 
-    The rows go to a new version folder, then one row is appended to the pointer table
+    ``options`` are those of the parquet writer. The rows go to a new version folder, then one row is appended to the pointer table
     beside it. A write that fails leaves the earlier version current, and ``df`` may read
     the table it replaces. Earlier versions stay until somebody removes them.
     """
     version = f"version-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
+    df.write.partitionBy(*partition_by).options(**options).parquet(f"{path}/{version}")
     pointer = df.sparkSession.range(1).select(F.lit(time.time_ns()).alias("written"), F.lit(version).alias("version"))
     pointer.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 

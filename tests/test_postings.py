@@ -63,3 +63,14 @@ def test_grams_of_slices():
     text, gram = P.grams(["abcab", "", "ab", "xabc"])
     code = lambda s: (ord(s[0]) << 42) | (ord(s[1]) << 21) | ord(s[2])
     assert sorted(zip(text.tolist(), gram.tolist(), strict=True)) == sorted([(0, code(g)) for g in ("abc", "bca", "cab")] + [(3, code(g)) for g in ("xab", "abc")])
+
+
+def test_keys_at_block_borders(spark, tmp_path):
+    keys = [-(1 << 40) - 1, -P.SPAN, -1, 0, 1, P.SPAN // 2, P.SPAN - 1, P.SPAN, 1 << 53, (1 << 60) - 1, 1 << 60, 5, 5]
+    df = spark.createDataFrame([(k, "an engine" if i % 3 else "a wing") for i, k in enumerate(keys)], "id long, summary string").repartition(3)
+    P.write_searchable(df, str(tmp_path))
+    for term in ("engine", "wing", "an engine"):
+        want = sorted(r["id"] for r in df.where(F.col("summary").contains(term)).collect())
+        assert sorted(r["id"] for r in P.stored_matches(spark, str(tmp_path), term).collect()) == want
+    # two bytes a key, whatever the key
+    assert dict(P.read_table(spark, f"{tmp_path}/postings").dtypes)["keys"] == "array<smallint>"
