@@ -74,3 +74,18 @@ def test_keys_at_block_borders(spark, tmp_path):
         assert sorted(r["id"] for r in P.stored_matches(spark, str(tmp_path), term).collect()) == want
     # two bytes a key, whatever the key
     assert dict(P.read_table(spark, f"{tmp_path}/postings").dtypes)["keys"] == "array<smallint>"
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_texts_are_not_moved_to_meet_their_candidates(spark, stored, monkeypatch, few):
+    df, path = stored
+    monkeypatch.setattr(P, "FEW_KEYS", few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        hits = P.stored_matches(spark, path, "engine")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and ("BroadcastHashJoin" in plan) == (few > 0)
+        want = S.by_term(df, "engine").where("id is not null").count()
+        assert hits.count() == want > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
