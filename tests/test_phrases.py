@@ -10,6 +10,7 @@ from incidentlake.functions import columns as C
 from incidentlake.functions import phrases as P
 from incidentlake.functions import vocab
 from incidentlake.operators.features import SEARCHED, build_features
+from incidentlake.plans.catalog import stored_metrics
 
 
 @pytest.mark.parametrize("step", [7, 64, P.STEP])
@@ -43,3 +44,13 @@ def test_plain_texts_are_looked_for_in_one_pass(spark):
     plan = build_features(df, "id")._jdf.queryExecution().executedPlan().toString()
     assert "Contains(" not in plan and plan.count("ArrowEvalPython") == 1
     assert set(vocab.SUMMARY_PATTERNS) == set(SEARCHED["summary"][0])
+
+
+def test_two_stored_runs_read_the_texts_once(spark):
+    df = spark.createDataFrame([(i, "no survivors" if i % 3 else "engine failure, crew survived", "Fatal" if i % 2 else "Severe") for i in range(40)],
+                               "id long, summary string, severity_label string")
+    runs = stored_metrics(df)
+    assert [r["test_samples"] for r in runs.orderBy("run_id").collect()] == [40, 40]
+    runs.collect()
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or plan.split("Initial Plan")[0].count("ArrowEvalPython") == 1
