@@ -1,12 +1,15 @@
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from incidentlake import embed_text, fit_tfidf, project_2d, reduce_dimensions
 from incidentlake.functions import vocab
+from incidentlake.operators import text as X
 
 TEXTS = [
     "The engine failed after takeoff, engine fire reported.", "Engine fire. ENGINE fire! The crew escaped",
@@ -84,3 +87,37 @@ def test_components_against_numpy(spark):
     assert np.allclose(got, unit @ vt.T, atol=1e-8)
     flat = np.array([[r["proj_x"], r["proj_y"]] for r in project_2d(df).orderBy("id").collect()])
     assert np.allclose(flat, got[:, :2], atol=1e-8)
+
+
+@pytest.mark.parametrize("frequent", [None, frozenset(["fire", "été", "wing"])])
+def test_terms_are_counted_like_single_words_and_pairs(frequent):
+    rng = random.Random(3)
+    texts = [[rng.choice(["fire", "wing", "été", "a_1", "gear"]) for _ in range(rng.randrange(7))] for _ in range(90)] + [[], ["fire"]]
+    want = {}
+    for words in texts:
+        kept = [w if frequent is None or w in frequent else None for w in words]
+        terms = [w for w in kept if w] + [f"{a} {b}" for a, b in zip(kept, kept[1:], strict=False) if a and b]
+        for t in terms:
+            n, uses = want.get(t, (0, 0))
+            want[t] = (n, uses + 1)
+        for t in set(terms):
+            want[t] = (want[t][0] + 1, want[t][1])
+    column = pa.array([["zz"], *texts], pa.large_list(pa.string()))[1:]
+    got = X.term_counts(column, frequent).to_pylist()
+    assert {r["term"]: (r["texts"], r["uses"]) for r in got} == want and len(got) == len(want)
+    assert X.term_counts(column[:0], frequent).num_rows == 0
+
+
+def test_batches_are_worked_on_in_slices(monkeypatch):
+    column = pa.array([["zz"] * 9, ["a"] * 3, ["b"] * 8, [], [], ["c"], ["d"] * 2], pa.large_list(pa.string()))[1:]
+    monkeypatch.setattr(X, "STEP_WORDS", 4)
+    monkeypatch.setattr(X, "STEP_TEXTS", 2)
+    assert [(s.start, s.stop) for s in X.slices(column)] == [(0, 1), (1, 2), (2, 4), (4, 6)]
+
+
+def test_occurrences_of_terms():
+    texts = [["b", "a", "b", "a"], [], ["a", "zz", "b"], ["b"], ["zz"]]
+    column = pa.array([["a", "b"], *texts], pa.large_list(pa.string()))[1:]
+    got = X.occurrences(column, ["a", "b a", "a q", "b", "a b"], 7)
+    assert got.tolist() == [[2, 2, 0, 2, 1, 0, 0], [0] * 7, [1, 0, 0, 1, 0, 0, 0], [0, 0, 0, 1, 0, 0, 0], [0] * 7]
+    assert X.occurrences(column, ["q"], 2).sum() == 0 and X.occurrences(column[:0], ["a"], 3).shape == (0, 3)
