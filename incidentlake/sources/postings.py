@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.search import LIST_COLUMNS, SEARCHED, SORT_KEYS, by_decade, by_severity, by_term, check_range, ordered_slice, sort_columns
+from ..session import spent_shuffles
 from .sinks import read_table, replace_table
 
 #: Keys of a block, folders that postings are dealt to, and characters that are cut into grams at once.
 SPAN, BUCKETS, STEP_CHARS = 1 << 16, 64, 2_000_000
 #: Pairs of a row and a gram that a task holds before it passes their lists on.
 HELD = 4_000_000
+#: Bytes of rows that a task holds before it passes them on in packs.
+HELD_BYTES = 1 << 25
 #: Candidates up to which they are sent to every task; with more the texts of their blocks are verified as a whole.
 FEW_KEYS = 200_000
 #: Bits of a character in a gram.
@@ -69,14 +72,73 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lists_of(keys: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-    """One row per gram and block with the places of its keys."""
+    """One row per gram and block with the places of its keys, each but the first as its distance from the one before."""
     order = np.lexsort((keys, gram))
     keys, gram = keys[order], gram[order]
     block = keys // SPAN
     starts = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(block, prepend=block[0] - 1) != 0)) if len(keys) else np.zeros(0, np.int64)
     places = (keys - block * SPAN - SPAN // 2).astype(np.int16)
+    # distances are taken round the circle of 16 bits
+    steps = np.diff(places, prepend=np.int16(0))
+    steps[starts] = places[starts]
     return pa.RecordBatch.from_arrays([pa.array(gram[starts]), pa.array(block[starts]), pa.ListArray.from_arrays(
-        pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(places))], names=["gram", "block", "keys"])
+        pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(steps))], names=["gram", "block", "keys"])
+
+
+def merged_lists(packs: pa.Table) -> pa.Table:
+    """The postings of a folder and a block from all its packs: one list per gram, with each place once."""
+    parts = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in packs.column("rows").combine_chunks()]
+    lists = pa.concat_tables(parts).combine_chunks()
+    keys = lists.column("keys").combine_chunks()
+    gram, which = np.unique(lists.column("gram").to_numpy(), return_inverse=True)
+    sizes = keys.value_lengths().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    run = np.concatenate((np.zeros(1, np.int16), np.cumsum(keys.flatten().to_numpy(), dtype=np.int16)))
+    places = run[1:] - np.repeat(run[starts], sizes)
+    both = np.unique((np.repeat(which, sizes) << 16) | (places.astype(np.int64) + SPAN // 2))
+    ends = np.searchsorted(both, np.arange(len(gram) + 1) << 16).astype(np.int32)
+    whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(((both & (SPAN - 1)) - SPAN // 2).astype(np.int16)))
+    same = [pa.array(np.repeat(packs.column(c)[0].as_py(), len(gram))) for c in ("block", "bucket")]
+    return pa.table([pa.array(gram), same[0].cast(pa.int64()), whole, same[1].cast(pa.int32())], names=["gram", "block", "keys", "bucket"])
+
+
+def packed(df: DataFrame, *by: str) -> DataFrame:
+    """(``by``, rows): the rows with equal values that a task meets together, as one compressed Arrow stream.
+
+    What is shuffled in this form takes a fraction of the bytes.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from packs(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from packs(pa.Table.from_batches(held))
+
+    def packs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        groups = rows.select(by).append_column("_at", pa.array(np.arange(len(rows)))).group_by(list(by)).aggregate([("_at", "list")])
+        for group in groups.to_batches():
+            for i in range(len(group)):
+                part, sink = rows.take(group.column("_at_list")[i].values), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_table(part.combine_chunks())
+                yield pa.RecordBatch.from_arrays([*(group.column(c).slice(i, 1) for c in by), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[*by, "rows"])
+
+    schema = T.StructType([df.schema[c] for c in by])
+    return df.mapInArrow(pack, schema.add("rows", T.BinaryType()))
+
+
+def unpacked(packs: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of the packs that ``packed`` made of rows with this schema."""
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack in batch.column("rows"):
+                yield from pa.ipc.open_stream(pack.as_buffer())
+
+    return packs.mapInArrow(unpack, schema)
 
 
 def write_searchable(df: DataFrame, path: str, key: str = "id", columns: Sequence[str] = SEARCHED) -> None:
@@ -84,12 +146,15 @@ def write_searchable(df: DataFrame, path: str, key: str = "id", columns: Sequenc
 
     Rows are moved once, to their blocks. Their grams are cut from the stored rows, where
     the rows of a block lie together: a task's lists are long, and a key takes two bytes in
-    them. One exchange brings the lists of a gram together.
+    them. One exchange brings the lists of a folder and a block together. Both exchanges move
+    compressed packs, and their files go as soon as the table behind them is written.
     """
     spark = df.sparkSession
     rows = df.withColumn("block", F.shiftright(F.col(key).cast("long"), SPAN.bit_length() - 1))
     replace_table(rows.limit(0), f"{path}/schema")
-    replace_table(rows.hint("rebalance", "block"), f"{path}/rows", partition_by=["block"], compression="zstd")
+    with spent_shuffles(spark):
+        moved = unpacked(packed(rows, "block").hint("rebalance", "block"), rows.schema)
+        replace_table(moved, f"{path}/rows", partition_by=["block"], compression="zstd")
     stored = read_table(spark, f"{path}/rows", rows.schema).where(F.col("block").isNotNull())
     text = F.concat_ws("\0\0\0", *[F.lower(c) for c in columns if c in df.columns])
     keyed = stored.select(F.col(key).cast("long").alias("key"), text.alias("text"))
@@ -113,9 +178,9 @@ def write_searchable(df: DataFrame, path: str, key: str = "id", columns: Sequenc
             yield lists_of(*map(np.concatenate, zip(*held, strict=True)))
 
     lists = keyed.mapInArrow(cut, LISTS).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    whole = lists.repartition("bucket", "gram").groupBy("bucket", "gram", "block") \
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys")).select("gram", "block", "keys", "bucket")
-    replace_table(whole.sortWithinPartitions("bucket", "gram", "block"), f"{path}/postings", partition_by=["bucket"], **PACKED)
+    with spent_shuffles(spark):
+        whole = packed(lists, "bucket", "block").groupBy("bucket", "block").applyInArrow(merged_lists, POSTINGS)
+        replace_table(whole.sortWithinPartitions("bucket", "gram", "block"), f"{path}/postings", partition_by=["bucket"], **PACKED)
 
 
 def term_grams(spark: SparkSession, term: str, escape: bool) -> list[int]:

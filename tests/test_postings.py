@@ -1,5 +1,6 @@
 """Search over stored postings against a scan of all texts."""
 
+import os
 import random
 
 import pytest
@@ -89,3 +90,43 @@ def test_texts_are_not_moved_to_meet_their_candidates(spark, stored, monkeypatch
         assert hits.count() == want > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffles_of_the_store_are_spent(spark, tmp_path):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return sum(os.path.getsize(f) for f in files if "/shuffle_" in f and os.path.exists(f))
+
+    df = spark.range(2000).select("id", F.concat(F.lit("an engine "), "id", F.sha2(F.col("id").cast("string"), 512)).alias("summary"))
+    before, setting = kept(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    P.write_searchable(df, str(tmp_path))
+    assert kept() < before + 10_000 and spark.conf.get(setting) == was
+    assert P.stored_matches(spark, str(tmp_path), "an engine").count() == 2000
+
+
+def test_packs_hold_all_rows_and_take_less(spark, monkeypatch):
+    monkeypatch.setattr(P, "HELD_BYTES", 1000)
+    rows = [(None if i % 7 == 0 else i % 3, None if i % 5 == 0 else f"some text that comes again {i % 4} " * 9, [i, None]) for i in range(500)] * 2
+    df = spark.createDataFrame(rows, "block long, text string, more array<int>").repartition(3).cache()
+    packs = P.packed(df, "block")
+    got = P.unpacked(packs.repartition(2, "block"), df.schema)
+    assert got.schema == df.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, df.collect()))
+    assert packs.agg(F.sum(F.length("rows"))).first()[0] < df.agg(F.sum(F.length("text"))).first()[0] / 2
+    assert P.packed(df.limit(0), "block").count() == 0
+    df.unpersist()
+
+
+def test_lists_of_packs_are_merged(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-P.SPAN, 2 * P.SPAN), rng.choice([1, 5, 1 << 62])) for _ in range(3000)]
+    pairs += pairs[:500] + [(k, 9) for k in (-P.SPAN, -1, 0, P.SPAN - 1)]
+    parts = [P.lists_of(P.np.array([k for k, _ in p]), P.np.array([g for _, g in p])) for p in (pairs[:1000], pairs[1000:1001], pairs[1001:])]
+    lists = spark.createDataFrame([r for p in parts for r in p.to_pylist()], "gram long, block long, keys array<smallint>").withColumn("bucket", F.lit(3)).repartition(3)
+    got = P.packed(lists, "bucket", "block").groupBy("bucket", "block").applyInArrow(P.merged_lists, P.POSTINGS).collect()
+    want = {}
+    for k, g in set(pairs):
+        want.setdefault((g, k // P.SPAN), []).append(k % P.SPAN - P.SPAN // 2)
+    assert {(r["gram"], r["block"]): r["keys"] for r in got} == {x: sorted(v) for x, v in want.items()}
+    assert len(got) == len(want) and {r["bucket"] for r in got} == {3}
