@@ -1,5 +1,6 @@
 """Vector clusters: planted groups, and a version that works top-down over all pairs."""
 
+import math
 from collections import Counter, defaultdict
 from math import comb
 
@@ -166,3 +167,35 @@ def test_named_query_against_brute_force(spark, sf_dir):
     got = {r["vec_id"]: r["cluster_id"] for r in vector_clusters(df, "embedding", 64, key="vec_id").collect()}
     assert got == brute(vectors, 64, 5, 15)
     assert QUERIES["embedding_groups"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def test_thinned_links_connect_the_same(spark):
+    rng = np.random.default_rng(6)
+    links = {}
+    for a, b, level in zip(rng.integers(0, 300, 2500).tolist(), rng.integers(0, 300, 2500).tolist(), rng.integers(-5, 12, 2500).tolist(), strict=True):
+        if a != b and (a < 200) == (b < 200):
+            links.setdefault((min(a, b), max(a, b)), level)
+    df = spark.createDataFrame([(a, b, x) for (a, b), x in links.items()], "a long, b long, level int")
+
+    def parts(rows, at):
+        low = list(range(300))
+        for a, b, level in rows:
+            if level <= at and low[a] != low[b]:
+                low = [min(low[a], low[b]) if x in (low[a], low[b]) else x for x in low]
+        return low
+
+    every = [(a, b, x) for (a, b), x in links.items()]
+    assert sorted(map(tuple, H.thinned(df, 10_000).collect())) == sorted(every)
+    for few in (0, 1000):
+        rows = list(map(tuple, H.thinned(df, few).collect()))
+        assert len(rows) < len(every) and set(rows) <= set(every) and (len(rows) <= 1000)
+        assert all(parts(rows, at) == parts(every, at) for at in range(-5, 12))
+    assert len(H.thinned(df, 0).collect()) == 300 - len(set(parts(every, 12)))
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    # the digits of the estimated size doubled with every round
+    path = spark.range(2000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    roots = H.components(path.union(path.select("dst", "src")), spark.range(2001).select(F.col("id").alias("node")))
+    assert math.log10(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 60
+    assert roots.agg(F.max("root")).first()[0] == 0
