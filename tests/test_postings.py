@@ -130,3 +130,32 @@ def test_lists_of_packs_are_merged(spark):
         want.setdefault((g, k // P.SPAN), []).append(k % P.SPAN - P.SPAN // 2)
     assert {(r["gram"], r["block"]): r["keys"] for r in got} == {x: sorted(v) for x, v in want.items()}
     assert len(got) == len(want) and {r["bucket"] for r in got} == {3}
+
+
+def test_folders_are_those_of_the_search(spark):
+    gram = [0, 1, -1, 1 << 62, -(1 << 63), (1 << 63) - 1, *(random.Random(1).getrandbits(63) for _ in range(500))]
+    want = spark.createDataFrame([(g,) for g in gram], "gram long").select(F.pmod(F.xxhash64("gram"), F.lit(P.BUCKETS)).cast("int")).collect()
+    assert P.bucket_of(P.np.array(gram)).tolist() == [r[0] for r in want]
+
+
+@pytest.mark.parametrize(("most", "cells"), [(P.MOST_CELLS, P.CELLS), (P.MOST_CELLS, 0), (0, 0)])
+def test_grams_on_a_grid_and_sorted(monkeypatch, most, cells):
+    monkeypatch.setattr(P, "MOST_CELLS", most)
+    monkeypatch.setattr(P, "CELLS", cells)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc\0é日😀") for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "a", "ab", ""]
+    gram, size, text = P.gram_lists(texts)
+    want = {((ord(t[j]) << 42) | (ord(t[j + 1]) << 21) | ord(t[j + 2]), i) for i, t in enumerate(texts) for j in range(len(t) - 2)}
+    assert list(zip(P.np.repeat(gram, size).tolist(), text.tolist(), strict=True)) == sorted(want)
+    assert [len(x) for x in P.gram_lists(["", "ab"])] == [0, 0, 0]
+
+
+def test_lists_of_a_block_without_a_sort():
+    rng = random.Random(6)
+    steps = [P.gram_lists(["".join(rng.choice("abcd") for _ in range(rng.randrange(9))) for _ in range(50)]) for _ in range(3)]
+    steps = [(g, n, -P.SPAN + 50 * i + t) for i, (g, n, t) in enumerate(steps)]
+    got = P.lists_in_block(-1, steps).to_pylist()
+    want = P.lists_of(P.np.concatenate([k for _, _, k in steps]), P.np.concatenate([P.np.repeat(g, n) for g, n, _ in steps])).to_pylist()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 20
+    folders = P.bucket_of(P.np.array([r["gram"] for r in got])).tolist()
+    assert folders == sorted(folders)
