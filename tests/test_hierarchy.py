@@ -9,6 +9,7 @@ import pytest
 from incidentlake import vector_clusters
 from incidentlake.operators import hierarchy as H
 from incidentlake.plans.catalog import QUERIES
+from incidentlake.session import cut_lineage
 from pyspark.sql import functions as F
 
 
@@ -199,3 +200,25 @@ def test_estimates_do_not_grow_with_the_rounds(spark):
     roots = H.components(path.union(path.select("dst", "src")), spark.range(2001).select(F.col("id").alias("node")))
     assert math.log10(roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 60
     assert roots.agg(F.max("root")).first()[0] == 0
+
+
+def test_points_stay_where_they_are_while_leaves_are_cut(spark, monkeypatch):
+    rng, plans = np.random.default_rng(3), []
+    points = spark.createDataFrame([(i, 1, rng.normal(size=4).tolist()) for i in range(300)], "node long, n long, vector array<double>")
+    monkeypatch.setattr(H, "LEAF", 20)
+    monkeypatch.setattr(H, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = H.leaves(points, 4)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dealt.count() == 300 * H.TREES and dealt.groupBy("tree", "leaf").count().agg({"count": "max"}).first()[0] <= 20
+    moved = [p for p in plans if "Join" in p]
+    assert moved and not any("SortMergeJoin" in p for p in moved)
+
+
+def test_clusters_of_a_path_of_equal_and_growing_links():
+    # points alone, a group that grows, and groups that meet
+    sizes, a, b, levels = [1] * 9, [0, 1, 3, 4, 6, 2], [1, 2, 4, 5, 7, 3], [0, 0, 0, 0, 3, 20]
+    got = H.cluster_of_each(sizes, a, b, levels, -16, 3, False)
+    assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] and got[0] != got[3] and got[6:] == [None] * 3
