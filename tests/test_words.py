@@ -63,15 +63,18 @@ def test_packs_hold_rows_in_their_order(spark, texts, monkeypatch):
     assert packs.count() > 100
 
 
-@pytest.mark.parametrize("limit", [3, 40, 500])
-def test_packed_vocabulary_equals_that_of_the_words(spark, texts, limit):
+@pytest.mark.parametrize(("limit", "most"), [(3, 1 << 24), (40, 1 << 24), (500, 1 << 24), (40, 0)])
+def test_packed_vocabulary_equals_that_of_the_words(spark, texts, monkeypatch, limit, most):
+    monkeypatch.setattr(W, "MOST_PAIRS", most)
     low = texts.select("id", "part", F.lower("text").alias("_text"))
     got = X.fit_packed_tfidf(W.word_packs(low, "_text", "part", STOP), limit, stop_words=STOP)
     want = X.fit_tfidf(texts, "text", limit, stop_words=STOP)
     assert sorted(map(tuple, got.vocabulary.collect())) == sorted(map(tuple, want.vocabulary.collect()))
 
 
-def test_vectors_equal_those_of_the_assembler(spark):
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_vectors_equal_those_of_the_assembler(spark, monkeypatch, most):
+    monkeypatch.setattr(W, "MOST_PAIRS", most)
     rng, names = random.Random(8), ["fire", "wing", "fire wing", "gear", "gear gear", "wing fire"]
     terms, size = [(t, 1 + i / 7) for i, t in enumerate(names)], 8
     rows = []
